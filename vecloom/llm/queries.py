@@ -4,15 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kneser_ney, simhash, toxicity, url_filter
+from . import ann_forest, bpe, exact_topk, kneser_ney, packing, simhash, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.search_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.train_and_score(_table(spark, sf_dir, "documents"))
 
@@ -25,6 +42,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "held_out", "score", "predicted")
@@ -32,9 +53,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_exact_topk": op1_exact_topk,
+        "op2_packing": op2_packing,
+        "op3_ann_forest": op3_ann_forest,
+        "op4_warc": op4_warc,
         "op5_lm_scoring": op5_lm_scoring,
         "op6_simhash": op6_simhash,
         "op7_url_filter": op7_url_filter,
+        "op8_bpe": op8_bpe,
         "op9_toxicity": op9_toxicity,
     }
 
