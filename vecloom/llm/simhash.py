@@ -179,3 +179,13 @@ def near_duplicates(documents: DataFrame, words: int = 4, threshold: int = 4) ->
     lowest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.join(lowest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(documents: DataFrame, words: int = 4, threshold: int = 4) -> DataFrame:
+    """Of each component of near_duplicates the document of the smallest doc_id, with all its columns.
+
+    Of rows that repeat that doc_id one stays, and at most one row whose doc_id is null."""
+    stay = near_duplicates(documents, words, threshold).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = stay.select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = documents.join(stay, documents["doc_id"].eqNullSafe(stay["kept_id"]), "left_semi")
+    return rows.dropDuplicates(["doc_id"])

@@ -261,3 +261,21 @@ def judge(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) ->
     scored = score(documents, fit(documents, labels, sample))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
+
+
+def reject(documents: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, that score below the threshold. No shuffle; null texts are scored as empty ones."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            raw, offsets = text_of(batch.column("text").fill_null(""))
+            stats = [
+                statistics(model, m, found)
+                for i, j in slices(offsets)
+                for m, found in passages(model, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            ]
+            yield batch.filter(pa.array(model.probability(np.array(stats).reshape(-1, 3)) < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
