@@ -1,0 +1 @@
+"""Column functions on vectors, and their numpy twins for Arrow kernels."""

@@ -1,0 +1,127 @@
+"""Layered small-world graphs by shard: each shard's graph is built and searched in one task, and results merge by top-k."""
+
+from __future__ import annotations
+
+import heapq
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from vecloom.operators.blocks import batch, every, join_blocks
+from vecloom.operators.exact import top_k, with_self
+from vecloom.operators.quantize import code_array
+from vecloom.operators.search import score
+
+#: Points of a shard; every query visits every shard.
+SHARD = 20_000
+
+
+def random_layers(n: int, m: int, seed: int = 0) -> np.ndarray:
+    """floor(-ln(u) / ln(m)), at most 24, for each point."""
+    u = 1 - np.random.default_rng(seed).random(n)
+    return np.minimum(np.floor(-np.log(u) / math.log(max(m, 2))), 24).astype(int)
+
+
+class LayeredGraph:
+    """Built point by point; neighbours chosen for diversity; links go both ways and are thinned at their cap."""
+
+    def __init__(self, x: np.ndarray, m: int = 16, ef: int = 200, seed: int = 0):
+        self.x, self.m = x, m
+        self.layer = random_layers(len(x), m, seed)
+        self.links: list[list[list[int]]] = [[[] for _ in range(top + 1)] for top in self.layer]
+        self.entry, self.top = 0, int(self.layer[0]) if len(x) else 0
+        self.stamp, self.mark = np.zeros(len(x), np.int64), 0
+        for i in range(1, len(x)):
+            self._insert(i, ef)
+
+    def _scan(self, q: np.ndarray, start: list[tuple[float, int]], ef: int, layer: int) -> list[tuple[float, int]]:
+        """Best-first search of one layer: the ef nearest found, nearest first."""
+        self.mark += 1
+        for _, i in start:
+            self.stamp[i] = self.mark
+        todo = list(start)
+        heapq.heapify(todo)
+        found = [(-d, i) for d, i in start]
+        heapq.heapify(found)
+        while todo:
+            d, i = heapq.heappop(todo)
+            if len(found) >= ef and d > -found[0][0]:
+                break
+            near = np.array([j for j in self.links[i][layer] if self.stamp[j] != self.mark], np.int64)
+            if not len(near):
+                continue
+            self.stamp[near] = self.mark
+            for dj, j in zip(((self.x[near] - q) ** 2).sum(1).tolist(), near.tolist(), strict=True):
+                if len(found) < ef or dj < -found[0][0]:
+                    heapq.heappush(todo, (dj, j))
+                    heapq.heappush(found, (-dj, j))
+                    if len(found) > ef:
+                        heapq.heappop(found)
+        return sorted((-d, i) for d, i in found)
+
+    def _choose(self, near: list[tuple[float, int]], most: int) -> list[int]:
+        """Keep a point unless a kept one is nearer to it than the query is."""
+        kept: list[int] = []
+        for d, i in near:
+            if len(kept) == most:
+                break
+            if not kept or (((self.x[kept] - self.x[i]) ** 2).sum(1) >= d).all():
+                kept.append(i)
+        return kept
+
+    def _descend(self, q: np.ndarray, to: int) -> list[tuple[float, int]]:
+        at = [(float(((self.x[self.entry] - q) ** 2).sum()), self.entry)]
+        for layer in range(self.top, to, -1):
+            at = self._scan(q, at, 1, layer)[:1]
+        return at
+
+    def _insert(self, i: int, ef: int) -> None:
+        q, own = self.x[i], int(self.layer[i])
+        at = self._descend(q, own)
+        for layer in range(min(own, self.top), -1, -1):
+            at = self._scan(q, at, ef, layer)
+            most = 2 * self.m if layer == 0 else self.m
+            self.links[i][layer] = self._choose(at, self.m)
+            for j in self.links[i][layer]:
+                other = self.links[j][layer]
+                other.append(i)
+                if len(other) > most:
+                    d = ((self.x[other] - self.x[j]) ** 2).sum(1).tolist()
+                    self.links[j][layer] = self._choose(sorted(zip(d, other, strict=True)), most)
+        if own > self.top:
+            self.entry, self.top = i, own
+
+    def search(self, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
+        return self._scan(q, self._descend(q, 0), max(ef, k), 0)[:k]
+
+
+def hnsw_pairs(points: DataFrame, n: int, k: int, m: int = 16, ef_construction: int = 200, ef_search: int = 64, quantize: str | None = None, seed: int = 0) -> DataFrame:
+    """(id, nbr): self-kNN candidates from the shards' graphs; with 'sq8' the graphs see 8-bit codes."""
+    shards = max(1, -(-n // SHARD))
+    base = points.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("block"), "id", "vec")
+    asked = points.select(every(shards), "id", "vec")
+    built: list = [None, None, None]
+
+    def kernel(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray):
+        if built[0] is not x:  # the block's array stays the same object while its queries pass
+            scale = lambda v: v
+            if quantize == "sq8":
+                _, lo, step = code_array(x)
+                scale = lambda v: np.clip(np.floor((v - lo) / step + 0.5), 0, 255) * step
+            built[:] = [x, LayeredGraph(scale(x), m, ef_construction, seed), scale]
+        own, nbr = [], []
+        for i, v in zip(query_ids.tolist(), built[2](q), strict=True):
+            got = [ids[j] for _, j in built[1].search(v, k + 1, ef_search) if ids[j] != i][:k]
+            own.extend([i] * len(got))
+            nbr.extend(got)
+        yield batch(id=pa.array(own, pa.int64()), nbr=pa.array(nbr, pa.int64()))
+
+    return join_blocks(base, asked, kernel, "id long, nbr long")
+
+
+def self_knn(points: DataFrame, n: int, k: int, metric: str = "euclidean", **options) -> DataFrame:
+    """(id, rank, nbr, dist): candidates of every shard, ranked by exact distances; the point itself first."""
+    return with_self(top_k(score(hnsw_pairs(points, n, k, **options), points), k), points, metric)

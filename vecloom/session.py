@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -23,3 +24,15 @@ def ship(spark: SparkSession) -> SparkSession:
     sc.addPyFile(path)
     sc._vecloom_shipped = True
     return spark
+
+
+def checkpointed(df: DataFrame, tag: str) -> DataFrame:
+    """df written once to the shared folder (spark.checkpoint.dir, or a local one where it is unset) and read back: lost executors cost no recomputation of what came before."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + os.path.join(tempfile.gettempdir(), "vecloom-checkpoints")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
