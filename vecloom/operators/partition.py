@@ -76,11 +76,12 @@ def assign(points: DataFrame, lead: DataFrame) -> DataFrame:
         return points.select("node", "id", "vec").mapInArrow(run, f"{kinds}, place long")
 
     def meet(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        lead = matrix(right.sort_by("place").column("vec").combine_chunks())
+        lead = matrix(right.sort_by("lead_place").column("lead_vec").combine_chunks())
         place = nearest_leader(matrix(left.column("vec").combine_chunks()), lead)
         return left.append_column("place", pa.array(place))
 
-    together = points.select("node", "id", "vec").groupBy("node").cogroup(lead.groupBy("node"))
+    apart = lead.select("node", "place", "id", "vec").toDF("lead_node", "lead_place", "lead_id", "lead_vec")
+    together = points.select("node", "id", "vec").groupBy("node").cogroup(apart.groupBy("lead_node"))
     return together.applyInArrow(meet, f"{kinds}, place long")
 
 
