@@ -96,7 +96,7 @@ def search(vectors: DataFrame, queries, k: int = 20, trees: int = TREES, leaf_ro
     n = rows.count()
     drawn = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).collect()
     sample_ids = np.array([r["id"] for r in drawn], np.int64)
-    sample = np.array([r["vec"] for r in drawn], np.float64).reshape(-1, d)
+    sample = np.array([r["vec"] for r in drawn], np.float64).reshape(len(drawn), d)
     most = int(math.log2(max(len(drawn) / 16, 1)))
     depth = min(max(math.ceil(math.log2(max(n / leaf_rows, 1))), 0), most)
     forest = grow(sample, depth, trees, seed)

@@ -105,7 +105,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, buckets: int | None
     cells = np.array(sorted(reach), np.int32)
     longest = np.array([reach[c] for c in cells.tolist()])
     top = dealt.orderBy(F.desc("length"), "id").limit(SCOUTS).select("id", "vec").collect()
-    scouts = spark.sparkContext.broadcast((np.array([r["id"] for r in top], np.int64), np.array([r["vec"] for r in top], np.int64).reshape(-1, d)))
+    scouts = spark.sparkContext.broadcast((np.array([r["id"] for r in top], np.int64), np.array([r["vec"] for r in top], np.int64).reshape(len(top), d)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scout_ids, scout = scouts.value

@@ -31,7 +31,7 @@ def one_for_each_id(rows: DataFrame, tag: str) -> tuple[DataFrame, int]:
 
 def matrix(column: pa.Array, d: int, kind=np.float64) -> np.ndarray:
     """A list column without nulls as n x d."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, d)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), d)
 
 
 def lists(x: np.ndarray) -> pa.Array:
