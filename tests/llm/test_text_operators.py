@@ -324,17 +324,16 @@ def test_keep_one_keeps_columns(odd_documents, no_documents):
 def test_segments_equal_a_plain_search():
     rng = random.Random(5)
     for _ in range(200):
-        s = [rng.choice([-2, -1, -0.5, 0.7, 1, 3]) for _ in range(rng.randint(1, 30))]
+        s = [rng.choice([-2, -1, -0.5, 0.5, 1, 3]) for _ in range(rng.randint(1, 30))]
         total = list(itertools.accumulate(s, initial=0))
         up = [i for i, x in enumerate(s) if x > 0]
         got = [(up[a], up[b], round(x, 9)) for a, b, x in toxicity.maximal_segments([total[i] for i in up], [total[i + 1] for i in up])]
 
         def plain(lo, hi):
-            best = max(((total[j + 1] - total[i], -i, j) for i in range(lo, hi) for j in range(i, hi)), default=(0, 0, 0))
+            best = max(((total[j + 1] - total[i], i, -j) for i in range(lo, hi) for j in range(i, hi)), default=(0, 0, 0))
             if best[0] <= 0:
                 return []
-            i, j = -best[1], best[2]
-            j = min(q for q in range(i, hi) if total[q + 1] - total[i] == best[0])
+            i, j = best[1], -best[2]  # of equals the shortest
             return [*plain(lo, i), (i, j, round(best[0], 9)), *plain(j + 1, hi)]
 
         assert [g[2] for g in got] == [w[2] for w in plain(0, len(s))]

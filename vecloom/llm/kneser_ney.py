@@ -206,7 +206,9 @@ def fit(texts: DataFrame, ranges: int | None = None) -> Model:
         order = np.argsort(key)
         put_file(f"{path}/bigram-keys-{part:05d}.bin", [key[order].astype("<u8").tobytes()])
         put_file(f"{path}/bigram-counts-{part:05d}.bin", [np.minimum(count[order], 0xFFFFFFFF).astype("<u4").tobytes()])
-        parts, data = [], []
+        parts, data = [part], [np.array([-1, *((count == k).sum() for k in (1, 2, 3, 4)), len(count)], "<i8").tobytes()]
+        if not len(count):
+            return pa.table({"part": pa.array(parts, pa.int32()), "data": pa.array(data, pa.binary())})
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
         kinds = [np.add.reduceat((count == 1).astype(np.int64), first), np.add.reduceat((count == 2).astype(np.int64), first), np.add.reduceat((count > 2).astype(np.int64), first)]
         u, back = np.unique(word, return_inverse=True)
@@ -216,8 +218,6 @@ def fit(texts: DataFrame, ranges: int | None = None) -> Model:
             for r in np.flatnonzero(np.diff(at)).tolist():
                 parts.append(r)
                 data.append(_pack(keys[at[r] : at[r + 1]], *(np.minimum(x[at[r] : at[r + 1]], 0xFFFFFFFF) for x in columns)))
-        parts.append(part)
-        data.append(np.array([-1, *((count == k).sum() for k in (1, 2, 3, 4)), len(count)], "<i8").tobytes())
         return pa.table({"part": pa.array(parts, pa.int32()), "data": pa.array(data, pa.binary())})
 
     def merge_words(table: pa.Table) -> pa.Table:
