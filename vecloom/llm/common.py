@@ -148,12 +148,14 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
     return have[:n]
 
 
-def hash_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words `[^\\x20\\x09-\\x0D]+` of A-Z-lowered texts: 64-bit hashes, each text's count, byte starts and lengths."""
+def hash_words(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _LOWER, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words `[^\\x20\\x09-\\x0D]+` of A-Z-lowered texts: 64-bit hashes, each text's count, byte starts and lengths.
+
+    Other tables of 256 entries change what bytes are hashed as and which of them part words."""
     n, none = len(offsets) - 1, np.zeros(0, np.int64)
     if not len(raw):
         return np.zeros(0, _U), np.zeros(n, np.int64), none, none
-    solid = ~_SPACE[raw]
+    solid = ~space[raw]
     head = solid.copy()
     head[1:] &= ~solid[:-1]
     inner = offsets[:-1][(offsets[:-1] > 0) & (offsets[:-1] < len(raw))]
@@ -166,7 +168,7 @@ def hash_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     lengths = np.diff(first, append=len(where))
     position = np.arange(len(where)) - np.repeat(first, lengths)
     with np.errstate(over="ignore"):
-        h = np.add.reduceat(byte_table()[_LOWER[raw[where]]] * powers(int(lengths.max()))[position], first)
+        h = np.add.reduceat(byte_table()[fold[raw[where]]] * powers(int(lengths.max()))[position], first)
         h = mix(h + lengths.astype(_U))
     counts = np.diff(np.searchsorted(starts, offsets))
     return h, counts.astype(np.int64), starts, lengths

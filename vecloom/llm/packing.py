@@ -7,36 +7,77 @@ plan of patterns goes back to the executors, which find each piece's place from
 from __future__ import annotations
 
 import bisect
+import hashlib
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import read_spec
-from .common import materialize, slices, text_of
+from .bpe import PartCache, load, read_spec, splice
+from .common import hash_words, materialize, slices, text_of
 
-#: Entries of a worker's cache of what stands between two spaces.
-CACHE = 400_000
 Pattern = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
-_tokenizers: dict[int, tuple] = {}
+#: How the tokenizer's format splits a text of lower case into words, with Unicode's white space spelled out.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
 
-def _ids(tokenizer, cache: dict[str, bytes], texts: list[str]) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers.
+def words_of(part: str) -> list[str]:
+    """The words of a part of a text: composed, lowered character by character, and split."""
+    low = part.lower() if part.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", part)])
+    return [low] if low.isalpha() else WORDS.findall(low)
 
-    The tokenizer drops white space between words and looks at nothing beyond it, so that what stands between
-    two spaces can be encoded apart."""
-    if len(cache) > CACHE:
-        cache.clear()
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list(set().union(*split) - cache.keys())
-    for word, got in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-        cache[word] = np.array(got.ids, "<u4").tobytes()
-    return [b"".join(map(cache.__getitem__, parts)) for parts in split]
+
+class WordEncoder:
+    """Encodes texts part by part: the tokenizer drops white space between words and looks at nothing beyond it.
+
+    Texts that hold a special token's name go to the tokenizers library as they are."""
+
+    def __init__(self, spec: str):
+        self.spec, self.library = spec, None
+        v = load(spec)
+        self.cache = PartCache(v, words_of)
+        self.names = [s.lower().encode() for s in v.specials]
+
+    def encode_text(self, text: str) -> np.ndarray:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.spec)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of texts (UTF-8 bytes and offsets), and the n + 1 offsets of the texts' ids."""
+        data = raw.tobytes()
+        odd = np.zeros(len(offsets) - 1, bool)
+        if b"<|" in data:
+            for k in range(len(odd)):
+                own = data[offsets[k] : offsets[k + 1]].lower()
+                odd[k] = any(name in own for name in self.names)
+        h, counts, starts, lengths = hash_words(raw, offsets)
+        use = np.repeat(~odd, counts)
+        h, starts, lengths = h[use], starts[use], lengths[use]
+        flat, size = self.cache.lookup(h, lambda i: data[starts[i] : starts[i] + lengths[i]].decode())
+        at = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(np.where(odd, 0, counts))])]
+        return splice(flat, at, {int(k): self.encode_text(data[offsets[k] : offsets[k + 1]].decode()) for k in np.flatnonzero(odd)})
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def _encoder(spec: str) -> WordEncoder:
+    """One encoder for each vocabulary and worker, kept between its tasks."""
+    name = hashlib.sha256(spec.encode()).hexdigest()
+    if name not in _encoders:
+        _encoders[name] = WordEncoder(spec)
+    return _encoders[name]
 
 
 def tokenized_pieces(documents: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -46,31 +87,26 @@ def tokenized_pieces(documents: DataFrame, path: str, capacity: int = 4096, end_
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer, cache = _tokenizers.setdefault(hash(spec.value), (None, {}))
-        if tokenizer is None:
-            tokenizer = Tokenizer.from_str(spec.value)
-            tokenizer.no_truncation()
-            tokenizer.no_padding()
-            _tokenizers[hash(spec.value)] = (tokenizer, cache)
+        encoder = _encoder(spec.value)
         for batch in batches:
-            _, offsets = text_of(batch.column("text"))
+            raw, offsets = text_of(batch.column("text"))
             for i, j in slices(offsets):
-                part = batch.slice(i, j - i)
+                flat, at = encoder.encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                data, cuts = flat.astype("<u4").tobytes(), at.tolist()
                 row, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(_ids(tokenizer, cache, part.column("text").to_pylist())):
-                    ids += end
-                    n = len(ids) // 4
+                for k in range(j - i):
+                    n = cuts[k + 1] - cuts[k] + 1
                     for p, a in enumerate(range(0, n, capacity)):
-                        row.append(k)
+                        b = min(a + capacity, n)
+                        code = zlib.crc32(data[4 * (cuts[k] + a) : 4 * min(cuts[k] + b, cuts[k + 1])])
+                        row.append(i + k)
                         piece.append(p)
                         start.append(a)
-                        length.append(min(capacity, n - a))
-                        crc.append(zlib.crc32(ids[4 * a : 4 * (a + capacity)]))
+                        length.append(b - a)
+                        crc.append(zlib.crc32(end, code) if b == n else code)
                 longs = [pa.array(x, pa.int64()) for x in (start, length, crc)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *longs],
+                    [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *longs],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
