@@ -201,6 +201,8 @@ def test_estimator(spark, blobs):
 def test_arrays_in_and_out(spark, blobs):
     nbr, dist = I.self_knn_array(spark, blobs[:50], 4)
     assert nbr.shape == dist.shape == (50, 5) and (nbr[:, 0] == np.arange(50)).all()
+    held, far = I.knn_join_array(spark, blobs[:50], blobs[50:60], 4, strategy="exact")
+    assert held.shape == far.shape == (10, 4) and (np.diff(far, axis=1) >= 0).all()
 
 
 def test_merge_records(spark):

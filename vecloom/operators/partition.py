@@ -48,18 +48,18 @@ def nearest_leader(x: np.ndarray, lead: np.ndarray) -> np.ndarray:
     return out
 
 
-def assign(points: DataFrame, lead: DataFrame) -> DataFrame:
-    """(node, id, vec, place): each point's nearest leader of its node.
+def assign(points: DataFrame, lead: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, id, vec, place): each point's nearest leader of its node; most: a bound on the bytes of leaders, if known.
 
     Leaders are broadcast while they take at most BROADCAST_BYTES; else there are so many nodes that each is a
     small group, which meets its leaders in one task."""
-    held = lead.orderBy("node", "place")
-    n = lead.count()
-    first = lead.select(F.size("vec").alias("d")).first()
+    if most is None:
+        first = lead.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+        most = first["n"] * (first["d"] or 0) * 8
     kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in ("node", "id", "vec"))
-    if n * (first["d"] if first else 0) * 8 <= BROADCAST_BYTES:
+    if most <= BROADCAST_BYTES:
         by_node: dict[int, list] = {}
-        for r in held.collect():
+        for r in lead.orderBy("node", "place").collect():
             by_node.setdefault(r["node"], []).append(r["vec"])
         shared = points.sparkSession.sparkContext.broadcast({k: np.array(v) for k, v in by_node.items()})
 
@@ -96,6 +96,7 @@ def carve(points: DataFrame, c_max: int = 2048, seed: int = 0) -> DataFrame:
 
     The driver sees sums of sizes only. A node whose largest child holds over 9/10 of it (equal points, above all)
     is cut up by hash, and so is any node left at the deepest level."""
+    first = points.select(F.size("vec").alias("d")).first()
     level = points.select(F.lit(0).cast("long").alias("node"), "id", "vec", F.lit(False).alias("stuck"))
     done = []
     for depth in range(DEPTH + 8):
@@ -104,12 +105,13 @@ def carve(points: DataFrame, c_max: int = 2048, seed: int = 0) -> DataFrame:
         counted = level.drop("stuck").join(sizes, "node")
         done.append(counted.where(F.col("size") <= c_max).select(F.col("node").alias("leaf_id"), "id", "vec"))
         large = sizes.where(F.col("size") > c_max)
-        if large.isEmpty():
+        nodes = large.count()
+        if not nodes:
             break
         at_end = depth >= DEPTH
         rest = counted.where(F.col("size") > c_max)
         even = rest.where(F.lit(not at_end) & ~F.col("stuck")).select("node", "id", "vec")
-        split = assign(even, leaders(even, c_max, seed + depth))
+        split = assign(even, leaders(even, c_max, seed + depth), nodes * LEADERS * first["d"] * 8)
         odd = rest.where(F.lit(at_end) | F.col("stuck")).select("node", "id", "vec")
         split = split.unionByName(chunk(odd, large.select("node", "size"), c_max, seed + depth))
         split = checkpointed(split, "level")

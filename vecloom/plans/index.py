@@ -19,7 +19,7 @@ from vecloom.operators.graph import robust_prune, symmetrize
 from vecloom.operators.partition import partition
 from vecloom.plans.params import BuildParams, HnswParams, IvfParams, SearchParams
 from vecloom.session import checkpointed, ship
-from vecloom.sources.sinks import to_coo
+from vecloom.sources.sinks import padded, to_coo
 from vecloom.sources.vectors import from_table, validate
 
 #: Self-kNN of at most min(c_max, this) points is exact.
@@ -199,6 +199,13 @@ class KnnGraphModel(Model, _KnnParams):
         return self.graph
 
 
+def knn_join_array(spark: SparkSession, x, queries, k: int = 15, beam: int = 64, strategy: str = "graph", **options) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, k) arrays of positions in x and distances; short rows are filled with their last neighbour."""
+    base, asked = (spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(np.ascontiguousarray(a, np.float32))], "vec_id long, embedding array<float>") for a in (x, queries))
+    rows = padded(knn_join(base, asked, k, params=BuildParams(**options), beam=beam, strategy=strategy), min(k, len(x)), False).toPandas().sort_values(["id", "rank"])
+    return rows["nbr"].to_numpy().reshape(len(queries), -1), rows["dist"].to_numpy().reshape(len(queries), -1)
+
+
 def self_knn_array(spark: SparkSession, x, k: int = 15, **options) -> tuple[np.ndarray, np.ndarray]:
     """(n, k + 1) arrays of positions and distances of an array that the driver holds; k is held to n - 1."""
     x = np.ascontiguousarray(x, np.float32)
