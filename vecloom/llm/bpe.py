@@ -26,7 +26,7 @@ WORDS = regex.compile(
 )
 _NONE = np.int64(1 << 40)
 #: Parts that a worker keeps the ids of; a full cache is emptied.
-CACHE = 1_000_000
+CACHE = 300_000
 
 
 def byte_alphabet() -> list[str]:

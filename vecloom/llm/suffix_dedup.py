@@ -29,7 +29,7 @@ STEP = 256 << 10
 #: A minimizer with more runs than this is settled by an exchange.
 MOST_RUNS = 8_192
 #: Suffixes that are sorted at once.
-SUFFIXES = 65_536
+SUFFIXES = 32_768
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -103,7 +103,9 @@ def find_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 class Levels:
-    """Suffix arrays of one minimizer's texts; equal-sized ones merge, as the digits of a binary counter do."""
+    """Suffix arrays of one minimizer's texts; equal-sized ones merge, as the digits of a binary counter do.
+
+    Of equal windows the levels hold one, which stands for all that were reported."""
 
     def __init__(self):
         self.arrays: list[list[np.ndarray]] = []  # [sorted windows, owner, offset, whether it was reported]
@@ -116,19 +118,23 @@ class Levels:
         hit = np.zeros(len(windows), bool)
         hit[1:] |= same
         hit[:-1] |= same
+        once = np.ones(len(windows), bool)  # the first of equal windows, if no level has it
+        once[1:] = ~same
         out = []
         for level in self.arrays:
-            lo, hi = np.searchsorted(level[0], windows, "left"), np.searchsorted(level[0], windows, "right")
-            met = hi > lo
+            if not len(level[0]):
+                continue
+            at = np.minimum(np.searchsorted(level[0], windows), len(level[0]) - 1)
+            met = level[0][at] == windows
             hit |= met
-            marks = np.zeros(len(level[0]) + 1, np.int64)
-            np.add.at(marks, lo[met], 1)
-            np.add.at(marks, hi[met], -1)
-            new = (np.cumsum(marks[:-1]) > 0) & ~level[3]
+            once &= ~met
+            new = np.zeros(len(level[0]), bool)
+            new[at[met]] = True
+            new &= ~level[3]
             level[3] |= new
             out.append((level[1][new], level[2][new]))
         out.append((owner[hit], offset[hit]))
-        return [windows, owner, offset, hit], tuple(np.concatenate(c) for c in zip(*out, strict=True))
+        return [windows[once], owner[once], offset[once], hit[once]], tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
     def add(self, array: list[np.ndarray]) -> None:
         self.arrays.append(array)
