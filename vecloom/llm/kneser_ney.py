@@ -1,6 +1,6 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark, kept as sorted hash arrays that workers map into memory.
 
-Counting. Tasks turn texts into 64-bit word hashes and send, for each range of keys, one sorted run of counted
+Counting. A first pass finds the frequent words, whose bigrams are dealt out to many ranges of keys. Tasks turn texts into 64-bit word hashes and send, for each range of keys, one sorted run of counted
 bigrams (context, word, count) - pre-aggregated blobs, so a frequent bigram is one entry of each run. A task per
 range merges its runs, writes the range's sorted arrays to the shared folder, and passes on what words and
 contexts need: how often a word occurs and after how many contexts, and how many words follow a context once,
@@ -24,7 +24,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, hash_words, mix, put_file, shared_path, slices, text_of
+from .common import filesystem, hash_words, materialize, mix, put_file, shared_path, slices, text_of
 
 _U = np.uint64
 #: Hashes of the marks before and after a text; the end counts as a token.
@@ -34,11 +34,14 @@ RUN_BIGRAMS = 3_000_000
 _WORD = np.dtype([("key", "<u8"), ("count", "<i8"), ("after", "<i8"), ("total", "<i8"), ("once", "<i4"), ("twice", "<i4"), ("more", "<i4")])
 
 
-def bigram_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The top 16 bits are the context's, so that ranges of keys are ranges of contexts."""
+def bigram_key(context: np.ndarray, word: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The top 16 bits are the context's, so that a context's bigrams lie in one range of keys; those of hot contexts (sorted) are spread over 256 places."""
     with np.errstate(over="ignore"):
         inner = mix(context * _U(3) + mix(word))
-    return (context & _U(0xFFFF << 48)) | (inner >> _U(16))
+    top = context >> _U(48)
+    spread = hot[np.minimum(np.searchsorted(hot, context), len(hot) - 1)] == context
+    top = np.where(spread, (top + ((inner & _U(0xFF)) << _U(8))) & _U(0xFFFF), top)
+    return (top << _U(48)) | (inner >> _U(16))
 
 
 def range_of(key: np.ndarray, ranges: int) -> np.ndarray:
@@ -101,6 +104,7 @@ class Model:
     discounts: tuple[float, float, float]
     lower: tuple[float, float, float]
     lower_mass: float
+    hot: np.ndarray
 
     def logs(self, word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 of the model's probability of each token in its context, and each token's training count."""
@@ -117,7 +121,7 @@ class Model:
         total = np.maximum(row["total"], 1).astype(float)
         d = np.array([0.0, *self.discounts])
         mass = np.where(row["total"] > 0, (d[1] * row["once"] + d[2] * row["twice"] + d[3] * row["more"]) / total, 1.0)
-        n = self._bigrams(bigram_key(context, word))
+        n = self._bigrams(bigram_key(context, word, self.hot))
         own = np.where(n > 0, (n - d[np.minimum(n, 3)]) / total[c], 0.0)
         return np.log10(own + mass[c] * base[w]), row["count"][w]
 
@@ -168,19 +172,60 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
     return tuple(float(min(max(x, 0.01), k - 0.01)) for x, k in zip(out, (1, 2, 3), strict=True))
 
 
+def frequent_words(texts: DataFrame, share: float) -> np.ndarray:
+    """Sorted hashes of the contexts that are at least `share` of all tokens, at most 1 / share of them; the mark before texts is always one.
+
+    A word of that share is at least half of it in some partition, so each partition names at most 2 / share words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_h, held_n, total = [], [], 0
+
+        def merge():
+            u, back = np.unique(np.concatenate(held_h), return_inverse=True)
+            held_n[:] = [np.bincount(back, np.concatenate(held_n)).astype(np.int64)]
+            held_h[:] = [u]
+
+        for batch in batches:
+            raw, offsets = text_of(batch.column("text"))
+            for i, j in slices(offsets):
+                u, n = np.unique(hash_words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0], return_counts=True)
+                held_h.append(u)
+                held_n.append(n)
+                total += int(n.sum())
+                if sum(map(len, held_h)) > RUN_BIGRAMS:
+                    merge()
+        if held_h:
+            merge()
+            keep = held_n[0] >= share / 2 * total
+            yield pa.RecordBatch.from_arrays([pa.array(held_h[0][keep].view(np.int64)), pa.array(held_n[0][keep]), pa.array(np.zeros(keep.sum(), np.int64))], ["h", "n", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([total], pa.int64())], ["h", "n", "total"])
+
+    counts = texts.select("text").mapInArrow(run, "h long, n long, total long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    counts = materialize(counts, "frequent-words")  # at most 2 / share rows for each partition
+    whole = counts.agg(F.sum("total").alias("t")).first()["t"] or 0
+    rows = counts.where((F.col("n") > 0) & (F.col("n") >= whole * share)).select("h").collect()
+    return np.unique(np.concatenate([np.array([r["h"] for r in rows], np.int64).view(_U), [BEGIN]]))
+
+
 def fit(texts: DataFrame, ranges: int | None = None) -> Model:
     """Count the texts (column text, no nulls) and write the model's arrays to the shared folder."""
     spark = texts.sparkSession
     path = shared_path(spark, "kneser-ney")
+    texts = texts.select("text")
     r_count = min(ranges or max(8, 4 * texts.rdd.getNumPartitions()), 65_536)
 
+    hot = frequent_words(texts, 1 / (4 * r_count))
+
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
 
         def flush():
             c, w, n = _sum_runs(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held.clear()
-            at = _split(c, r_count)
+            part = range_of(bigram_key(c, w, hot), r_count)
+            order = np.argsort(part, kind="stable")
+            c, w, n = c[order], w[order], n[order]
+            at = np.searchsorted(part[order], np.arange(r_count + 1))
             for r in np.flatnonzero(np.diff(at)).tolist():
                 own = c[at[r] : at[r + 1]]
                 first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
@@ -202,7 +247,7 @@ def fit(texts: DataFrame, ranges: int | None = None) -> Model:
         got = [_unpack(x.as_py(), 2) for x in table.column("data")]
         context = np.concatenate([np.repeat(h, k) for h, _, k, _ in got])
         context, word, count = _sum_runs(context, np.concatenate([g[1] for g in got]), np.concatenate([g[3] for g in got]).astype(np.int64))
-        key = bigram_key(context, word)
+        key = bigram_key(context, word, hot)
         order = np.argsort(key)
         put_file(f"{path}/bigram-keys-{part:05d}.bin", [key[order].astype("<u8").tobytes()])
         put_file(f"{path}/bigram-counts-{part:05d}.bin", [np.minimum(count[order], 0xFFFFFFFF).astype("<u4").tobytes()])
@@ -254,7 +299,7 @@ def fit(texts: DataFrame, ranges: int | None = None) -> Model:
     n1, n2, n3, n4, bigram_count, tokens, words, pairs, m1, m2, m3, m4 = (int(x or 0) for x in total)
     lower = _discounts(m1, m2, m3, m4)
     mass = (lower[0] * m1 + lower[1] * m2 + lower[2] * (words - m1 - m2)) / pairs if pairs else 1.0
-    return Model(path, r_count, tokens, words, pairs, _discounts(n1, n2, n3, n4), lower, mass)
+    return Model(path, r_count, tokens, words, pairs, _discounts(n1, n2, n3, n4), lower, mass, hot)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
