@@ -95,3 +95,16 @@ def test_forest_odd_rows(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann_forest.search_embeddings(df).collect())
     assert got == [(0, 1, 7, 6.0), (0, 2, 20, 5.0), (20, 1, 7, 8.0), (20, 2, 0, 5.0)]
     assert ann_forest.search_embeddings(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize(("trees", "leaf_rows", "effort"), [(8, 64, 0.1), (1, 16, 0.01)])
+def test_forest_returns_k_rows_of_every_query(spark, trees, leaf_rows, effort):
+    x = np.random.default_rng(5).standard_normal((2000, 16)).astype(np.float32)
+    rows = frame(spark, x).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    got = {}
+    for r in ann_forest.search(rows, F.col("id") % 20 == 0, 20, trees, leaf_rows, effort).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sorted(got) == list(range(0, 2000, 20)) and {len(v) for v in got.values()} == {20}
+    y = x.astype(np.float64)
+    want = brute(y, np.arange(2000), 20, 20, lambda a, b: a @ b)
+    assert np.mean([v in got[q] for q, _, v, _ in want]) < 1

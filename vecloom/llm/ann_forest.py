@@ -18,13 +18,18 @@ from pyspark.sql import functions as F
 
 from .vectors import best, by_cell, finite, matrix, one_for_each_id
 
-#: Rows the trees are fitted on; they also give each query a first floor for its k-th best score.
+#: Rows the trees are fitted on; those in a query's visited leaves also give it a first floor for its k-th best score.
 SAMPLE_ROWS = 16_384
 #: Rows of a leaf that meet in one task; a fuller leaf is dealt out to several.
 LEAF_ROWS = 16_384
 TREES = 8
 
 
+def along(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """Products of rows, the same for equal rows wherever they lie, as a matrix product's are not."""
+    return (x * planes).sum(1)
+
+
 @dataclass(frozen=True)
 class Forest:
     """Complete binary trees: planes (trees, nodes, d) and cuts (trees, nodes), nodes in heap order."""
@@ -37,23 +42,25 @@ class Forest:
         """Each row's leaf in each tree, (trees, n)."""
         out = np.zeros((len(self.planes), len(x)), np.int64)
         for t in range(len(self.planes)):
-            projected = x @ self.planes[t].T
             node = np.zeros(len(x), np.int64)
             for _ in range(self.depth):
-                node = 2 * node + 1 + (projected[np.arange(len(x)), node] > self.cuts[t, node])
+                node = 2 * node + 1 + (along(x, self.planes[t, node]) > self.cuts[t, node])
             out[t] = node - (2**self.depth - 1)
         return out
 
-    def walk(self, margins: np.ndarray, budget: int) -> list[tuple[int, int]]:
-        """The (tree, leaf) pairs that a query visits; margins: its signed distances from all planes, (trees, nodes)."""
+    def walk(self, margins: np.ndarray, budget: int, sizes: np.ndarray, least: int) -> list[tuple[int, int]]:
+        """The (tree, leaf) pairs that a query visits; margins: its signed distances from all planes, (trees, nodes).
+
+        Beyond its budget it goes on until the leaves of one tree (sizes: rows, (trees, leaves)) hold `least` rows."""
         first_leaf = 2**self.depth - 1
         queue = [(-math.inf, t, 0) for t in range(len(self.planes))]
         heapq.heapify(queue)
-        visited = []
-        while queue and len(visited) < budget:
+        visited, held = [], [0] * len(self.planes)
+        while queue and (len(visited) < budget or max(held) < least):
             worst, t, node = heapq.heappop(queue)
             if node >= first_leaf:
                 visited.append((t, node - first_leaf))
+                held[t] += int(sizes[t, node - first_leaf])
                 continue
             m = margins[t, node]
             heapq.heappush(queue, (max(worst, m), t, 2 * node + 1))
@@ -76,19 +83,25 @@ def grow(sample: np.ndarray, depth: int, trees: int = TREES, seed: int = 0) -> F
                 if not np.array_equal(a, b):
                     normal = a - b
             normal /= np.linalg.norm(normal)
-            at = sample[own] @ normal
+            at = along(sample[own], normal)
             cut = float(np.median(at)) if len(own) else 0.0
             planes[t, node], cuts[t, node] = normal, cut
             members[2 * node + 1], members[2 * node + 2] = own[at <= cut], own[at > cut]
     return Forest(planes, cuts, depth)
 
 
+def room(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each row of q, above what the rounding of two products with rows of x can change in their order."""
+    return 4 * q.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max(initial=0.0)
+
+
 def search(vectors: DataFrame, queries, k: int = 20, trees: int = TREES, leaf_rows: int = 768, effort: float = 0.6, seed: int = 0) -> DataFrame:
     """query_id, rank, vec_id, score: of every query the k largest inner products found among the other vectors.
 
     vectors has id and vec (finite, not zero); queries is a condition on id. The depth gives leaves of about
     leaf_rows (at most 1,024 leaves a tree, 16 sample rows each); a query visits effort * (all leaves) ^ 0.8 of
-    them. One row stands for each id, null ids take no part, fewer candidates than k are all returned if found.
+    them, and more where these hold too few rows: it gets k others, or all if there are fewer. One row stands for
+    each id, null ids take no part.
     A leaf that many equal vectors crowd is dealt out by id, and its queries go to all of its parts."""
     spark = vectors.sparkSession
     kind = vectors.schema["vec"].dataType.simpleString()
@@ -102,7 +115,7 @@ def search(vectors: DataFrame, queries, k: int = 20, trees: int = TREES, leaf_ro
     forest = grow(sample, depth, trees, seed)
     total = trees * 2**depth
     budget = min(total, math.ceil(max(effort * total**0.8, trees)))
-    shared = spark.sparkContext.broadcast((forest, sample_ids, sample))
+    shared = spark.sparkContext.broadcast((forest, sample_ids, sample, forest.leaves(sample)))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shared.value[0]
@@ -114,8 +127,11 @@ def search(vectors: DataFrame, queries, k: int = 20, trees: int = TREES, leaf_ro
 
     indexed = rows.select("id", "vec").mapInArrow(cells, f"cell int, id long, vec {kind}")
     only = rows.select("id", "vec").mapInArrow(lambda b: (x.select(["cell"]) for x in cells(b)), "cell int")
-    full = only.groupBy("cell").count().where(F.col("count") > LEAF_ROWS).collect()  # at most trees * 1,024 rows
-    parts = {r["cell"]: -(-r["count"] // LEAF_ROWS) for r in full}
+    filled = only.groupBy("cell").count().collect()  # at most trees * 1,024 rows
+    parts = {r["cell"]: -(-r["count"] // LEAF_ROWS) for r in filled if r["count"] > LEAF_ROWS}
+    sizes = np.zeros((trees, 2**depth), np.int64)
+    for r in filled:
+        sizes[r["cell"] >> 12, r["cell"] & 0xFFF] = r["count"]
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cells(batches):
@@ -127,23 +143,26 @@ def search(vectors: DataFrame, queries, k: int = 20, trees: int = TREES, leaf_ro
             yield pa.RecordBatch.from_arrays([pa.array(cell | part << 20), batch.column("id"), batch.column("vec")], ["cell", "id", "vec"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, ids, sample = shared.value
+        forest, ids, sample, leaf_of = shared.value
         for batch in batches:
             own, q = batch.column("id").to_numpy(), matrix(batch.column("vec"), d)
             for i in range(0, len(own), 256):
                 part = slice(i, i + 256)
                 score = q[part] @ sample.T
                 score[own[part][:, None] == ids[None, :]] = -np.inf
-                floor = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(q[part]), -np.inf)
-                floor = floor - 1e-9 * (1 + np.abs(floor)) if len(floor) else floor
                 margins = (q[part] @ forest.planes.reshape(-1, d).T if depth else np.zeros((len(q[part]), 0))).reshape(len(q[part]), len(forest.planes), -1) - forest.cuts
                 row, cell = [], []
                 for r in range(len(q[part])):
-                    for t, leaf in forest.walk(margins[r], budget):
+                    met = np.zeros(sizes.shape, bool)
+                    for t, leaf in forest.walk(margins[r], budget, sizes, min(k + 1, n)):
+                        met[t, leaf] = True
                         c = t << 12 | leaf
                         for p in range(parts.get(c, 1)):
                             row.append(i + r)
                             cell.append(c | p << 20)
+                    score[r, ~np.take_along_axis(met, leaf_of, 1).any(0)] = -np.inf  # only what the leaves give again
+                floor = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(q[part]), -np.inf)
+                floor = floor - room(q[part], sample)
                 row = np.array(row, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(cell, np.int64)), pa.array(own[row]), batch.column("vec").take(pa.array(row)), pa.array(floor[row - i])], ["cell", "id", "vec", "floor"])
 
@@ -151,7 +170,7 @@ def search(vectors: DataFrame, queries, k: int = 20, trees: int = TREES, leaf_ro
         for i in range(0, len(query_ids), 256):
             part = slice(i, i + 256)
             score = q[part] @ x.T
-            a, b = np.nonzero((score >= floors[part][:, None]) & (ids[None, :] != query_ids[part][:, None]))
+            a, b = np.nonzero((score >= (floors[part] - room(q[part], x))[:, None]) & (ids[None, :] != query_ids[part][:, None]))
             top = best(a, score[a, b], ids[b], k + 4)  # a few more, as the products are still to be summed in order
             a, b = a[top], b[top]
             exact = np.zeros(len(a))
