@@ -108,3 +108,18 @@ def test_forest_returns_k_rows_of_every_query(spark, trees, leaf_rows, effort):
     y = x.astype(np.float64)
     want = brute(y, np.arange(2000), 20, 20, lambda a, b: a @ b)
     assert np.mean([v in got[q] for q, _, v, _ in want]) < 1
+
+
+def test_forest_ties_go_to_smaller_ids(spark, monkeypatch):
+    kernels, by_cell = [], ann_forest.by_cell
+    monkeypatch.setattr(ann_forest, "by_cell", lambda kernel, *a: kernels.append(kernel) or by_cell(kernel, *a))
+    rng = np.random.default_rng(6)
+    ann_forest.search_embeddings(frame(spark, rng.standard_normal((40, 64)), range(40)))
+    # the smallest ids lie last, where a matrix product rounds otherwise
+    x, q = np.repeat(rng.standard_normal((1, 64)), 3003, 0), rng.standard_normal((200, 64))
+    found = list(kernels[0](np.arange(3003)[::-1], x, np.arange(5000, 5200), q, np.full(200, -np.inf)))
+    rows = [r for batch in found for r in batch.to_pylist()]
+    for i in range(5000, 5200):
+        own = [r for r in rows if r["query_id"] == i]
+        best = sorted(own, key=lambda r: (-r["score"], r["vec_id"]))[:20]
+        assert [r["vec_id"] for r in best] == list(range(20)) and len({r["score"] for r in own}) == 1

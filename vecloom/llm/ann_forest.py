@@ -95,13 +95,23 @@ def room(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return 4 * q.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max(initial=0.0)
 
 
+def first_copies(ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
+    """Indices of the rows that fewer than `most` equal rows of smaller ids precede."""
+    order = np.lexsort((ids, np.unique(np.ascontiguousarray(x).view(f"V{x.shape[1] * x.itemsize}").ravel(), return_inverse=True)[1]))
+    own = x[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]).any(1)
+    first = np.flatnonzero(new)
+    return order[np.arange(len(own)) - np.repeat(first, np.diff(first, append=len(own))) < most]
+
+
 def search(vectors: DataFrame, queries, k: int = 20, trees: int = TREES, leaf_rows: int = 768, effort: float = 0.6, seed: int = 0) -> DataFrame:
     """query_id, rank, vec_id, score: of every query the k largest inner products found among the other vectors.
 
     vectors has id and vec (finite, not zero); queries is a condition on id. The depth gives leaves of about
     leaf_rows (at most 1,024 leaves a tree, 16 sample rows each); a query visits effort * (all leaves) ^ 0.8 of
-    them, and more where these hold too few rows: it gets k others, or all if there are fewer. One row stands for
-    each id, null ids take no part.
+    them, and more where these hold too few rows: it gets k others, or all if there are fewer. Ties go to smaller
+    ids. One row stands for each id, null ids take no part.
     A leaf that many equal vectors crowd is dealt out by id, and its queries go to all of its parts."""
     spark = vectors.sparkSession
     kind = vectors.schema["vec"].dataType.simpleString()
@@ -167,16 +177,23 @@ def search(vectors: DataFrame, queries, k: int = 20, trees: int = TREES, leaf_ro
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(cell, np.int64)), pa.array(own[row]), batch.column("vec").take(pa.array(row)), pa.array(floor[row - i])], ["cell", "id", "vec", "floor"])
 
     def rank_leaf(ids, x, query_ids, q, floors):
+        some = first_copies(ids, x, k + 1)  # k others and the query itself precede the rest
+        ids, x = ids[some], x[some]
         for i in range(0, len(query_ids), 256):
             part = slice(i, i + 256)
-            score = q[part] @ x.T
-            a, b = np.nonzero((score >= (floors[part] - room(q[part], x))[:, None]) & (ids[None, :] != query_ids[part][:, None]))
-            top = best(a, score[a, b], ids[b], k + 4)  # a few more, as the products are still to be summed in order
-            a, b = a[top], b[top]
+            score, spare = q[part] @ x.T, room(q[part], x)
+            a, b = np.nonzero((score >= (floors[part] - spare)[:, None]) & (ids[None, :] != query_ids[part][:, None]))
+            score = score[a, b]
+            top = best(a, score, ids[b], k)
+            kth = np.full(len(spare), np.inf)
+            np.minimum.at(kth, a[top], score[top])
+            near = score >= (kth - spare)[a]  # all that can be among the k best once the products are summed in order
+            a, b = a[near], b[near]
             exact = np.zeros(len(a))
             for c in range(d):
                 exact += q[part][a, c] * x[b, c]
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids[part][a]), pa.array(ids[b]), pa.array(exact)], ["query_id", "vec_id", "score"])
+            top = best(a, exact, ids[b], k)
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[part][a[top]]), pa.array(ids[b[top]]), pa.array(exact[top])], ["query_id", "vec_id", "score"])
 
     placed = rows.select("id", "vec").mapInArrow(dealt, f"cell long, id long, vec {kind}") if parts else indexed.withColumn("cell", F.col("cell").cast("long"))
     asked = rows.where(queries).select("id", "vec").mapInArrow(route, f"cell long, id long, vec {kind}, floor double")
