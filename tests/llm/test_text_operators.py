@@ -318,6 +318,13 @@ def test_keep_one_keeps_columns(odd_documents, no_documents):
     assert simhash.keep_one(no_documents).count() == 0
 
 
+def test_keep_one_decides_by_component(spark):
+    a, b, c, d = ("alpha beta gamma delta epsilon", "one two three four five six", "the sea is wide and deep", "new roads lead to old towns")
+    rows = [(None, a), (None, b), (None, b), (2, a), (3, c), (3, d), (3, d), (1, c)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(map(tuple, kept)) == Counter([(None, b), (2, a), (1, c), (3, d)])
+
+
 # ---- toxicity ----
 
 

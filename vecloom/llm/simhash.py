@@ -182,10 +182,12 @@ def near_duplicates(documents: DataFrame, words: int = 4, threshold: int = 4) ->
 
 
 def keep_one(documents: DataFrame, words: int = 4, threshold: int = 4) -> DataFrame:
-    """Of each component of near_duplicates the document of the smallest doc_id, with all its columns.
-
-    Of rows that repeat that doc_id one stays, and at most one row whose doc_id is null."""
-    stay = near_duplicates(documents, words, threshold).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = documents.join(stay, documents["doc_id"].eqNullSafe(stay["kept_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """Of each component of linked fingerprints one row, with all its columns: that of the smallest doc_id (null last).
+
+    Components decide, not doc_ids: rows that repeat a doc_id or have none are documents of their own, known by a
+    hash of doc_id and text. Rows that agree in both are copies, of which one stays."""
+    rid = F.xxhash64("doc_id", "text")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", rid.alias("rid"))  # the order within a component
+    grouped = near_duplicates(documents.select(own.alias("doc_id"), "text"), words, threshold)
+    stay = grouped.where("doc_id = component_id").select(F.col("doc_id.rid").alias("__rid")).distinct()
+    return documents.withColumn("__rid", rid).join(stay, "__rid", "left_semi").dropDuplicates(["__rid"]).select(*documents.columns)
