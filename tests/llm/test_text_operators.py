@@ -406,6 +406,20 @@ def test_removal_equals_a_plain_search(spark, monkeypatch, length, gram, most, b
     assert list(map(tuple, got)) == plain_removal([(t or "").encode() for t in texts], length)
 
 
+@pytest.mark.parametrize("windows", [1 << 20, 30])
+def test_long_runs_are_cut_without_loss(spark, monkeypatch, windows):
+    text = "round and round it goes, " * 2000
+    rows = spark.createDataFrame([(1, text), (2, "é" * 15_000)], "rid long, text string")
+    runs = suffix_dedup.find_runs(rows, 200, 32).groupBy("rid").agg(F.max("n").alias("most"), F.sum("n").alias("n")).orderBy("rid").collect()
+    assert [r["n"] for r in runs] == [len(text) - 199, 30_000 - 199] and max(r["most"] for r in runs) <= 16_384
+    for name, value in (("STEP", 100), ("RUN_WINDOWS", 7), ("MOST_WINDOWS", windows)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    texts = ["ab" * 200, "abc" * 100 + "x", "no copy of anything here", "c" + "ab" * 90 + "abc" * 30, "".join(random.Random(8).choices("ab", k=900))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = suffix_dedup.remove_repeats(df, 12, 5).orderBy("doc_id").drop("kept", "doc_id").collect()
+    assert list(map(tuple, got)) == plain_removal([t.encode() for t in texts], 12)
+
+
 def test_repeated_rows_and_stripping(spark, no_documents):
     line = "one two three four five six seven eight nine ten"
     rows = [(1, f"start {line} end", 7), (1, f"start {line} end", 7), (2, f"other {line} tail", 7), (3, None, None), (4, "short", 5)]

@@ -2,14 +2,14 @@
 
 1. Runs. Each window of `length` bytes has a lowest k-gram hash (a minimizer). Consecutive windows that share it form
    a run; equal windows lie in runs of the same minimizer, wherever they are. There is a run for about every
-   85 bytes, so this is what is shuffled, not the windows.
+   85 bytes, so this is what is shuffled, not the windows. A run of more windows, as of one phrase repeated, is cut.
 2. Keys. A minimizer met once repeats nothing. Where all runs of a minimizer cover the same text, every window
    of them is repeated. Only minimizers with differing texts - where a repeated passage begins or ends - go on.
 3. Suffix arrays. One representative of each differing text goes to the task of its minimizer. Each batch of
    texts gets a suffix array (all suffixes that begin a window, in lexicographic order), is merge-scanned against the
    levels of the minimizer that runs on from earlier batches for matches of the full length, and joins these
    levels, where arrays of equal size merge, so that there are logarithmically many.
-   A minimizer with more texts than a task should hold is settled by an exchange of window hashes instead.
+   A minimizer with more runs or windows than a task should hold is settled by an exchange of window hashes instead.
 4. The repeated windows go back to their documents, which are rid of the bytes they cover."""
 
 from __future__ import annotations
@@ -19,15 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BASE_INVERSE, byte_table, materialize, mix, powers, slices, text_of
 
 #: Bytes of text of one vectorised step.
 STEP = 256 << 10
-#: A minimizer with more runs than this is settled by an exchange.
-MOST_RUNS = 8_192
+#: A minimizer with more runs than this, or more windows in all its runs, is settled by an exchange.
+MOST_RUNS, MOST_WINDOWS = 8_192, 1 << 20
+#: Windows of a run at most; a longer run is cut.
+RUN_WINDOWS = 16_384
 #: Suffixes that are sorted at once.
 SUFFIXES = 32_768
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -54,7 +56,7 @@ def _hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
-def runs_of(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+def runs_of(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int, most: int = RUN_WINDOWS):
     """(text, first window, windows, minimizer, hash of the covered bytes, may repeat itself) of every run."""
     n, w = len(raw), length - gram + 1
     if n < length:
@@ -72,6 +74,10 @@ def runs_of(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     start, end = cut[:-1], cut[1:]
     good = valid[start]
     start, end = start[good], end[good]
+    pieces = -(-(end - start) // most)
+    first = np.repeat(start, pieces)
+    start = first + most * (np.arange(len(first)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    end = np.minimum(start + most, np.repeat(end, pieces))
     key = low[start]
     # a run can repeat itself only if its minimizer's k-gram stands in it twice, at most w apart
     high = _sliding(np.concatenate([np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)]), w, np.maximum)
@@ -85,7 +91,8 @@ def runs_of(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int):
 
 
 def find_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """rid, start, n, key, span, tie of rows (rid, text)."""
+    """rid, start, n, key, span, tie of rows (rid, text). A text longer than a step is taken by steps that overlap by length - 1 bytes."""
+    step, most = STEP, RUN_WINDOWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["rid", "start", "n", "key", "span", "tie"]
@@ -93,9 +100,12 @@ def find_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
             raw, offsets = text_of(batch.column("text"))
             rid = batch.column("rid").to_numpy()
             found = []
-            for i, j in slices(offsets, STEP):
-                text, start, n, key, span, tie = runs_of(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, gram)
-                found.append((rid[i + text], start, n, key.view(np.int64), span.view(np.int64), tie))
+            for i, j in slices(offsets, step):
+                for low in range(offsets[i], offsets[j], step) if j == i + 1 else [offsets[i]]:
+                    part = raw[low : min(low + step + length - 1, offsets[j]) if j == i + 1 else offsets[j]]
+                    bounds = np.array([0, len(part)]) if j == i + 1 else offsets[i : j + 1] - low
+                    text, start, n, key, span, tie = runs_of(part, bounds, length, gram, most)
+                    found.append((rid[i + text], start + (low - offsets[i]), n, key.view(np.int64), span.view(np.int64), tie))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names)
 
@@ -202,7 +212,7 @@ def match_texts(texts: DataFrame, length: int) -> DataFrame:
 
 
 def match_hashes(texts: DataFrame, length: int) -> DataFrame:
-    """The same by an exchange of window hashes, for keys with too many texts for a task; hot windows are counted before the shuffle."""
+    """The same by an exchange of window hashes, for keys with too many windows for a task; hot windows are counted before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +224,9 @@ def match_hashes(texts: DataFrame, length: int) -> DataFrame:
 
     windows = texts.select("key", "span", "text").mapInArrow(run, "key long, span long, at long, h long")
     often = windows.groupBy("h").count().where("count > 1").select("h")
-    return windows.join(often, "h", "left_semi").select("key", "span", "at", F.lit(1).cast("long").alias("n"))
+    row = F.row_number().over(Window.partitionBy("key", "span").orderBy("at"))  # at most RUN_WINDOWS
+    hits = windows.join(often, "h", "left_semi").withColumn("run", F.col("at") - row)
+    return hits.groupBy("key", "span", "run").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n")).drop("run")
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -239,28 +251,29 @@ def repeated_spans(documents: DataFrame, length: int = 200, gram: int = 32) -> t
     rid is a hash of doc_id and text: rows that agree in both have the same spans."""
     rows = documents.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     runs = materialize(find_runs(rows, length, gram), "runs")
-    keys = runs.groupBy("key").agg(F.count(F.lit(1)).alias("met"), F.min("span").alias("a"), F.max("span").alias("b"), F.max("tie").alias("ties"))
-    keys = keys.where("met > 1 or ties").select("key", "met", (F.col("ties") | (F.col("a") != F.col("b"))).alias("open"))
+    keys = runs.groupBy("key").agg(F.count(F.lit(1)).alias("met"), F.sum("n").alias("windows"), F.min("span").alias("a"), F.max("span").alias("b"), F.max("tie").alias("ties"))
+    hot = (F.col("met") > MOST_RUNS) | (F.col("windows") > MOST_WINDOWS)
+    keys = keys.where("met > 1 or ties").select("key", hot.alias("hot"), (F.col("ties") | (F.col("a") != F.col("b"))).alias("open"))
     found = materialize(runs.join(keys, "key").drop("tie"), "repeated-runs")
     whole = found.where("not open").select("rid", "start", "n")
     differing = found.where("open")
-    texts = differing.groupBy("key", "span").agg(F.count(F.lit(1)).alias("copies"), F.max("met").alias("met"), F.min(F.struct("rid", "start", "n")).alias("at"))
+    texts = differing.groupBy("key", "span").agg(F.count(F.lit(1)).alias("copies"), F.max("hot").alias("hot"), F.min(F.struct("rid", "start", "n")).alias("at"))
     texts = materialize(texts, "differing")
-    wanted = texts.groupBy("at.rid").agg(F.collect_list(F.struct("key", "span", "met", F.col("at.start").alias("start"), F.col("at.n").alias("n"))).alias("parts"))
+    wanted = texts.groupBy("at.rid").agg(F.collect_list(F.struct("key", "span", "hot", F.col("at.start").alias("start"), F.col("at.n").alias("n"))).alias("parts"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("met", pa.int64()), ("text", pa.binary())])
+        kinds = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("hot", pa.bool_()), ("text", pa.binary())])
         for batch in batches:
             out = []
             for text, parts in zip(batch.column("text"), batch.column("parts").to_pylist(), strict=True):
                 data = text.as_py().encode()
-                out.extend({"key": p["key"], "span": p["span"], "met": p["met"], "text": data[p["start"] : p["start"] + p["n"] - 1 + length]} for p in parts)
+                out.extend({"key": p["key"], "span": p["span"], "hot": p["hot"], "text": data[p["start"] : p["start"] + p["n"] - 1 + length]} for p in parts)
             yield pa.RecordBatch.from_pylist(out, kinds)
 
     # doc_id goes along so that both joins read the same exchange of texts
-    spans = rows.join(wanted, "rid").select("doc_id", "text", "parts").mapInArrow(extract, "key long, span long, met long, text binary")
+    spans = rows.join(wanted, "rid").select("doc_id", "text", "parts").mapInArrow(extract, "key long, span long, hot boolean, text binary")
     spans = materialize(spans, "differing-texts")
-    matched = match_texts(spans.where(F.col("met") <= MOST_RUNS), length).union(match_hashes(spans.where(F.col("met") > MOST_RUNS), length))
+    matched = match_texts(spans.where("not hot"), length).union(match_hashes(spans.where("hot"), length))
     again = texts.where("copies > 1").select("key", "span", F.lit(0).cast("long").alias("at"), F.col("at.n").alias("n"))
     covered = matched.union(again).groupBy("key", "span").agg(F.collect_list(F.struct("at", F.col("n").alias("m"))).alias("hits"))
     partly = differing.join(covered, ["key", "span"]).select("rid", "start", F.explode("hits").alias("hit"))
