@@ -1,36 +1,66 @@
-"""Toxic passages: maximum-scoring segments of token log-odds, judged by extreme-value statistics."""
+"""Toxic passages: maximum-scoring segments of token log-odds, judged by extreme-value statistics.
+
+Log-odds. Tokens of labelled texts are counted, by class, at three nodes each: the word's first 4 bytes, its first 6,
+and the word. A node's share of toxic occurrences is the posterior mean under a Dirichlet prior whose mean is the share
+of the node above it (for the first, that of all tokens), so a rare or unseen form leans on its stem. Counts are
+kept by hashed node in tables of fixed size: no token is cut off, and the model does not grow with the sample.
+Segments. A token scores its log-odds, less the drift; a text's maximal scoring segments are its passages.
+Calibration. Karlin-Altschul statistics of clean texts say how rare a passage's score is, and a logistic regression,
+with both classes weighing the same, turns a text's rarities into its score."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, materialize, mix, slices, text_of
+from .common import byte_table, hash_words, lower_table, materialize, mix, powers, slices, text_of
 
 #: The classifier is fitted on at most so many labelled rows, those whose ids hash lowest.
 SAMPLE_ROWS = 30_000
-#: The model holds at most so many tokens, those of the largest z-scores.
-MODEL_TOKENS = 20_000
+#: Bits of a node's place in the tables of counts, which take 8 bytes a place.
+PLACE_BITS = 21
+#: Bytes of a word that its upper nodes stand for.
+STEMS = (4, 6)
+#: Bins of 0.01 for the scores of clean tokens, from -20.48 on; scores beyond count in the outermost.
+BINS, BIN = 4_096, 0.01
 EULER = 0.5772156649015329
 
 _WORDS = np.arange(256, dtype=np.uint8)  # ASCII punctuation and digits part words, too
 _WORDS[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
+_FOLD = lower_table()
+
+
+def nodes_of(raw: np.ndarray, offsets: np.ndarray):
+    """Places of each word's nodes, from stem to word, (nodes, words); words of each text; byte starts and lengths."""
+    raw = _WORDS[raw]
+    h, counts, starts, lengths = hash_words(raw, offsets)
+    shift = np.uint64(64 - PLACE_BITS)
+    places, stem = [], np.zeros(len(starts), np.uint64)
+    for i in range(max(STEMS)):
+        at = _FOLD[raw[np.minimum(starts + i, len(raw) - 1)]]
+        stem += np.where(lengths > i, byte_table()[at] * powers(i + 1)[i], np.uint64(0))
+        if i + 1 in STEMS:
+            places.append(mix(stem + np.uint64(i + 1)) >> shift)
+    places.append(mix(h) >> shift)
+    return np.array(places).astype(np.int64), counts, starts, lengths
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """tokens: sorted hashes; scores: their log-odds; drift: what any other token takes off a segment.
+    """toxic and all: occurrences by place of a node; share: toxic ones among all tokens; strength: of the prior, in occurrences.
 
     rate and size are the Karlin-Altschul lambda and K of clean text; beta weighs the three statistics of a text."""
 
-    tokens: np.ndarray
-    scores: np.ndarray
+    toxic: np.ndarray
+    all: np.ndarray
+    share: float
+    strength: float
     drift: float
     rate: float
     size: float
@@ -38,11 +68,11 @@ class ToxicityModel:
     spread: np.ndarray
     beta: np.ndarray
 
-    def token_scores(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.tokens):
-            return np.full(len(h), -self.drift)
-        at = np.minimum(np.searchsorted(self.tokens, h), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == h, self.scores[at], -self.drift)
+    def token_scores(self, places: np.ndarray) -> np.ndarray:
+        q = np.full(places.shape[1], self.share)
+        for at in places:
+            q = (self.toxic[at] + self.strength * q) / (self.all[at] + self.strength)
+        return np.log(q / (1 - q)) - math.log(self.share / (1 - self.share)) - self.drift
 
     def probability(self, stats: np.ndarray) -> np.ndarray:
         z = self.beta[0] + ((stats - self.centre) / self.spread) @ self.beta[1:]
@@ -72,8 +102,11 @@ def maximal_segments(before: list[float], after: list[float]) -> list[tuple[int,
 
 def passages(model: ToxicityModel, raw: np.ndarray, offsets: np.ndarray):
     """For each text: its number of tokens and its maximal segments (byte start, byte end, score)."""
-    h, counts, starts, lengths = hash_words(_WORDS[raw], offsets)
-    s = model.token_scores(h)
+    places, counts, starts, lengths = nodes_of(raw, offsets)
+    yield from _segments(model.token_scores(places), counts, starts, lengths, offsets)
+
+
+def _segments(s: np.ndarray, counts: np.ndarray, starts: np.ndarray, lengths: np.ndarray, offsets: np.ndarray):
     total = np.cumsum(s)
     up = np.flatnonzero(s > 0)
     owner = np.searchsorted(np.cumsum(counts), up, "right")
@@ -93,28 +126,30 @@ def statistics(model: ToxicityModel, m: int, found: list) -> tuple[float, float,
 
 
 def _labelled(documents: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """doc_id, toxic, half of at most `sample` labelled documents outside the held-out fifth, one of each group of equal texts.
+    """text, toxic, half of at most `sample` labelled documents outside the held-out fifth, one of each group of equal texts.
 
-    The sample's size is the bound that lets it be broadcast, so that no text is shuffled."""
+    The sample's size is the bound that lets its ids be broadcast; its texts are written once."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     few = (
         labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null")
         .where(F.crc32(key) % 5 != 0).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    named = documents.where("text is not null").select("doc_id", F.xxhash64("text").alias("copy")).join(F.broadcast(few), "doc_id")
-    few = named.groupBy("copy").agg(F.min_by(F.struct("doc_id", "toxic"), "doc_id").alias("row")).select("row.*")
-    return materialize(few.withColumn("half", F.xxhash64(F.lit(7), "doc_id").bitwiseAND(1).cast("int")), "labelled")
+    named = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    few = named.groupBy(F.xxhash64("text").alias("copy")).agg(F.min_by(F.struct("doc_id", "text", "toxic"), "doc_id").alias("row")).select("row.*")
+    half = F.xxhash64(F.lit(7), "doc_id").bitwiseAND(1).cast("int")
+    return materialize(few.select("text", "toxic", half.alias("half")), "labelled")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-2) -> np.ndarray:
-    """Newton steps; a column of ones stands first."""
+    """Newton steps; a column of ones stands first, and each class weighs half of all rows, however rare it is."""
     x = np.column_stack([np.ones(len(x)), x])
+    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     beta = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (p - y) + ridge * beta
-        hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta))
+        grad = x.T @ (weight * (p - y)) + ridge * beta
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta))
         step = np.linalg.solve(hess, grad)
         beta = beta - step
         if np.abs(step).max() < 1e-8:
@@ -122,103 +157,98 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-2
     return beta
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, drift: float = 0.08, prior: float = 0.5, z_least: float = 3.0) -> ToxicityModel:
-    """Token log-odds under a Dirichlet prior from one half of the labelled sample, calibration from the other.
-
-    A token counts once for each text that has it, so that no long or repetitive text outweighs others.
-
-    Without labels of both classes the model is a constant: 1 where all labels are toxic, else 0."""
-    spark = documents.sparkSession
-    few = _labelled(documents, labels, sample)
-    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(few), "doc_id")
-    sizes = {(r["half"], r["toxic"]): r["count"] for r in few.groupBy("half", "toxic").count().collect()}
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, toxic, ns = [], [], []
-
-        def merged():
-            h, t, n = (np.concatenate(x) for x in (hs, toxic, ns))
-            u, at = np.unique(h, return_inverse=True)
-            tox = np.bincount(at, n * t, len(u)).astype(np.int64)
-            return u, tox, np.bincount(at, n * (1 - t), len(u)).astype(np.int64)
+def _counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences of every node in rows (text, toxic), by place: in toxic texts, and in all. At most 2^PLACE_BITS rows are shuffled by a task and reach the driver."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, 1 << PLACE_BITS), np.int64)
         for batch in batches:
             raw, offsets = text_of(batch.column("text"))
-            label = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
+            label = batch.column("toxic").to_numpy()
             for i, j in slices(offsets):
-                h, c, _, _ = hash_words(_WORDS[raw[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i])
-                owner = np.repeat(np.arange(i, j), c)
-                _, once = np.unique(h ^ mix(owner.astype(np.uint64) + np.uint64(1)), return_index=True)
-                key, n = _pairs(h[once], label[owner[once]])
-                hs.append(key[0])
-                toxic.append(key[1].astype(np.int64))
-                ns.append(n)
-        if hs:
-            u, tox, clean = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(tox), pa.array(clean)], ["h", "toxic", "clean"])
-
-    table = (
-        rows.where("half = 0").select("text", "toxic").mapInArrow(counts, "h long, toxic long, clean long")
-        .groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    )
-    table = materialize(table, "token-counts")
-    n1, n2 = (sum(n for (half, toxic), n in sizes.items() if half == 0 and (toxic > 0) == kind) for kind in (True, False))
-    if not n1 or not n2:
-        constant = 30.0 if n1 else -30.0
-        zero = np.zeros(3)
-        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), drift, 1.0, 1.0, zero, zero + 1, np.array([constant, 0, 0, 0]))
-    odds = lambda y, n: F.log((y + F.lit(prior)) / (F.lit(float(n) + prior) - y))
-    delta = odds(F.col("toxic"), n1) - odds(F.col("clean"), n2)
-    z = delta / F.sqrt(1 / (F.col("toxic") + F.lit(prior)) + 1 / (F.col("clean") + F.lit(prior)))
-    kept = (
-        table.select("h", "clean", delta.alias("delta"), z.alias("z")).where(F.abs("z") >= z_least)
-        .orderBy(F.abs("z").desc(), "h").limit(MODEL_TOKENS).toPandas()
-    )
-    presences = table.agg(F.sum("clean")).first()[0] or 0
-    h = kept["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    tokens, scores, clean = h[order], kept["delta"].to_numpy(float)[order], kept["clean"].to_numpy(float)[order]
-    model = ToxicityModel(tokens, scores, drift, _rate(scores, clean / max(presences, 1), drift), 1.0, np.zeros(3), np.ones(3), np.zeros(4))
+                places, counts, _, _ = nodes_of(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                owner = np.repeat(label[i:j], counts)
+                for own in places:
+                    for kind in (0, 1):
+                        held[kind] += np.bincount(own[owner == kind], minlength=held.shape[1])
+        at = np.flatnonzero(held.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[1, at]), pa.array(held[0, at])], ["place", "toxic", "clean"])
+
+    table = rows.select("text", "toxic").mapInArrow(run, "place int, toxic long, clean long").groupBy("place")
+    table = table.agg(F.sum("toxic").cast("float").alias("toxic"), F.sum(F.col("toxic") + F.col("clean")).cast("float").alias("all")).toArrow()
+    out = np.zeros((2, 1 << PLACE_BITS), np.float32)
+    out[:, table.column("place").to_numpy()] = table.column("toxic").to_numpy(), table.column("all").to_numpy()
+    return out[0], out[1]
+
+
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, drift: float = 0.5, strength: float = 8.0) -> ToxicityModel:
+    """Token log-odds under Dirichlet priors from one half of the labelled sample, calibration from the other.
+
+    Rows with null ids, labels or texts take no part; of repeated labels of an id the higher counts. Without labels
+    of both classes in the half that is counted the model is a constant: 1 where all its labels are toxic, else 0.
+    Of the other half, the driver sees three numbers a text."""
+    spark = documents.sparkSession
+    few = _labelled(documents, labels, sample)
+    classes = {r["toxic"] for r in few.where("half = 0").select("toxic").distinct().collect()}
+    zero = np.zeros(3)
+    if classes != {0, 1}:
+        flat = np.zeros(1 << PLACE_BITS, np.float32)
+        return ToxicityModel(flat, flat, 0.5, strength, drift, 1.0, 1.0, zero, zero + 1, np.array([30.0 if classes == {1} else -30.0, 0, 0, 0]))
+    toxic, every = _counted(few.where("half = 0"))
+    share = min(max(float(toxic.sum(dtype=np.float64) / max(every.sum(dtype=np.float64), 1)), 1e-6), 1 - 1e-6)
+    model = ToxicityModel(toxic, every, share, strength, drift, 1.0, 1.0, zero, zero + 1, np.zeros(4))
     shared = spark.sparkContext.broadcast(model)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             raw, offsets = text_of(batch.column("text"))
-            out = []
+            label = batch.column("toxic").to_numpy()
+            ms, tops, bins = [], [], np.zeros(BINS, np.int64)
             for i, j in slices(offsets):
-                for m, found in passages(shared.value, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
-                    out.append((m, [x for _, _, x in found]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([m for m, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.float64())), batch.column("toxic")], ["m", "found", "toxic"]
-            )
-
-    seen = rows.where("half = 1").select("text", "toxic").mapInArrow(best, "m long, found array<double>, toxic int").toPandas()
-    y = seen["toxic"].to_numpy(float)
-    m = seen["m"].to_numpy(float)
-    top = np.array([max(x) if len(x) else 0.0 for x in seen["found"]])
-    hit = (y == 0) & (top > 0)
+                own = offsets[i : j + 1] - offsets[i]
+                places, counts, starts, lengths = nodes_of(raw[offsets[i] : offsets[j]], own)
+                s = model.token_scores(places)
+                clean = s[np.repeat(label[i:j], counts) == 0]
+                bins += np.bincount(np.clip(np.round(clean / BIN).astype(np.int64) + BINS // 2, 0, BINS - 1), minlength=BINS)
+                for m, found in _segments(s, counts, starts, lengths, own):
+                    ms.append(m)
+                    tops.append(max((x for _, _, x in found), default=0.0))
+            # the bins of a batch go with its first text
+            yield pa.RecordBatch.from_arrays([pa.array(ms, pa.int64()), pa.array(tops, pa.float64()), batch.column("toxic"), pa.array([bins.tolist()] + [[]] * (len(ms) - 1) if ms else [], pa.list_(pa.int64()))], ["m", "top", "toxic", "bins"])
+
+    rest = few.where("half = 1").select("text", "toxic")
+    seen = materialize(rest.mapInArrow(best, "m long, top double, toxic int, bins array<long>"), "segments")
+    bins = np.zeros(BINS, np.int64)
+    for r in seen.where(F.size("bins") > 0).select(F.posexplode("bins").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():
+        bins[r["i"]] = r["n"]
+    rate = _rate((np.arange(BINS) - BINS // 2) * BIN, bins / max(bins.sum(), 1))
     # the mean of a Gumbel variable with location ln(K m) / rate is (ln(K m) + Euler's constant) / rate
-    size = math.exp(float(np.mean(model.rate * top[hit] - np.log(np.maximum(m[hit], 1)))) - EULER) if hit.any() else 1.0
-    model = ToxicityModel(tokens, scores, drift, model.rate, size, model.centre, model.spread, model.beta)
-    x = np.array([statistics(model, int(a), [(0, 0, v) for v in b]) for a, b in zip(m, seen["found"], strict=True)]).reshape(-1, 3)
-    if not len(y) or y.min() == y.max():
-        return ToxicityModel(tokens, scores, drift, model.rate, size, np.zeros(3), np.ones(3), np.array([-3.0, 1.0, 0, 0]))
-    centre, spread = x.mean(0), x.std(0) + 1e-9
-    return ToxicityModel(tokens, scores, drift, model.rate, size, centre, spread, _logistic((x - centre) / spread, y))
+    excess = F.lit(rate) * F.col("top") - F.log(F.greatest(F.col("m"), F.lit(1)).cast("double"))
+    mean = seen.where("toxic = 0 and top > 0").agg(F.avg(excess).alias("mean")).first()["mean"]
+    model = replace(model, rate=rate, size=1.0 if mean is None else math.exp(mean - EULER))
+    rate, size = model.rate, model.size
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = replace(shared.value, rate=rate, size=size)
+        for batch in batches:
+            x = _statistics(model, *text_of(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2]), batch.column("toxic")], ["a", "b", "c", "toxic"])
 
-def _pairs(h: np.ndarray, label: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """Distinct (hash, label) and their counts."""
-    parts = [np.unique(h[label == v], return_counts=True) for v in (0, 1)]
-    return (np.concatenate([p[0] for p in parts]), np.repeat([0, 1], [len(p[0]) for p in parts])), np.concatenate([p[1] for p in parts])
+    table = rest.mapInArrow(measure, "a double, b double, c double, toxic int").orderBy("a", "b", "c", "toxic").toArrow()
+    x = np.column_stack([table.column(c).to_numpy() for c in "abc"])
+    y = table.column("toxic").to_numpy().astype(float)
+    if not len(y) or y.min() == y.max():
+        return replace(model, beta=np.array([-3.0, 1.0, 0, 0]))
+    centre, spread = x.mean(0), x.std(0) + 1e-9
+    return replace(model, centre=centre, spread=spread, beta=_logistic((x - centre) / spread, y))
 
 
-def _rate(scores: np.ndarray, share: np.ndarray, drift: float) -> float:
-    """The positive root of sum p exp(rate s) = 1 over clean tokens; 1 where there is none."""
-    rest = max(1 - share.sum(), 0.0)
-    if not (scores > 0).any():
+def _rate(scores: np.ndarray, share: np.ndarray) -> float:
+    """The positive root of sum share exp(rate score) = 1 over clean tokens; 1 where there is none."""
+    if not share[scores > 0].any():
         return 1.0
-    f = lambda r: float((share * np.exp(np.minimum(r * scores, 500))).sum() + rest * math.exp(-r * drift) - 1)
+    f = lambda r: float((share * np.exp(np.minimum(r * scores, 500))).sum() - 1)
     lo, hi = 1e-4, 1e-4
     while f(hi) <= 0 and hi < 64:
         lo, hi = hi, hi * 2
@@ -230,11 +260,17 @@ def _rate(scores: np.ndarray, share: np.ndarray, drift: float) -> float:
     return (lo + hi) / 2
 
 
+def _statistics(model: ToxicityModel, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Each text's statistics, n x 3."""
+    found = [statistics(model, m, own) for i, j in slices(offsets) for m, own in passages(model, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
+    return np.array(found, float).reshape(-1, 3)
+
+
 def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, score, n_passages, passages (byte start, byte end, score) for every document; whole texts, no shuffle.
 
     Null and empty texts have no passage and get the score of such a text. Repeated rows are kept; only doc_id
-    is carried. The broadcast model has at most MODEL_TOKENS tokens."""
+    is carried. The broadcast model is 2^PLACE_BITS places."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
@@ -257,7 +293,10 @@ def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def judge(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted, passages: fit on labelled rows outside the held-out fifth, then score all."""
+    """doc_id, held_out, score, predicted, passages: fit on labelled rows outside the held-out fifth, then score all.
+
+    Null and empty texts are scored as texts without a passage; null ids are never labelled, and held out as the empty
+    string is; repeated rows are scored each; empty tables give no rows."""
     scored = score(documents, fit(documents, labels, sample))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
@@ -271,11 +310,6 @@ def reject(documents: DataFrame, model: ToxicityModel, threshold: float = 0.5) -
         model = shared.value
         for batch in batches:
             raw, offsets = text_of(batch.column("text").fill_null(""))
-            stats = [
-                statistics(model, m, found)
-                for i, j in slices(offsets)
-                for m, found in passages(model, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            ]
-            yield batch.filter(pa.array(model.probability(np.array(stats).reshape(-1, 3)) < threshold))
+            yield batch.filter(pa.array(model.probability(_statistics(model, raw, offsets)) < threshold))
 
     return documents.mapInArrow(run, documents.schema)
