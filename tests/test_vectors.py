@@ -88,11 +88,25 @@ def test_beam_by_joins_agrees(spark, blobs):
     index = I.VectorIndex.build(frame(spark, blobs[:400]), params=BuildParams(c_max=100))
     asked = S.from_table(frame(spark, blobs[400:420])).withColumn("id", F.col("id") + 5000)
     start = index._starts(asked, 32)
-    found = search.beam_by_joins(index.points, index.edges, asked, start, 32, 20)
+    found = search.beam_by_joins(index.points, index.edges, asked, start, 32)
     exact = I.exact.query_knn(index.points, asked, 400, 10)
     assert evaluate.recall_at_k(found, exact, 10).first()["recall"] >= 0.95
 
 
+@pytest.mark.parametrize("way", ["beam", "warm"])
+def test_both_forms_of_the_beam_give_the_same(spark, blobs, monkeypatch, way):
+    index = I.VectorIndex.build(frame(spark, blobs[:500]), params=BuildParams(c_max=100))
+    asked = frame(spark, blobs[500:530])
+
+    def answers():
+        own = index.self_knn(8, SearchParams(strategy=way, beam=20)).toPandas().sort_values(["id", "rank"])
+        return own[["id", "rank", "nbr"]].values.tolist(), index.query(asked, 5, 16).toPandas().sort_values(["id", "rank"])[["id", "rank", "nbr"]].values.tolist()
+
+    broadcast = answers()
+    monkeypatch.setattr(search, "GRAPH_BYTES", 0)
+    assert answers() == broadcast
+
+
 def test_queries_as_a_stream(spark, blobs, tmp_path):
     from vecloom.streaming.search import query_stream
 
@@ -115,6 +129,15 @@ def test_carving_invariants(spark, blobs):
     assert not leaves.duplicated(["leaf_id", "id"]).any()
 
 
+def test_carving_keeps_equal_points_of_wide_ids(spark, monkeypatch):
+    for ranked in (65_536, 30):
+        monkeypatch.setattr(partition, "RANKED", ranked)
+        points = spark.createDataFrame([(i << 33, [1.0, 2.0]) for i in range(400)] + [(7, [1.0, 2.0])] * 100, "id long, vec array<double>")
+        leaves = partition.carve(points, 48).toPandas()
+        assert sorted(leaves.id) == sorted([i << 33 for i in range(400)] + [7] * 100)
+        assert sorted(leaves.groupby("leaf_id").size()) == [20, *[48] * 10]
+
+
 def test_leaders_by_shuffle_agree(spark, blobs, monkeypatch):
     points = S.from_table(frame(spark, blobs[:300])).withColumn("node", F.col("id") % 3)
     lead = partition.leaders(points, 20, 4)

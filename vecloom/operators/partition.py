@@ -22,6 +22,8 @@ from vecloom.sources.vectors import hash_order
 LEADERS = 64
 #: Deepest level; nodes that are still too large there are cut up by hash.
 DEPTH = 24
+#: Rows of a node that are ranked in one task, aimed at.
+RANKED = 65_536
 #: Bytes of leaders or centroids that are broadcast at most; beyond, points meet them by a shuffle.
 BROADCAST_BYTES = 64 << 20
 #: Centroids that a point is compared with directly; beyond, it is routed through groups of centroids.
@@ -86,20 +88,28 @@ def assign(points: DataFrame, lead: DataFrame, most: int | None = None) -> DataF
 
 
 def chunk(points: DataFrame, sizes: DataFrame, c_max: int, seed: int) -> DataFrame:
-    """(node, id, vec, place): nodes cut into chunks of about 4/5 c_max by hash, whatever their points are."""
-    parts = F.ceil(F.col("size") * 1.25 / c_max)
-    return points.join(sizes, "node").select("node", "id", "vec", F.pmod(hash_order(F.col("id"), seed + 1), parts).cast("long").alias("place"))
+    """(node, id, vec, place): nodes cut into chunks of c_max (the last may be smaller) in the order of (hash, id), whatever their points are.
+
+    A large node is ranked in ranges of the hash, so that no task holds it; repeated ids are points of their own."""
+    hashed = points.join(sizes, "node").select("node", "id", "vec", "size", hash_order(F.col("id"), seed + 1).alias("hash"))
+    ranges = F.ceil(F.col("size") / RANKED)
+    hashed = hashed.withColumn("range", F.floor(F.col("hash") * ranges / float(1 << 32)))
+    before = F.sum("n").over(Window.partitionBy("node").orderBy("range")) - F.col("n")
+    counted = hashed.groupBy("node", "range").agg(F.count(F.lit(1)).alias("n")).select("node", "range", before.alias("before"))
+    own = F.row_number().over(Window.partitionBy("node", "range").orderBy("hash", "id"))
+    ranked = hashed.withColumn("own", own).join(counted, ["node", "range"])
+    return ranked.select("node", "id", "vec", F.floor((F.col("before") + F.col("own") - 1) / c_max).cast("long").alias("place"))
 
 
 def carve(points: DataFrame, c_max: int = 2048, seed: int = 0) -> DataFrame:
     """(leaf_id, id, vec): disjoint leaves of at most c_max points.
 
-    The driver sees sums of sizes only. A node whose largest child holds over 9/10 of it (equal points, above all)
-    is cut up by hash, and so is any node left at the deepest level."""
+    The driver sees sums of sizes only. A child that holds over 9/10 of its node (equal points, above all) is cut
+    up by hash, and so is any node left at the deepest level; every point ends in one leaf."""
     first = points.select(F.size("vec").alias("d")).first()
     level = points.select(F.lit(0).cast("long").alias("node"), "id", "vec", F.lit(False).alias("stuck"))
     done = []
-    for depth in range(DEPTH + 8):
+    for depth in range(DEPTH + 2):
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("stuck").alias("stuck"))
         sizes = checkpointed(sizes, "sizes")
         counted = level.drop("stuck").join(sizes, "node")
@@ -108,6 +118,8 @@ def carve(points: DataFrame, c_max: int = 2048, seed: int = 0) -> DataFrame:
         nodes = large.count()
         if not nodes:
             break
+        if depth > DEPTH:
+            raise RuntimeError(f"{nodes} nodes are too large below the deepest level")
         at_end = depth >= DEPTH
         rest = counted.where(F.col("size") > c_max)
         even = rest.where(F.lit(not at_end) & ~F.col("stuck")).select("node", "id", "vec")

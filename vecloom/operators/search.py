@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions.vectors import direct_sq_l2, emit, sq_l2
-from vecloom.operators.blocks import batch, every, join_blocks, matrix
+from vecloom.operators.blocks import QUERIES, batch, every, join_blocks, matrix, smallest
 from vecloom.operators.exact import nearest_in_block, top_k, with_self
 
 #: A graph up to this size, vectors included, is broadcast for beam search; beyond, beams advance by joins.
 GRAPH_BYTES = 256 << 20
 #: Seeds of a query.
 SEEDS = 16
+#: Pairs whose distances are taken at once; bytes of the record of points seen by the beams that advance together.
+PAIRS, SEEN_BYTES = 65_536, 16 << 20
 
 
 def pivot_count(n: int, beam: int) -> int:
@@ -63,77 +65,80 @@ def local_graph(points: DataFrame, edges: DataFrame) -> LocalGraph:
     return LocalGraph(ids, x, start, dst[order])
 
 
-def beam_walk(graph: LocalGraph, q: np.ndarray, entry: np.ndarray, width: int, stamp: np.ndarray, mark: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, squared distances) of the beam, nearest first: expands the nearest unvisited candidate until all are visited.
-
-    A neighbour enters if there is room or it is nearer than the last; equals go behind. stamp and mark are the
-    caller's record of points seen, used again for each query."""
-    entry = np.unique(entry)
-    stamp[entry] = mark
-    d2 = direct_sq_l2(graph.x[entry], q)
-    order = np.lexsort((entry, d2))[:width]
-    at, d2 = entry[order], d2[order]
-    open_ = np.ones(len(at), bool)
-    while open_.any():
-        k = int(open_.argmax())
-        open_[k] = False
-        near = graph.to[graph.start[at[k]] : graph.start[at[k] + 1]]
-        near = near[stamp[near] != mark]
-        if not len(near):
-            continue
-        stamp[near] = mark
-        new = direct_sq_l2(graph.x[near], q)
-        if len(at) >= width:
-            good = new < d2[-1]
-            near, new = near[good], new[good]
-        at, d2 = np.concatenate([at, near]), np.concatenate([d2, new])
-        open_ = np.concatenate([open_, np.ones(len(near), bool)])
-        order = np.argsort(d2, kind="stable")[:width]
-        at, d2, open_ = at[order], d2[order], open_[order]
-    return at, d2
+def beam_walks(graph: LocalGraph, q: np.ndarray, row: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, place, squared distance) of all beams, by row and nearest first, from the entries (row, place).
+
+    A round expands all unvisited members of every beam at once and keeps each beam's `width` nearest, equals by
+    place; beams end when all their members are visited. beam_by_joins takes the same rounds."""
+    n = len(graph.ids)
+    seen = np.zeros((len(q), n), bool)
+
+    def measured(row, at):
+        parts = [direct_sq_l2(graph.x[at[i : i + PAIRS]], q[row[i : i + PAIRS]]) for i in range(0, len(row), PAIRS)]
+        return np.concatenate([np.zeros(0), *parts])
+
+    row, at = np.divmod(np.unique(row * n + at), max(n, 1))
+    seen[row, at] = True
+    d2 = measured(row, at)
+    top = smallest(row, d2, at, width)
+    row, at, d2 = row[top], at[top], d2[top]
+    fresh = np.ones(len(row), bool)
+    while fresh.any():
+        r, v = row[fresh], at[fresh]
+        degree = graph.start[v + 1] - graph.start[v]
+        first = np.repeat(graph.start[v] - np.cumsum(degree) + degree, degree)
+        r, v = np.repeat(r, degree), graph.to[first + np.arange(len(first))]
+        new = ~seen[r, v]
+        r, v = np.divmod(np.unique(r[new] * n + v[new]), max(n, 1))
+        seen[r, v] = True
+        row, at, d2 = np.concatenate([row, r]), np.concatenate([at, v]), np.concatenate([d2, measured(r, v)])
+        fresh = np.arange(len(row)) >= len(fresh)
+        top = smallest(row, d2, at, width)
+        row, at, d2, fresh = row[top], at[top], d2[top], fresh[top]
+    return row, at, d2
 
 
 def beam_search(spark: SparkSession, graph: LocalGraph, starts: DataFrame, width: int, k: int, skip_self: bool) -> DataFrame:
     """(id, nbr, d2) of starts (id, vec, seeds array<long>): the k nearest found for each query."""
     shared = spark.sparkContext.broadcast(graph)
     width = max(width, k + skip_self)
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = shared.value
-        stamp, mark = np.zeros(len(graph.ids), np.int64), 0
+        step = max(1, min(QUERIES, SEEN_BYTES // max(len(graph.ids), 1)))
         for b in batches:
-            ids, x = b.column("id").to_numpy(), matrix(b.column("vec"))
-            out = []
-            for i, entry in enumerate(b.column("seeds").to_pylist()):
-                mark += 1
-                at, d2 = beam_walk(graph, x[i], graph.place(np.array(entry, np.int64)), width, stamp, mark)
+            for i in range(0, b.num_rows, step):
+                part = b.slice(i, step)
+                ids, x, entry = part.column("id").to_numpy(), matrix(part.column("vec")), part.column("seeds")
+                owner = np.repeat(np.arange(len(ids)), entry.value_lengths().to_numpy())
+                row, at, d2 = beam_walks(graph, x, owner, graph.place(entry.flatten().to_numpy()), width)
                 if skip_self:
-                    other = graph.ids[at] != ids[i]
-                    at, d2 = at[other], d2[other]
-                out.append((np.full(min(k, len(at)), ids[i]), graph.ids[at[:k]], d2[:k]))
-            if out:
-                own, nbr, d2 = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield batch(id=own, nbr=nbr, d2=d2)
+                    other = graph.ids[at] != ids[row]
+                    row, at, d2 = row[other], at[other], d2[other]
+                near = np.arange(len(row)) - np.searchsorted(row, row) < k
+                yield batch(id=ids[row[near]], nbr=graph.ids[at[near]], d2=d2[near])
 
-    return starts.select("id", "vec", "seeds").mapInArrow(run, "id long, nbr long, d2 double")
+    return starts.select("id", "vec", "seeds").repartition(parts, "id").mapInArrow(run, "id long, nbr long, d2 double")
 
 
-def beam_by_joins(points: DataFrame, edges: DataFrame, queries: DataFrame, start: DataFrame, width: int, rounds: int, d: int | None = None) -> DataFrame:
-    """(id, nbr, d2): beams (id, nbr, d2) advanced for a number of rounds by joins, for graphs that no task can hold.
+def beam_by_joins(points: DataFrame, edges: DataFrame, queries: DataFrame, start: DataFrame, width: int, d: int | None = None) -> DataFrame:
+    """(id, nbr, d2): beams that begin as the `width` nearest of start (id, nbr, d2) and advance by joins, for graphs that no task can hold.
 
-    A round expands all unvisited members of each beam at once, scores the neighbours, and keeps the `width` nearest."""
+    A round expands all unvisited members of each beam at once, scores the neighbours, and keeps the `width`
+    nearest; the rounds end when no beam has an unvisited member, as beams only ever get nearer."""
     from vecloom.session import checkpointed
 
     q, p = queries.select("id", F.col("vec").alias("q")), points.select(F.col("id").alias("nbr"), "vec")
-    beam = start.select("id", "nbr", "d2", F.lit(False).alias("visited"))
-    for _ in range(rounds):
+    beam = top_k(start.select("id", "nbr", "d2", F.lit(False).alias("visited")), width).select("id", "nbr", "d2", "visited")
+    while True:
+        beam = checkpointed(beam, "beam")
+        if beam.where("not visited").isEmpty():
+            return beam.select("id", "nbr", "d2")
         fresh = beam.where("not visited").join(edges.select(F.col("src").alias("nbr"), "dst"), "nbr").select("id", F.col("dst").alias("nbr")).distinct()
         fresh = fresh.join(beam.select("id", "nbr"), ["id", "nbr"], "left_anti")
         scored = fresh.join(q, "id").join(p, "nbr").select("id", "nbr", sq_l2(F.col("q"), F.col("vec"), d).alias("d2"), F.lit(False).alias("visited"))
-        beam = checkpointed(top_k(beam.withColumn("visited", F.lit(True)).union(scored), width).select("id", "nbr", "d2", "visited"), "beam")
-        if beam.where("not visited").isEmpty():
-            break
-    return beam.select("id", "nbr", "d2")
+        beam = top_k(beam.withColumn("visited", F.lit(True)).union(scored), width).select("id", "nbr", "d2", "visited")
 
 
 def expand(candidates: DataFrame, edges: DataFrame, nearest: int = 6) -> DataFrame:

@@ -84,22 +84,24 @@ class VectorIndex:
             packed = starts.groupBy("id").agg(F.collect_list("nbr").alias("seeds")).join(queries, "id")
             found = search.beam_search(df.sparkSession, self._local(), packed, beam, k, False)
         else:
-            found = search.beam_by_joins(self.points, self.edges, queries, starts, max(beam, k), 32, self.d)
+            found = search.beam_by_joins(self.points, self.edges, queries, starts, max(beam, k), self.d)
         return search.shown(found, k, self.params.metric)
 
     def self_knn(self, k: int = 15, params: SearchParams | None = None) -> DataFrame:
-        """(id, rank 0..k, nbr, dist) by the strategy of params (auto: beam where the graph fits a task, else reservoir)."""
+        """(id, rank 0..k, nbr, dist) by the strategy of params; auto is beam.
+
+        Where a task can hold the graph its beams advance there, else by joins: the same rounds, so the same beams."""
         params = params or SearchParams()
-        way = params.strategy
-        if way == "auto":
-            way = "beam" if self._fits() else "reservoir"
+        way = "beam" if params.strategy == "auto" else params.strategy
         if way == "exact":
             return exact.self_knn(self.points, self.n, k, self.params.metric)
         if way == "reservoir":
             return search.reservoir_knn(self.candidates, self.edges, self.points, k, self.params.metric, params.refine, self.d)
         if not self._fits():
-            start = self.candidates.select(F.col("src").alias("id"), F.col("dst").alias("nbr")).union(self.points.select("id", F.col("id").alias("nbr")))
-            found = search.beam_by_joins(self.points, self.edges, self.points, search.score(start, self.points, self.d), max(params.beam, k + 1), 8, self.d)
+            start = self.points.select("id", F.col("id").alias("nbr"), F.lit(0.0).alias("d2"))
+            if way == "warm":
+                start = start.union(search.score(self.candidates.select(F.col("src").alias("id"), F.col("dst").alias("nbr")).where("id <> nbr"), self.points, self.d))
+            found = search.beam_by_joins(self.points, self.edges, self.points, start, max(params.beam, k + 1), self.d)
             found = found.where("id <> nbr")
         else:
             starts = self.points.withColumn("seeds", F.array("id"))

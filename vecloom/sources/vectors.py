@@ -52,8 +52,11 @@ def validate(points: DataFrame, dim: int | None = None) -> tuple[int, int]:
 
 
 def hash_order(id_col: Column, seed: int = 0) -> Column:
-    """An arithmetic hash in 0..2^32-1 that other SQL engines compute alike: what random choices are ordered by."""
-    return F.pmod(F.pmod(id_col, F.lit(2147483648)) * F.lit(2654435761) + F.lit(seed % 4294967296), F.lit(4294967296))
+    """An arithmetic hash of all 64 bits in 0..2^32-1 that other SQL engines compute alike: what random choices are ordered by.
+
+    The products stay within 63 bits: 2^31 * 2654435761 + 2^32 * 668265261 < 2^63."""
+    low, high = F.pmod(id_col, F.lit(2147483648)) * F.lit(2654435761), F.shiftright(id_col.cast("long"), 31) * F.lit(668265261)
+    return F.pmod(low + high + F.lit(seed % 4294967296), F.lit(4294967296))
 
 
 def subsample(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
