@@ -2,8 +2,12 @@
 
 import gzip
 import hashlib
+import math
 import random
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,8 +49,6 @@ def test_verdicts(spark):
         kind, rule = plain_rule(host, path)
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
         raw = (host + path).encode()
-        import numpy as np
-
         p = model.probability(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
         assert r["probability"] == pytest.approx(p) and r["verdict"] == (kind or ("block" if p >= 0.5 else "allow"))
     assert url_filter.judge_urls(df.limit(0)).count() == 0
@@ -54,18 +56,44 @@ def test_verdicts(spark):
 
 def test_classifier_learns_its_table_and_its_kin():
     model = url_filter.fit()
-    import numpy as np
-
     def p(text):
         raw = np.frombuffer(text.encode(), np.uint8)
         return model.probability(raw, np.array([0, len(raw)]))[0]
 
-    for url, y in url_filter.LABELLED:
+    for url, y in url_filter.labelled_urls():
         assert (p(url.split("://")[1].split("?")[0]) >= 0.5) == bool(y)
     assert p("shop.cheap-pills.example.com/new/1") > 0.5 > p("www.therti.example.org/en/618/")
     assert url_filter.fit([]).bias < 0 < url_filter.fit([("http://a/", 1)]).bias
 
 
+def test_classifier_equals_a_plain_one_and_holds_on_urls_not_seen():
+    rows = url_filter.labelled_urls()
+    held = [r for r in rows if zlib.crc32(r[0].encode()) % 4 == 0]
+    seen = [r for r in rows if zlib.crc32(r[0].encode()) % 4]
+    bare = lambda u: u.split("://")[1].split("?")[0].encode()
+    grams = lambda t: [t[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1)]
+    few, y = [grams(bare(u)) for u, _ in seen[::12]], [v for _, v in seen[::12]]
+    w, bias = Counter(), 0.0
+    for _ in range(50):
+        error = [1 / (1 + math.exp(-(sum(w[g] for g in t) / math.sqrt(len(t)) + bias))) - v for t, v in zip(few, y, strict=True)]
+        step = Counter({g: 1e-4 * x for g, x in w.items()})
+        for t, e in zip(few, error, strict=True):
+            for g in t:
+                step[g] += e / math.sqrt(len(t))
+        for g, x in step.items():
+            w[g] -= 0.5 * x
+        bias -= 0.5 * sum(error) / len(error)
+
+    def of(model, urls):
+        raw = [bare(u) for u, _ in urls]
+        return model.probability(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+
+    plain = [1 / (1 + math.exp(-(sum(w[g] for g in grams(bare(u))) / math.sqrt(len(grams(bare(u)))) + bias))) for u, _ in held]
+    assert of(url_filter.fit(seen[::12], buckets=1 << 24, epochs=50), held) == pytest.approx(plain, abs=1e-6)
+    hit = (of(url_filter.fit(seen), held) >= 0.5) == np.array([v for _, v in held])
+    assert hit.mean() > 0.95
+
+
 def pages(spark):
     rng = random.Random(7)
     rows = [(i, f"http://h{i % 3}.example.com/p/{i % 40}?q={i % 2}", f"<p>{'text ' * rng.randint(0, 60)}{i % 25}</p>") for i in range(300)]

@@ -18,8 +18,14 @@ from pyspark.sql import functions as F
 
 from .vectors import best, by_cell, finite, matrix, one_for_each_id
 
-#: Rows the trees are fitted on; those in a query's visited leaves also give it a first floor for its k-th best score.
-SAMPLE_ROWS = 16_384
+#: Rows the trees are fitted on: at least so many, and one of each SAMPLE_SHARE rows while they take at most SAMPLE_BYTES on the driver.
+SAMPLE_ROWS, SAMPLE_SHARE, SAMPLE_BYTES = 16_384, 32, 64 << 20
+#: Sample rows that are broadcast: those in a query's visited leaves give it a first floor for its k-th best score.
+FLOOR_ROWS, FLOOR_BYTES = 16_384, 32 << 20
+#: Sample rows for each leaf of a tree, so that cuts are near medians.
+ROWS_PER_LEAF = 16
+#: Bits of a leaf's number and, with the tree's, of a cell.
+LEAF_BITS, CELL_BITS = 24, 32
 #: Rows of a leaf that meet in one task; a fuller leaf is dealt out to several.
 LEAF_ROWS = 16_384
 TREES = 8
@@ -108,40 +114,42 @@ def first_copies(ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
 def search(vectors: DataFrame, queries, k: int = 20, trees: int = TREES, leaf_rows: int = 768, effort: float = 0.6, seed: int = 0) -> DataFrame:
     """query_id, rank, vec_id, score: of every query the k largest inner products found among the other vectors.
 
-    vectors has id and vec (finite, not zero); queries is a condition on id. The depth gives leaves of about
-    leaf_rows (at most 1,024 leaves a tree, 16 sample rows each); a query visits effort * (all leaves) ^ 0.8 of
-    them, and more where these hold too few rows: it gets k others, or all if there are fewer. Ties go to smaller
-    ids. One row stands for each id, null ids take no part.
+    vectors has id and vec (finite, not zero); queries is a condition on id. The depth grows with the rows, for
+    leaves of about leaf_rows, as far as the bounded sample has ROWS_PER_LEAF rows for each; a query visits
+    effort * (all leaves) ^ 0.8 of them, and more where these hold too few rows: it gets k others, or all if there
+    are fewer. Ties go to smaller ids. One row stands for each id, null ids take no part; no rows give none.
     A leaf that many equal vectors crowd is dealt out by id, and its queries go to all of its parts."""
     spark = vectors.sparkSession
     kind = vectors.schema["vec"].dataType.simpleString()
     rows, d = one_for_each_id(vectors, "vectors")
     n = rows.count()
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).collect()
-    sample_ids = np.array([r["id"] for r in drawn], np.int64)
-    sample = np.array([r["vec"] for r in drawn], np.float64).reshape(len(drawn), d)
-    most = int(math.log2(max(len(drawn) / 16, 1)))
+    fitted = max(min(max(SAMPLE_ROWS, n // SAMPLE_SHARE), SAMPLE_BYTES // (8 * max(d, 1))), 1)
+    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(fitted).select("id", "vec").toArrow()
+    sample_ids = drawn.column("id").to_numpy()
+    sample = matrix(drawn.column("vec").combine_chunks(), d)
+    most = int(math.log2(max(len(sample) / ROWS_PER_LEAF, 1)))
     depth = min(max(math.ceil(math.log2(max(n / leaf_rows, 1))), 0), most)
     forest = grow(sample, depth, trees, seed)
     total = trees * 2**depth
     budget = min(total, math.ceil(max(effort * total**0.8, trees)))
+    sample_ids, sample = (x[: max(min(FLOOR_ROWS, FLOOR_BYTES // (8 * max(d, 1))), 1)] for x in (sample_ids, sample))
     shared = spark.sparkContext.broadcast((forest, sample_ids, sample, forest.leaves(sample)))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shared.value[0]
         for batch in batches:
             leaf = forest.leaves(matrix(batch.column("vec"), d))
-            cell = (leaf | (np.arange(len(leaf))[:, None] << 12)).astype(np.int32)
+            cell = leaf | (np.arange(len(leaf))[:, None] << LEAF_BITS)
             for t in range(len(leaf)):
                 yield pa.RecordBatch.from_arrays([pa.array(cell[t]), batch.column("id"), batch.column("vec")], ["cell", "id", "vec"])
 
-    indexed = rows.select("id", "vec").mapInArrow(cells, f"cell int, id long, vec {kind}")
-    only = rows.select("id", "vec").mapInArrow(lambda b: (x.select(["cell"]) for x in cells(b)), "cell int")
-    filled = only.groupBy("cell").count().collect()  # at most trees * 1,024 rows
+    indexed = rows.select("id", "vec").mapInArrow(cells, f"cell long, id long, vec {kind}")
+    only = rows.select("id", "vec").mapInArrow(lambda b: (x.select(["cell"]) for x in cells(b)), "cell long")
+    filled = only.groupBy("cell").count().collect()  # at most all leaves of the forest
     parts = {r["cell"]: -(-r["count"] // LEAF_ROWS) for r in filled if r["count"] > LEAF_ROWS}
     sizes = np.zeros((trees, 2**depth), np.int64)
     for r in filled:
-        sizes[r["cell"] >> 12, r["cell"] & 0xFFF] = r["count"]
+        sizes[r["cell"] >> LEAF_BITS, r["cell"] & ((1 << LEAF_BITS) - 1)] = r["count"]
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cells(batches):
@@ -150,7 +158,7 @@ def search(vectors: DataFrame, queries, k: int = 20, trees: int = TREES, leaf_ro
             for c, p in parts.items():
                 own = cell == c
                 part[own] = batch.column("id").to_numpy()[own] % p
-            yield pa.RecordBatch.from_arrays([pa.array(cell | part << 20), batch.column("id"), batch.column("vec")], ["cell", "id", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell | part << CELL_BITS), batch.column("id"), batch.column("vec")], ["cell", "id", "vec"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, ids, sample, leaf_of = shared.value
@@ -166,10 +174,10 @@ def search(vectors: DataFrame, queries, k: int = 20, trees: int = TREES, leaf_ro
                     met = np.zeros(sizes.shape, bool)
                     for t, leaf in forest.walk(margins[r], budget, sizes, min(k + 1, n)):
                         met[t, leaf] = True
-                        c = t << 12 | leaf
+                        c = t << LEAF_BITS | leaf
                         for p in range(parts.get(c, 1)):
                             row.append(i + r)
-                            cell.append(c | p << 20)
+                            cell.append(c | p << CELL_BITS)
                     score[r, ~np.take_along_axis(met, leaf_of, 1).any(0)] = -np.inf  # only what the leaves give again
                 floor = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(q[part]), -np.inf)
                 floor = floor - room(q[part], sample)
@@ -195,7 +203,7 @@ def search(vectors: DataFrame, queries, k: int = 20, trees: int = TREES, leaf_ro
             top = best(a, exact, ids[b], k)
             yield pa.RecordBatch.from_arrays([pa.array(query_ids[part][a[top]]), pa.array(ids[b[top]]), pa.array(exact[top])], ["query_id", "vec_id", "score"])
 
-    placed = rows.select("id", "vec").mapInArrow(dealt, f"cell long, id long, vec {kind}") if parts else indexed.withColumn("cell", F.col("cell").cast("long"))
+    placed = rows.select("id", "vec").mapInArrow(dealt, f"cell long, id long, vec {kind}") if parts else indexed
     asked = rows.where(queries).select("id", "vec").mapInArrow(route, f"cell long, id long, vec {kind}, floor double")
     stream = placed.select("cell", F.lit(0).alias("role"), "id", "vec", F.lit(0.0).alias("floor")).union(asked.select("cell", F.lit(1).alias("role"), "id", "vec", "floor"))
     found = stream.repartition("cell").sortWithinPartitions("cell", "role").mapInArrow(by_cell(rank_leaf, d, np.float64), "query_id long, vec_id long, score double")

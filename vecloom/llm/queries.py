@@ -15,43 +15,53 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector against all others by integer inner products; all vectors, ten rows a query."""
     return exact_topk.top_k_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4,096 tokens; a row for each piece."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op3_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector against all others through the forest; twenty rows a query."""
     return ann_forest.search_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records, indexed, and read back by look-up; a row for each page."""
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model of those outside the held-out seventh."""
     return kneser_ney.train_and_score(_table(spark, sf_dir, "documents"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their fingerprints and the components of these at 4 or fewer differing bits."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages judged by the fixed rules, else by the classifier."""
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded; counts and digests."""
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model of the labelled rows outside the held-out fifth."""
     judged = toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "held_out", "score", "predicted")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that repeated strings of 200 bytes cover; counts and digests."""
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 

@@ -16,29 +16,31 @@ from .common import byte_table, mix, powers, slices, text_of
 #: The rules that op7's contract fixes: (verdict, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
-#: The small labelled table the classifier learns from where the caller has none: (url, 1 for block).
-LABELLED = (
-    ("http://casino-win.example.com/en/1", 1), ("http://www.casino-win.example.org/de/20.html", 1),
-    ("https://m.best-casino.example.com/play", 1), ("http://online-casino-bonus.example.org/en/", 1),
-    ("http://cheap-pills.example.com/en/3", 1), ("https://blog.cheap-pills.example.org/fr/77", 1),
-    ("http://buy-cheap-meds.example.com/order", 1), ("http://pills-discount.example.org/en/5", 1),
-    ("https://free-bets.example.com/en/9", 1), ("http://www.free-bets.example.org/es/33?page=2", 1),
-    ("http://sports-bets-free.example.com/odds", 1), ("http://bet-now.example.org/live", 1),
-    ("https://spam-farm.example.org/en/12", 1), ("http://m.spam-farm.example.com/de/8/", 1),
-    ("http://link-farm.example.com/seo", 1), ("http://spam-links.example.org/en/44", 1),
-    ("http://xxx-video.example.com/adult", 1), ("http://adult-cams.example.org/xxx", 1),
-    ("http://payday-loans.example.com/apply", 1), ("http://replica-watches.example.org/shop", 1),
-    ("https://news.example.com/en/1", 0), ("http://www.example.org/de/20.html", 0),
-    ("https://m.weather.example.com/today", 0), ("http://library.example.org/en/", 0),
-    ("http://blog.garden.example.com/en/3", 0), ("https://blog.science.example.org/fr/77", 0),
-    ("http://university.example.com/courses", 0), ("http://museum.example.org/en/5", 0),
-    ("https://cooking.example.com/en/9", 0), ("http://www.history.example.org/es/33?page=2", 0),
-    ("http://travel.example.com/guide", 0), ("http://music.example.org/live", 0),
-    ("https://thering.example.org/en/12", 0), ("http://m.thather.example.com/de/8/", 0),
-    ("http://tionre.example.com/en/671", 0), ("http://thertion.example.org/en/44", 0),
-    ("http://www.therou.example.com/es/825", 0), ("http://ththan.example.org/en/960", 0),
-    ("http://blog.therhe.example.com/fr/12", 0), ("http://www.tionble.example.org/de/36", 0),
+#: Words of hosts and paths that blocklists and site directories commonly file under unwanted and under ordinary sites.
+UNWANTED = (
+    "casino", "poker", "jackpot", "slots", "roulette", "betting", "bets", "gamble", "viagra", "pills", "pharmacy", "meds", "steroids", "escort",
+    "adult", "porn", "xxx", "cams", "payday", "loans", "replica", "warez", "crack", "keygen", "torrent", "spam", "backlinks", "linkfarm", "cheap", "bonus",
 )
+ORDINARY = (
+    "news", "weather", "library", "museum", "university", "school", "history", "science", "garden", "cooking", "recipes", "travel", "music", "theatre",
+    "gallery", "hospital", "council", "parliament", "railway", "airport", "forest", "river", "village", "harbour", "football", "chess", "physics", "chemistry",
+    "biology", "grammar", "dictionary", "archive", "journal", "magazine", "radio", "bakery", "bicycle", "camera", "furniture", "astronomy",
+)
+#: Where a pair of words (w, p) and a number stand in a url, and further shapes for ordinary sites, which are most sites.
+SHAPES = ("http://{w}-{p}.com/", "https://www.{w}{p}.org/{n}.html", "http://{p}.{w}.net/{p}/{n}", "https://{w}.info/index?page={n}")
+COMMON = (
+    "https://blog.{w}.com/en/{n}", "http://m.{p}.org/de/{n}/", "https://www.the{w}.net/fr/{n}.html", "http://{w}and{p}.com/about",
+    "https://en.{p}.org/wiki/{w}", "http://{w}.city.gov/contact", "https://docs.{p}.io/{w}/", "http://www.{w}.co/es/{n}?page=2",
+)
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """(url, 1 for block): each word in each shape, beside other words of its list; what the classifier learns from where the caller has no table."""
+    out = []
+    for words, shapes, label in ((UNWANTED, SHAPES, 1), (ORDINARY, SHAPES + COMMON, 0)):
+        for i, w in enumerate(words):
+            out += [(shape.format(w=w, p=words[(i + 7 * k + 1) % len(words)], n=31 * i + k), label) for k, shape in enumerate(shapes)]
+    return out
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -100,9 +102,11 @@ class UrlClassifier:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(labelled: Sequence[tuple[str, int]] = LABELLED, buckets: int = 1 << 16, epochs: int = 300, rate: float = 0.5, l2: float = 1e-4) -> UrlClassifier:
-    """Batch gradient descent on a small labelled table of (host + path or url, label); one class only or no rows: a constant verdict."""
-    texts = [(u.split("://", 1)[-1].split("?")[0].split("#")[0].lower(), int(y)) for u, y in labelled if u]
+def fit(labelled: Sequence[tuple[str, int]] | None = None, buckets: int = 1 << 16, epochs: int = 300, rate: float = 0.5, l2: float = 1e-4) -> UrlClassifier:
+    """Batch gradient descent on a small labelled table of (host + path or url, label), labelled_urls() if none is given.
+
+    Null and empty urls take no part; one class only or no rows give a constant verdict."""
+    texts = [(u.split("://", 1)[-1].split("?")[0].split("#")[0].lower(), int(y)) for u, y in (labelled_urls() if labelled is None else labelled) if u]
     y = np.array([y for _, y in texts], float)
     model = UrlClassifier(np.zeros(buckets), 0.0)
     if not len(y) or y.min() == y.max():
