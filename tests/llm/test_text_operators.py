@@ -283,9 +283,42 @@ def test_groups_equal_all_pairs(spark, sf_dir, odd_documents):
     assert Counter(map(tuple, simhash.near_duplicates(docs).collect())) == want
 
 
-@pytest.mark.parametrize("homes", [16_384, 3])
-def test_links_are_complete(spark, monkeypatch, homes):
-    monkeypatch.setattr(simhash, "HOMES", homes)
+def test_xxh64_equals_the_library():
+    rng = random.Random(3)
+    data = [rng.randbytes(n) for n in [*range(100), 255, 256, 1000, 2048]]
+    raw = np.frombuffer(b"".join(data) + bytes(8), np.uint8)
+    size = np.array([len(x) for x in data])
+    for seed in (0, 42):
+        assert simhash.xxh64(raw, np.cumsum(size) - size, size, seed).tolist() == [xxhash.xxh64_intdigest(x, seed) for x in data]
+
+
+def test_fingerprints_of_long_texts_and_words(spark):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices(["Road", "sea", "é", "x" * 40, "A"], k=n)) for n in (3, 4, 5, 300, 1023)] + ["w" * 9000 + " b c d e", "a  b\t\tc", None, ""]
+    got = {r["doc_id"]: r["fp"] & (1 << 64) - 1 for r in simhash.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [plain_fingerprint(t) for t in texts]
+
+
+def test_anchors_cover_and_comparisons_stay_few():
+    rng = np.random.default_rng(12)
+    fp = rng.integers(0, 1 << 64, 4000, np.uint64)
+    other = fp.copy()
+    for _ in range(4):
+        other ^= np.uint64(1) << rng.integers(0, 64, 4000).astype(np.uint64)  # up to 4 bits apart
+    keys = [set(zip(*(x.tolist() for x in simhash.anchors(f)), strict=True)) for f in (fp, other)]
+    assert {r for r, _ in keys[0] & keys[1]} == set(range(4000))
+    pairs = []
+    for n in (50_000, 200_000):
+        _, key = simhash.anchors(rng.integers(0, 1 << 64, n, np.uint64))
+        _, size = np.unique(key, return_counts=True)
+        pairs.append(int((size * (size - 1) // 2).sum()) / n)
+    assert pairs[1] < 10  # comparisons for each of 200,000 fingerprints
+
+
+@pytest.mark.parametrize(("tile", "few"), [(16_384, 48), (16_384, 1), (3, 48)])
+def test_links_are_complete(spark, monkeypatch, tile, few):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "FEW", few)
     rng = random.Random(4)
     fps = {rng.getrandbits(64) for _ in range(150)}
     for f in list(fps)[:60]:

@@ -25,8 +25,8 @@ WORDS = regex.compile(
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 _NONE = np.int64(1 << 40)
-#: Parts that a worker keeps the ids of; a full cache is emptied.
-CACHE = 300_000
+#: Parts that a worker keeps the ids of; from a full cache go those that were not met again since they came.
+CACHE = 800_000
 
 
 def byte_alphabet() -> list[str]:
@@ -127,15 +127,21 @@ def merge_rounds(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndar
 class PartCache:
     """Ids of parts of texts by the parts' hashes: sorted hashes, and where in one flat array each part's ids lie.
 
-    words_of splits a part into the words that BPE merges within. The cache is bounded: a full one is emptied."""
+    words_of splits a part into the words that BPE merges within. The cache is bounded: from a full one go the parts
+    that were not met again, and all if that leaves it over half full."""
 
     def __init__(self, v: Vocabulary, words_of):
         self.v, self.words_of = v, words_of
-        self.clear()
-
-    def clear(self) -> None:
         self.keys, self.start = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.again = np.zeros(0, bool)
+
+    def shrink(self) -> None:
+        keep = self.again if self.again.sum() <= CACHE // 2 else np.zeros(len(self.keys), bool)
+        self.ids = gather(self.ids, self.start[keep], self.size[keep])
+        self.keys, self.size = self.keys[keep], self.size[keep]
+        self.start = np.cumsum(self.size) - self.size
+        self.again = np.zeros(len(self.keys), bool)
 
     def encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of parts, and their n + 1 offsets."""
@@ -155,12 +161,13 @@ class PartCache:
     def lookup(self, h: np.ndarray, part_at) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of parts with hashes h in order, and each part's number of ids; part_at(i) is the text of the i-th."""
         if len(self.keys) > CACHE:
-            self.clear()
+            self.shrink()
         unique, first, back = np.unique(h, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, unique)
         new = np.ones(len(unique), bool)
         if len(self.keys):
             new = self.keys[np.minimum(at, len(self.keys) - 1)] != unique
+            self.again[at[~new]] = True
         if new.any():
             ids, offsets = self.encode_parts([part_at(i) for i in first[new].tolist()])
             keys = np.concatenate([self.keys, unique[new]])
@@ -168,6 +175,7 @@ class PartCache:
             self.keys = keys[order]
             self.start = np.concatenate([self.start, offsets[:-1] + len(self.ids)])[order]
             self.size = np.concatenate([self.size, np.diff(offsets)])[order]
+            self.again = np.concatenate([self.again, np.zeros(len(keys) - len(self.again), bool)])[order]
             self.ids = np.concatenate([self.ids, ids])
             at = np.searchsorted(self.keys, unique)
         at = at[back]

@@ -195,17 +195,25 @@ def _fillings(room: int, lengths: list[int], counts: dict[int, int], width: int,
     return found[:width]
 
 
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """No packing has fewer bins: documents over half a bin stand alone, and all must fit by their sum."""
+    large = sum(n for f, n in counts.items() if 2 * f > capacity)
+    return max(large, -(-sum(f * n for f, n in counts.items()) // capacity))
+
+
 def bin_completion(counts: dict[int, int], capacity: int, width: int = 3, nodes: int = 300, decisions: int = 20_000) -> list[tuple[Pattern, int]]:
     """Patterns and how often each is used; every document lies in one bin.
 
     Branch and bound: the largest document left is completed by undominated fillings, least waste first; a
     branch ends where its waste leaves it no better than the incumbent, which is best-fit decreasing at first
-    and then each better packing found. The search stops at the lower bound of bins or after so many decisions."""
+    and then each better packing found. The search stops at the lower bound of bins (least_bins); short of it, it is
+    held to `width` fillings of a document, `nodes` steps for these and so many decisions, as bin packing is NP-hard:
+    pack reports both numbers, so that what a search left open is seen."""
     counts = {f: n for f, n in counts.items() if n}
     if not counts:
         return []
     total = sum(f * n for f, n in counts.items())
-    bound = -(-total // capacity)
+    bound = least_bins(counts, capacity)
     incumbent = best_fit(counts, capacity)
     bins = sum(n for _, n in incumbent)
     lengths = sorted(counts)
@@ -297,13 +305,16 @@ def _plan(patterns: list[tuple[Pattern, int]]) -> dict[str, np.ndarray]:
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, rows_per_group: int = 1_000_000) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ...); lengths of 1 to capacity.
+    """Adds sequences, least_sequences, sequence_id and offset to pieces (doc_id, piece, start, length, ...); lengths of 1 to capacity.
 
+    sequences is how many there are in all, least_sequences a bound that no packing is below: where they are equal the packing is the best there is.
     The driver sees the histogram only (at most `capacity` rows). A length that a third of all pieces share is dealt out
     by a salt for ranking. Repeated rows are placed one by one; an empty table gives no rows."""
     spark = pieces.sparkSession
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    plan = spark.sparkContext.broadcast(_plan(bin_completion(counts, capacity)))
+    patterns = bin_completion(counts, capacity)
+    plan = spark.sparkContext.broadcast(_plan(patterns))
+    used, least = sum(n for _, n in patterns), least_bins(counts, capacity)
     salts = max(64, sum(counts.values()) // rows_per_group)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     ahead = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -323,9 +334,10 @@ def pack(pieces: DataFrame, capacity: int = 4096, rows_per_group: int = 1_000_00
             k = rank - p["rank"][at]
             sequence = p["base"][at] + k // p["copies"][at]
             offset = p["offset"][at] + k % p["copies"][at] * length
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
+            both = (pa.array(np.full(len(rank), x, np.int64)) for x in (used, least))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *both, pa.array(sequence), pa.array(offset)], [*names, "sequences", "least_sequences", "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequences long, least_sequences long, sequence_id long, offset long"
     return kept.mapInArrow(place, schema)
 
 
