@@ -548,6 +548,21 @@ def test_long_runs_are_cut_without_loss(spark, monkeypatch, windows):
     assert list(map(tuple, got)) == plain_removal([t.encode() for t in texts], 12)
 
 
+def test_family_of_levels_matches_across_batches(spark):
+    rng = random.Random(13)
+    texts = ["".join(rng.choices("ab", k=rng.randint(8, 30))) for _ in range(40)]
+    family, got = suffix_dedup.IndexFamily(8), set()
+    for b in range(5):
+        rows = [(1, i, bytearray(t.encode())) for i, t in enumerate(texts) if i % 5 == b]
+        for r in family.add(spark.createDataFrame(rows, "key long, span long, text binary")).collect():
+            got |= {(r["span"], at) for at in range(r["at"], r["at"] + r["n"])}
+    assert [rank for rank, _ in family.levels] == [2, 0]  # four batches merged into one level, the fifth alone
+    levels = [level.collect() for _, level in family.levels]
+    assert sorted(r["span"] for rows in levels for r in rows) == list(range(40))
+    seen = Counter(t[i : i + 8] for t in texts for i in range(len(t) - 7))
+    assert got == {(k, i) for k, t in enumerate(texts) for i in range(len(t) - 7) if seen[t[i : i + 8]] > 1}
+
+
 def test_repeated_rows_and_stripping(spark, no_documents):
     line = "one two three four five six seven eight nine ten"
     rows = [(1, f"start {line} end", 7), (1, f"start {line} end", 7), (2, f"other {line} tail", 7), (3, None, None), (4, "short", 5)]

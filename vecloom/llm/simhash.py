@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, lower_table, materialize, slices, space_table, text_of
+from .common import HOT, components, forest, join_dealt, lower_table, materialize, slices, space_table, text_of
 
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, of the binary Golay code
 BLOCKS = ((0, 22), (22, 21), (43, 21))
@@ -31,8 +31,6 @@ TILE = 16_384
 FEW = 48
 #: Shingles that are hashed at once; longer ones than LONG bytes are hashed one by one.
 SHINGLES, LONG = 1 << 17, 2_048
-#: A fingerprint that more than this share of all rows have is dealt out when classes are named; there are at most 1 / HOT of them.
-HOT, SALTS = 1 / 512, 64
 
 _U = np.uint64
 _LOWER, _SPACE = lower_table(), space_table()
@@ -318,14 +316,11 @@ def near_duplicates(documents: DataFrame, words: int = 4, threshold: int = 4) ->
     prints = materialize(fingerprints(documents, words), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "classes")
     roots = materialize(components(close_links(classes.select("fp"), threshold)), "components")
-    grouped = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
+    grouped = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    hot = F.col("rows") > (classes.agg(F.sum("rows")).first()[0] or 0) * HOT
-    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    named = grouped.join(lowest, "root").select("fp", "component_id", F.explode(salts).alias("salt"))
-    crowd = classes.where(hot).select("fp", F.lit(SALTS).alias("salts"))  # at most 1 / HOT rows
-    dealt = prints.join(F.broadcast(crowd), "fp", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), "salts"), F.lit(0)).cast("int"))
-    return dealt.join(named, ["fp", "salt"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = grouped.join(lowest, "root").select("fp", "component_id")
+    crowd = classes.where(F.col("rows") > (classes.agg(F.sum("rows")).first()[0] or 0) * HOT)
+    return join_dealt(prints, named, ["fp"], crowd).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(documents: DataFrame, words: int = 4, threshold: int = 4) -> DataFrame:

@@ -5,11 +5,13 @@
    85 bytes, so this is what is shuffled, not the windows. A run of more windows, as of one phrase repeated, is cut.
 2. Keys. A minimizer met once repeats nothing. Where all runs of a minimizer cover the same text, every window
    of them is repeated. Only minimizers with differing texts - where a repeated passage begins or ends - go on.
-3. Suffix arrays. One representative of each differing text goes to the task of its minimizer. Each batch of
-   texts gets a suffix array (all suffixes that begin a window, in lexicographic order), is merge-scanned against the
-   levels of the minimizer that runs on from earlier batches for matches of the full length, and joins these
-   levels, where arrays of equal size merge, so that there are logarithmically many.
-   A minimizer with more runs or windows than a task should hold is settled by an exchange of window hashes instead.
+3. Index family. Documents come in batches. A batch's differing texts, one representative of each, are merge-scanned
+   against all levels of the family for matches of the full length: texts and levels meet by minimizer, where their
+   suffix arrays (all suffixes that begin a window, in lexicographic order) are compared. Then they become a level
+   themselves, a sorted table in the shared folder, and levels of equal rank merge, so that there are logarithmically
+   many and a text is rewritten logarithmically often.
+   Within a task, too, arrays are kept in levels. A minimizer with more runs or windows than a task should hold is
+   settled by an exchange of window hashes instead.
 4. The repeated windows go back to their documents, which are rid of the bytes they cover."""
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE_INVERSE, byte_table, materialize, mix, powers, slices, text_of
+from .common import BASE_INVERSE, HOT, byte_table, join_dealt, materialize, mix, powers, slices, text_of
 
 #: Bytes of text of one vectorised step.
 STEP = 256 << 10
@@ -32,6 +34,8 @@ MOST_RUNS, MOST_WINDOWS = 8_192, 1 << 20
 RUN_WINDOWS = 16_384
 #: Suffixes that are sorted at once.
 SUFFIXES = 32_768
+#: Batches of documents, of about equal size, that a table comes in.
+BATCHES = 4
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -91,43 +95,49 @@ def runs_of(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int, most:
 
 
 def find_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """rid, start, n, key, span, tie of rows (rid, text). A text longer than a step is taken by steps that overlap by length - 1 bytes."""
+    """start, n, key, span, tie of rows with a text, behind the columns that name the row. A text longer than a step is taken by steps that overlap by length - 1 bytes."""
     step, most = STEP, RUN_WINDOWS
+    own = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rid", "start", "n", "key", "span", "tie"]
+        names = [*own, "start", "n", "key", "span", "tie"]
         for batch in batches:
             raw, offsets = text_of(batch.column("text"))
-            rid = batch.column("rid").to_numpy()
+            ids = [batch.column(c).to_numpy() for c in own]
             found = []
             for i, j in slices(offsets, step):
                 for low in range(offsets[i], offsets[j], step) if j == i + 1 else [offsets[i]]:
                     part = raw[low : min(low + step + length - 1, offsets[j]) if j == i + 1 else offsets[j]]
                     bounds = np.array([0, len(part)]) if j == i + 1 else offsets[i : j + 1] - low
                     text, start, n, key, span, tie = runs_of(part, bounds, length, gram, most)
-                    found.append((rid[i + text], start + (low - offsets[i]), n, key.view(np.int64), span.view(np.int64), tie))
+                    found.append((*(x[i + text] for x in ids), (start + (low - offsets[i])).astype(np.int32), n.astype(np.int32), key.view(np.int64), span.view(np.int64), tie))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names)
 
-    return rows.select("rid", "text").mapInArrow(run, "rid long, start long, n long, key long, span long, tie boolean")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in own) + ", start int, n int, key long, span long, tie boolean")
 
 
 class Levels:
     """Suffix arrays of one minimizer's texts; equal-sized ones merge, as the digits of a binary counter do.
 
-    Of equal windows the levels hold one, which stands for all that were reported."""
+    Of equal windows the levels hold one, which stands for all that were reported. A window is fresh if it is, or equals one, of the batch:
+    what only levels of the family share was reported when they were batches."""
 
     def __init__(self):
-        self.arrays: list[list[np.ndarray]] = []  # [sorted windows, owner, offset, whether it was reported]
+        self.arrays: list[list[np.ndarray]] = []  # [sorted windows, owner, offset, whether it was reported, whether it is fresh]
 
-    def scan(self, windows: np.ndarray, owner: np.ndarray, offset: np.ndarray):
+    def scan(self, windows: np.ndarray, owner: np.ndarray, offset: np.ndarray, fresh: np.ndarray):
         """Sorts a batch into a suffix array; (owner, offset) of all its windows that are repeated in it or in a level, and of the levels' that are so for the first time."""
         order = np.argsort(windows, kind="stable")
-        windows, owner, offset = windows[order], owner[order], offset[order]
+        windows, owner, offset, fresh = windows[order], owner[order], offset[order], fresh[order]
         same = windows[1:] == windows[:-1]
         hit = np.zeros(len(windows), bool)
         hit[1:] |= same
         hit[:-1] |= same
+        if not fresh.all():
+            group = np.cumsum(np.append(True, ~same)) - 1
+            fresh = (np.bincount(group, fresh) > 0)[group]
+            hit &= fresh
         once = np.ones(len(windows), bool)  # the first of equal windows, if no level has it
         once[1:] = ~same
         out = []
@@ -136,15 +146,17 @@ class Levels:
                 continue
             at = np.minimum(np.searchsorted(level[0], windows), len(level[0]) - 1)
             met = level[0][at] == windows
-            hit |= met
+            told = met & (fresh | level[4][at])
+            hit |= told
             once &= ~met
             new = np.zeros(len(level[0]), bool)
-            new[at[met]] = True
+            new[at[told]] = True
+            level[4][at[met & fresh]] = True
             new &= ~level[3]
             level[3] |= new
             out.append((level[1][new], level[2][new]))
         out.append((owner[hit], offset[hit]))
-        return [windows[once], owner[once], offset[once], hit[once]], tuple(np.concatenate(c) for c in zip(*out, strict=True))
+        return [windows[once], owner[once], offset[once], hit[once], fresh[once]], tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
     def add(self, array: list[np.ndarray]) -> None:
         self.arrays.append(array)
@@ -166,22 +178,23 @@ def _ranges(owner: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return owner[first], offset[first], offset[last] - offset[first] + 1
 
 
-def match_texts(texts: DataFrame, length: int) -> DataFrame:
-    """key, span, at, n: windows of texts (key, span, text; one for each span) that stand twice among their key's texts."""
+def match_texts(texts: DataFrame, levels: list[DataFrame], length: int) -> DataFrame:
+    """key, span, at, n: windows of texts (key, span, text; one for each span) that stand twice among their key's texts or
+    also in one of the levels, and those of the levels that stand in the texts, too."""
 
-    def windows_of(data: list[bytes], owners: np.ndarray):
+    def windows_of(data: list[bytes], owners: np.ndarray, fresh: np.ndarray):
         raw = np.frombuffer(b"".join(data), np.uint8)
         sizes = np.array([len(x) for x in data], np.int64)
         count = sizes - length + 1
         first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         view = np.ndarray((len(raw) - length + 1,), f"S{length}", raw, strides=(1,))
-        return view[np.repeat(first, count) + offset], np.repeat(owners, count), offset
+        return view[np.repeat(first, count) + offset], np.repeat(owners, count), offset, np.repeat(fresh, count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, levels, kept = None, Levels(), (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for batch in batches:
-            keys, spans = batch.column("key").to_numpy(), batch.column("span").to_numpy()
+            keys, spans, fresh = batch.column("key").to_numpy(), batch.column("span").to_numpy(), batch.column("fresh").to_numpy(zero_copy_only=False)
             data = batch.column("text").to_pylist()
             sizes = np.cumsum([len(x) for x in data])
             i = 0
@@ -191,7 +204,7 @@ def match_texts(texts: DataFrame, length: int) -> DataFrame:
                     levels, kept = Levels(), (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 base = len(kept[0])
                 held = np.concatenate([kept[0], keys[i:j]]), np.concatenate([kept[1], spans[i:j]])
-                array, (owner, offset) = levels.scan(*windows_of(data[i:j], np.arange(base, base + j - i)))
+                array, (owner, offset) = levels.scan(*windows_of(data[i:j], np.arange(base, base + j - i), fresh[i:j]))
                 if len(owner):
                     owner, first, n = _ranges(owner, offset)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (held[0][owner], held[1][owner], first, n)], ["key", "span", "at", "n"])
@@ -203,14 +216,42 @@ def match_texts(texts: DataFrame, length: int) -> DataFrame:
                 renumbered = np.searchsorted(own, array[1][part])
                 for level in levels.arrays:
                     level[1] = np.searchsorted(own, level[1])
-                levels.add([array[0][part], renumbered, array[2][part], array[3][part]])
+                levels.add([array[0][part], renumbered, array[2][part], array[3][part], array[4][part]])
                 kept = held[0][own], held[1][own]
                 i = j
 
-    dealt = texts.select("key", "span", "text").repartition("key").sortWithinPartitions("key", "span")
+    columns = ("key", "span", "text")
+    stream = texts.select(*columns, F.lit(True).alias("fresh"))
+    if levels:
+        new = texts.select("key").distinct()
+        for level in levels:
+            stream = stream.union(level.select(*columns).join(new, "key", "left_semi").select(*columns, F.lit(False).alias("fresh")))
+    dealt = stream.repartition("key").sortWithinPartitions("key", "fresh", "span")
     return dealt.mapInArrow(run, "key long, span long, at long, n long")
 
 
+class IndexFamily:
+    """Levels of texts (key, span, text) sorted by minimizer and text, each a table in the shared folder.
+
+    A level's rank is the power of two of batches that it holds; there is at most one of each rank."""
+
+    def __init__(self, length: int):
+        self.length = length
+        self.levels: list[tuple[int, DataFrame]] = []
+
+    def add(self, texts: DataFrame, last: bool = False) -> DataFrame:
+        """match_texts of a new batch against all levels; then the batch becomes a level, unless it is the last there will be."""
+        found = materialize(match_texts(texts, [level for _, level in self.levels], self.length), "matches")
+        if not last:
+            rank, level = 0, texts.select("key", "span", "text")
+            while self.levels and self.levels[-1][0] == rank:
+                level = self.levels.pop()[1].union(level)
+                rank += 1
+            level = level.repartition("key").sortWithinPartitions("key", "text")
+            self.levels.append((rank, materialize(level, f"level-{rank}")))
+        return found
+
+
 def match_hashes(texts: DataFrame, length: int) -> DataFrame:
     """The same by an exchange of window hashes, for keys with too many windows for a task; hot windows are counted before the shuffle."""
 
@@ -220,12 +261,13 @@ def match_hashes(texts: DataFrame, length: int) -> DataFrame:
                 raw = np.frombuffer(text, np.uint8)
                 at = np.arange(len(raw) - length + 1)
                 h = _hash(_prefix(raw), at, at + length).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key)), pa.array(np.full(len(h), span)), pa.array(at), pa.array(h)], ["key", "span", "at", "h"])
+                h2 = _hash(_prefix(raw), at, at + length // 2).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key)), pa.array(np.full(len(h), span)), pa.array(at), pa.array(h), pa.array(h2)], ["key", "span", "at", "h", "h2"])
 
-    windows = texts.select("key", "span", "text").mapInArrow(run, "key long, span long, at long, h long")
-    often = windows.groupBy("h").count().where("count > 1").select("h")
+    windows = texts.select("key", "span", "text").mapInArrow(run, "key long, span long, at long, h long, h2 long")
+    often = windows.groupBy("key", "h", "h2").count().where("count > 1").select("key", "h", "h2")
     row = F.row_number().over(Window.partitionBy("key", "span").orderBy("at"))  # at most RUN_WINDOWS
-    hits = windows.join(often, "h", "left_semi").withColumn("run", F.col("at") - row)
+    hits = windows.join(often, ["key", "h", "h2"], "left_semi").withColumn("run", F.col("at") - row)
     return hits.groupBy("key", "span", "run").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n")).drop("run")
 
 
@@ -245,41 +287,52 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[in
     return b"".join(kept), merged
 
 
+def _named() -> list:
+    """rid and rid2: 128 bits that tell rows apart that differ in doc_id or text."""
+    return [F.xxhash64("doc_id", "text").alias("rid"), F.xxhash64(F.lit(1), "text", "doc_id").alias("rid2")]
+
+
 def repeated_spans(documents: DataFrame, length: int = 200, gram: int = 32) -> tuple[DataFrame, DataFrame]:
-    """Rows (rid, doc_id, text) and their spans (rid, spans): array of (start, end) bytes that repeated strings cover.
+    """Rows (rid, rid2, doc_id, text) and their spans (rid, rid2, spans): array of (start, end) bytes that repeated strings cover.
 
-    rid is a hash of doc_id and text: rows that agree in both have the same spans."""
-    rows = documents.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    runs = materialize(find_runs(rows, length, gram), "runs")
+    rid and rid2 are hashes of doc_id and text: rows that agree in both have the same spans."""
+    own = ["rid", "rid2"]
+    rows = documents.select(*_named(), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    runs = materialize(find_runs(rows.select(*own, "text"), length, gram), "runs")
     keys = runs.groupBy("key").agg(F.count(F.lit(1)).alias("met"), F.sum("n").alias("windows"), F.min("span").alias("a"), F.max("span").alias("b"), F.max("tie").alias("ties"))
     hot = (F.col("met") > MOST_RUNS) | (F.col("windows") > MOST_WINDOWS)
-    keys = keys.where("met > 1 or ties").select("key", hot.alias("hot"), (F.col("ties") | (F.col("a") != F.col("b"))).alias("open"))
-    found = materialize(runs.join(keys, "key").drop("tie"), "repeated-runs")
-    whole = found.where("not open").select("rid", "start", "n")
+    keys = materialize(keys.where("met > 1 or ties").select("key", "met", hot.alias("hot"), (F.col("ties") | (F.col("a") != F.col("b"))).alias("open")), "keys")
+    crowd = keys.where(F.col("met") > (keys.agg(F.sum("met")).first()[0] or 0) * HOT)
+    found = materialize(join_dealt(runs.drop("tie"), keys.drop("met"), ["key"], crowd), "repeated-runs")
+    whole = found.where("not open").select(*own, "start", "n")
     differing = found.where("open")
-    texts = differing.groupBy("key", "span").agg(F.count(F.lit(1)).alias("copies"), F.max("hot").alias("hot"), F.min(F.struct("rid", "start", "n")).alias("at"))
+    texts = differing.groupBy("key", "span").agg(F.count(F.lit(1)).alias("copies"), F.max("hot").alias("hot"), F.min(F.struct(*own, "start", "n")).alias("at"))
     texts = materialize(texts, "differing")
-    wanted = texts.groupBy("at.rid").agg(F.collect_list(F.struct("key", "span", "hot", F.col("at.start").alias("start"), F.col("at.n").alias("n"))).alias("parts"))
+    wanted = texts.groupBy("at.rid", "at.rid2").agg(F.collect_list(F.struct("key", "span", "hot", F.col("at.start").alias("start"), F.col("at.n").alias("n"))).alias("parts"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("hot", pa.bool_()), ("text", pa.binary())])
+        kinds = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("hot", pa.bool_()), ("batch", pa.int32()), ("text", pa.binary())])
         for batch in batches:
             out = []
-            for text, parts in zip(batch.column("text"), batch.column("parts").to_pylist(), strict=True):
+            for text, number, parts in zip(batch.column("text"), batch.column("rid2").to_pylist(), batch.column("parts").to_pylist(), strict=True):
                 data = text.as_py().encode()
-                out.extend({"key": p["key"], "span": p["span"], "hot": p["hot"], "text": data[p["start"] : p["start"] + p["n"] - 1 + length]} for p in parts)
+                out.extend({"key": p["key"], "span": p["span"], "hot": p["hot"], "batch": number % BATCHES, "text": data[p["start"] : p["start"] + p["n"] - 1 + length]} for p in parts)
             yield pa.RecordBatch.from_pylist(out, kinds)
 
     # doc_id goes along so that both joins read the same exchange of texts
-    spans = rows.join(wanted, "rid").select("doc_id", "text", "parts").mapInArrow(extract, "key long, span long, hot boolean, text binary")
+    spans = rows.join(wanted, own).select("doc_id", "rid2", "text", "parts").mapInArrow(extract, "key long, span long, hot boolean, batch int, text binary")
     spans = materialize(spans, "differing-texts")
-    matched = match_texts(spans.where("not hot"), length).union(match_hashes(spans.where("hot"), length))
-    again = texts.where("copies > 1").select("key", "span", F.lit(0).cast("long").alias("at"), F.col("at.n").alias("n"))
+    family, usual = IndexFamily(length), spans.where("not hot")
+    matched = match_hashes(spans.where("hot"), length)
+    for b in range(BATCHES):
+        matched = matched.union(family.add(usual.where(F.col("batch") == b), b == BATCHES - 1))
+    again = texts.where("copies > 1").select("key", "span", F.lit(0).cast("long").alias("at"), F.col("at.n").cast("long").alias("n"))
     covered = matched.union(again).groupBy("key", "span").agg(F.collect_list(F.struct("at", F.col("n").alias("m"))).alias("hits"))
-    partly = differing.join(covered, ["key", "span"]).select("rid", "start", F.explode("hits").alias("hit"))
-    partly = partly.select("rid", (F.col("start") + F.col("hit.at")).alias("start"), F.col("hit.m").alias("n"))
-    ends = whole.union(partly).select("rid", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
-    return rows, ends.groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    crowd = texts.where(F.col("copies") > (texts.agg(F.sum("copies")).first()[0] or 0) * HOT)
+    partly = join_dealt(differing.select("key", "span", *own, "start"), covered, ["key", "span"], crowd).select(*own, "start", F.explode("hits").alias("hit"))
+    partly = partly.select(*own, (F.col("start") + F.col("hit.at")).alias("start"), F.col("hit.m").alias("n"))
+    ends = whole.union(partly).select(*own, F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n") - 1 + length).alias("end"))
+    return rows, ends.groupBy(*own).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def remove_repeats(documents: DataFrame, length: int = 200, gram: int = 32) -> DataFrame:
@@ -291,7 +344,7 @@ def remove_repeats(documents: DataFrame, length: int = 200, gram: int = 32) -> D
     if not 1 <= gram <= length:
         raise ValueError("gram must be in 1..length")
     rows, spans = repeated_spans(documents, length, gram)
-    joined = rows.join(spans, "rid", "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans, ["rid", "rid2"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,8 +369,9 @@ def strip_repeats(documents: DataFrame, length: int = 200, gram: int = 32) -> Da
 
     A character of which only some bytes are repeated goes as a whole; a null text stays null."""
     _, spans = repeated_spans(documents, length, gram)
-    spans = spans.select(F.col("rid").alias("__rid"), F.col("spans").alias("__spans"))
-    joined = documents.withColumn("__rid", F.xxhash64("doc_id", "text")).join(spans, "__rid", "left").drop("__rid")
+    spans = spans.select(F.col("rid").alias("__rid"), F.col("rid2").alias("__rid2"), F.col("spans").alias("__spans"))
+    rid, rid2 = _named()
+    joined = documents.withColumns({"__rid": rid, "__rid2": rid2}).join(spans, ["__rid", "__rid2"], "left").drop("__rid", "__rid2")
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
