@@ -44,6 +44,15 @@ def test_exact_is_exact(spark, metric):
     assert (knn.nbr.to_numpy().reshape(300, 11) == truth(x, 10, metric == "cosine")).all()
 
 
+def test_exact_join_in_parts_is_the_same(spark, monkeypatch):
+    x = S.gaussian_clusters(300, 8, seed=4)
+    base, asked = frame(spark, x[:200]), frame(spark, x[200:])
+    ways = lambda: [sorted(map(tuple, d.collect())) for d in (I.self_knn(base, 5), I.knn_join(base, asked, 5, strategy="exact"))]
+    whole = ways()
+    monkeypatch.setattr(I.exact, "QUERY_PART", 40)
+    assert ways() == whole
+
+
 @pytest.mark.parametrize("strategy,least", [("beam", 0.95), ("warm", 0.95), ("reservoir", 0.9)])
 def test_graph_recall_and_contract(spark, blobs, strategy, least):
     params = BuildParams(c_max=256, l_max=48, r=32)

@@ -10,6 +10,10 @@ from vecloom.functions.vectors import direct_sq_l2, emit, product_sq_l2
 from vecloom.operators.blocks import batch, block_count, every, join_blocks, smallest
 
 
+#: Queries that meet a block in one task, aimed at.
+QUERY_PART = 262_144
+
+
 def nearest_in_block(k: int, skip_self: bool):
     """A matrix product chooses, with room for its rounding; direct differences rank."""
 
@@ -41,10 +45,16 @@ def with_self(ranked: DataFrame, points: DataFrame, metric: str) -> DataFrame:
 
 
 def knn_pairs(base: DataFrame, queries: DataFrame, n: int, k: int, skip_self: bool) -> DataFrame:
-    """(id, rank, nbr, d2). Every query meets every block of base: the work of an exact join, without a cross join of rows."""
+    """(id, rank, nbr, d2). Every query meets every block of base: the work of an exact join, without a cross join of rows.
+
+    A block stands once for each part of the queries, so that a task has a bounded number of either."""
+    parts = max(1, -(-(n if queries is base else queries.count()) // QUERY_PART))
     blocks = max(block_count(n), min(base.sparkSession.sparkContext.defaultParallelism, -(-n // 1024)))
     placed = base.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "vec")
     asked = queries.select(every(blocks), "id", "vec")
+    if parts > 1:
+        placed = placed.select((F.col("block") * parts).alias("first"), "id", "vec").select("first", every(parts), "id", "vec").withColumn("block", F.col("first") + F.col("block")).drop("first")
+        asked = asked.withColumn("block", F.col("block") * parts + F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(parts)))
     return top_k(join_blocks(placed, asked, nearest_in_block(k, skip_self), "id long, nbr long, d2 double"), k)
 
 
