@@ -136,3 +136,10 @@ def test_records_are_gzip_members_of_warc(spark):
     head, http, payload = warc.parse(gzip.decompress(gzip.compress(data)))
     assert payload == b"hello" and head["WARC-Type"] == "response" and http["Content-Length"] == "5"
     assert data.startswith(b"WARC/1.1\r\n") and data.endswith(b"\r\n\r\n")
+
+
+def test_string_ids_come_back(spark):
+    page = "<p>" + "x" * 200
+    rows = [("", "http://a/", page), ("b", "http://b/", page), (None, "http://c/", page), ("=", "http://d/", "")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).select("page_id", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("", "response", None), ("b", "revisit", ""), (None, "revisit", ""), ("=", "response", None)], key=str)

@@ -236,6 +236,29 @@ def test_probabilities_sum_to_one(spark):
         assert (10**logs).sum() == pytest.approx(1)
 
 
+def test_large_counts_are_kept(spark, monkeypatch):
+    many = np.array([3, 1 << 40], np.int64)
+    for columns in ([np.array([1, 2], np.uint64), many], [np.array([1, 2], np.uint64), many[:1]]):
+        assert [c.tolist() for c in kneser_ney._unpack(kneser_ney._pack(*columns), 1)] == [c.tolist() for c in columns]
+    texts = ["a b a b a b c", "a b", "c a"]
+    small = kneser_ney.fit(spark.createDataFrame([(t,) for t in texts], "text string"), 2)
+    raw = np.frombuffer(b"a b c", np.uint8)
+    h = hash_words(raw, np.array([0, len(raw)]))[0]
+    args = np.tile(h, 3), np.repeat(h, 3)
+    before = small.logs(*args)[0]
+    monkeypatch.setattr(kneser_ney, "LARGE", 2)  # counts of 2 and more are looked for in the file of large counts, which has none
+    key = kneser_ney.bigram_key(args[1], args[0], small.hot)
+    for r in range(2):
+        own = np.unique(key[kneser_ney.range_of(key, 2) == r])
+        keys, counts = (np.fromfile(f"{small.path.removeprefix('file://')}/bigram-{n}-{r:05d}.bin", t) for n, t in (("keys", "<u8"), ("counts", "<u4")))
+        large = [(k, c) for k, c in zip(keys.tolist(), counts.tolist(), strict=True) if c >= 2]
+        np.array(large, "<u8").reshape(-1, 2).tofile(f"{small.path.removeprefix('file://')}/bigram-large-{r:05d}.bin")
+        np.minimum(counts, 2).astype("<u4").tofile(f"{small.path.removeprefix('file://')}/bigram-counts-{r:05d}.bin")
+        assert len(own)
+    kneser_ney._mapped.cache_clear()
+    assert small.logs(*args)[0].tolist() == before.tolist()
+
+
 def test_held_out_text_is_likelier_than_the_base(spark, sf_dir):
     scored = kneser_ney.train_and_score(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("held_out")
     row = scored.agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()

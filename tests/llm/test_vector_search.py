@@ -61,6 +61,17 @@ def test_buckets_prune_without_loss(spark):
     assert sorted(map(tuple, got)) == brute(q, np.arange(900), 7, 50, lambda a, b: (a * b).sum(1))
 
 
+def test_parts_of_queries_lose_nothing(spark, monkeypatch):
+    from vecloom.llm import vectors
+
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((600, 8)).astype(np.float32)
+    whole = [sorted(map(tuple, f(frame(spark, x)).collect())) for f in (lambda d: exact_topk.top_k_embeddings(d, every=3), lambda d: ann_forest.search_embeddings(d, every=3))]
+    monkeypatch.setattr(vectors, "QUERY_PART", 30)
+    parted = [sorted(map(tuple, f(frame(spark, x)).collect())) for f in (lambda d: exact_topk.top_k_embeddings(d, every=3), lambda d: ann_forest.search_embeddings(d, every=3))]
+    assert parted == whole
+
+
 def test_forest_recall_and_scores(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     rows = df.orderBy("vec_id").collect()

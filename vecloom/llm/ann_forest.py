@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import best, by_cell, finite, matrix, one_for_each_id
+from . import vectors as common
+from .vectors import best, by_cell, finite, matrix, one_for_each_id, with_parts
 
 #: Rows the trees are fitted on: at least so many, and one of each SAMPLE_SHARE rows while they take at most SAMPLE_BYTES on the driver.
 SAMPLE_ROWS, SAMPLE_SHARE, SAMPLE_BYTES = 16_384, 32, 64 << 20
@@ -146,6 +147,8 @@ def search(vectors: DataFrame, queries, k: int = 20, trees: int = TREES, leaf_ro
     indexed = rows.select("id", "vec").mapInArrow(cells, f"cell long, id long, vec {kind}")
     only = rows.select("id", "vec").mapInArrow(lambda b: (x.select(["cell"]) for x in cells(b)), "cell long")
     filled = only.groupBy("cell").count().collect()  # at most all leaves of the forest
+    asking = rows.where(queries).count()
+    shares = max(1, -(-asking * budget // (total * common.QUERY_PART)))  # a leaf is visited by about budget / total of all queries
     parts = {r["cell"]: -(-r["count"] // LEAF_ROWS) for r in filled if r["count"] > LEAF_ROWS}
     sizes = np.zeros((trees, 2**depth), np.int64)
     for r in filled:
@@ -182,7 +185,7 @@ def search(vectors: DataFrame, queries, k: int = 20, trees: int = TREES, leaf_ro
                 floor = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(q[part]), -np.inf)
                 floor = floor - room(q[part], sample)
                 row = np.array(row, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(cell, np.int64)), pa.array(own[row]), batch.column("vec").take(pa.array(row)), pa.array(floor[row - i])], ["cell", "id", "vec", "floor"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(cell, np.int64) * shares + own[row] % shares), pa.array(own[row]), batch.column("vec").take(pa.array(row)), pa.array(floor[row - i])], ["cell", "id", "vec", "floor"])
 
     def rank_leaf(ids, x, query_ids, q, floors):
         some = first_copies(ids, x, k + 1)  # k others and the query itself precede the rest
@@ -205,7 +208,7 @@ def search(vectors: DataFrame, queries, k: int = 20, trees: int = TREES, leaf_ro
 
     placed = rows.select("id", "vec").mapInArrow(dealt, f"cell long, id long, vec {kind}") if parts else indexed
     asked = rows.where(queries).select("id", "vec").mapInArrow(route, f"cell long, id long, vec {kind}, floor double")
-    stream = placed.select("cell", F.lit(0).alias("role"), "id", "vec", F.lit(0.0).alias("floor")).union(asked.select("cell", F.lit(1).alias("role"), "id", "vec", "floor"))
+    stream = with_parts(placed, shares).select("cell", F.lit(0).alias("role"), "id", "vec", F.lit(0.0).alias("floor")).union(asked.select("cell", F.lit(1).alias("role"), "id", "vec", "floor"))
     found = stream.repartition("cell").sortWithinPartitions("cell", "role").mapInArrow(by_cell(rank_leaf, d, np.float64), "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # a pair can meet in several trees
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

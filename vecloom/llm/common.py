@@ -72,7 +72,7 @@ def put_file(uri: str, chunks) -> int:
 HOT, SALTS = 1 / 512, 64
 
 
-def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], crowd: DataFrame) -> DataFrame:
+def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], crowd: DataFrame, how: str = "inner") -> DataFrame:
     """left joined with right, which has one row for each of the keys; the rows of left whose keys are in crowd (at most 1 / HOT rows) go to SALTS tasks."""
     named = F.broadcast(crowd.select(*keys, F.lit(True).alias("__hot")))
     rest = [c for c in left.columns if c not in keys]
@@ -80,7 +80,7 @@ def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], crowd: DataFr
     dealt = left.join(named, keys, "left").withColumn("__salt", place).drop("__hot")
     every = F.when(F.col("__hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     spread = right.join(named, keys, "left").withColumn("__salt", F.explode(every)).drop("__hot")
-    return dealt.join(spread, [*keys, "__salt"]).drop("__salt")
+    return dealt.join(spread, [*keys, "__salt"], how).drop("__salt")
 
 
 # ---- Arrow text ----------------------------------------------------------------------------------

@@ -16,10 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .vectors import best, by_cell, finite, lists, matrix, one_for_each_id
+from . import vectors as shared
+from .vectors import best, by_cell, finite, lists, matrix, one_for_each_id, with_parts
 
 #: Vectors of a bucket, aimed at; the number of longest vectors that give floors; vectors and queries of a tile.
 BUCKET, SCOUTS, TILE, QUERIES = 65_536, 2_048, 1_024, 256
+#: Bytes that the longest vectors take at most on the driver.
+SCOUT_BYTES = 16 << 20
 
 
 def quantized(vector: Column, scale: int = 1024) -> Column:
@@ -102,9 +105,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, buckets: int | None
     rotation = np.linalg.eigh(second.reshape(d, d))[1][:, ::-1] if d else np.zeros((0, 0))
     head = max(1, d // 4)
     reach = {r["cell"]: r["longest"] for r in dealt.groupBy("cell").agg(F.max("length").alias("longest")).collect()}
-    cells = np.array(sorted(reach), np.int32)
+    cells = np.array(sorted(reach), np.int64)
     longest = np.array([reach[c] for c in cells.tolist()])
-    top = dealt.orderBy(F.desc("length"), "id").limit(SCOUTS).select("id", "vec").collect()
+    top = dealt.orderBy(F.desc("length"), "id").limit(max(min(SCOUTS, SCOUT_BYTES // (8 * max(d, 1))), k + 1)).select("id", "vec").collect()
+    parts = max(1, -(-dealt.where(queries).count() // shared.QUERY_PART))
     scouts = spark.sparkContext.broadcast((np.array([r["id"] for r in top], np.int64), np.array([r["vec"] for r in top], np.int64).reshape(len(top), d)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +122,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, buckets: int | None
                 floor = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(own), -np.inf)
                 size = np.sqrt((q.astype(np.float64) ** 2).sum(1))
                 row, to = np.nonzero(size[:, None] * longest[None, :] * (1 + 1e-9) + 1 >= floor[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(cells[to]), pa.array(own[row]), lists(q[row]), pa.array(floor[row])], ["cell", "id", "vec", "floor"])
+                yield pa.RecordBatch.from_arrays([pa.array(cells[to] * parts + own[row] % parts), pa.array(own[row]), lists(q[row]), pa.array(floor[row])], ["cell", "id", "vec", "floor"])
 
     def search(ids, x, query_ids, q, floors):
         for i in range(0, len(query_ids), QUERIES):
@@ -126,8 +130,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, buckets: int | None
             a, b, s = search_bucket(ids, x, query_ids[part], q[part], floors[part], rotation, head, k)
             yield pa.RecordBatch.from_arrays([pa.array(query_ids[part][a]), pa.array(ids[b]), pa.array(s)], ["query_id", "vec_id", "score"])
 
-    asked = dealt.where(queries).select("id", "vec").mapInArrow(route, "cell int, id long, vec array<long>, floor double")
-    stream = dealt.select("cell", F.lit(0).alias("role"), "id", "vec", F.lit(0.0).alias("floor")).union(asked.select("cell", F.lit(1).alias("role"), "id", "vec", "floor"))
+    asked = dealt.where(queries).select("id", "vec").mapInArrow(route, "cell long, id long, vec array<long>, floor double")
+    stream = with_parts(dealt.withColumn("cell", F.col("cell").cast("long")), parts).select("cell", F.lit(0).alias("role"), "id", "vec", F.lit(0.0).alias("floor")).union(asked.select("cell", F.lit(1).alias("role"), "id", "vec", "floor"))
     found = stream.repartition("cell").sortWithinPartitions("cell", "role").mapInArrow(by_cell(search, d, np.int64), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

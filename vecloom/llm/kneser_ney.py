@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import functools
 import os
-import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from .common import filesystem, hash_words, materialize, mix, put_file, shared_p
 _U = np.uint64
 #: Hashes of the marks before and after a text; the end counts as a token.
 BEGIN, END = _U(0x5A17_B0A4_0F00_0001), _U(0x5A17_B0A4_0F00_0002)
+#: Counts from this on stand in a file of their own.
+LARGE = 0xFFFFFFFF
 #: A task keeps at most about so many distinct bigrams before it sends their runs on.
 RUN_BIGRAMS = 3_000_000
 _WORD = np.dtype([("key", "<u8"), ("count", "<i8"), ("after", "<i8"), ("total", "<i8"), ("once", "<i4"), ("twice", "<i4"), ("more", "<i4")])
@@ -73,12 +76,16 @@ def _sum_runs(context: np.ndarray, word: np.ndarray, count: np.ndarray):
 
 
 def _pack(*columns: np.ndarray) -> bytes:
-    return b"".join([np.array([len(columns), *(len(c) for c in columns)], "<i8").tobytes(), *(np.ascontiguousarray(c, "<u8" if c.dtype == _U else "<u4").tobytes() for c in columns)])
+    """Columns of hashes (uint64) and counts, in 32 bits where all of them fit: then the number of columns is positive, else negative."""
+    wide = any(c.dtype != _U and len(c) and c.max() > 0xFFFFFFFF for c in columns)
+    head = np.array([-len(columns) if wide else len(columns), *(len(c) for c in columns)], "<i8")
+    return b"".join([head.tobytes(), *(np.ascontiguousarray(c, "<u8" if wide or c.dtype == _U else "<u4").tobytes() for c in columns)])
 
 
 def _unpack(data: bytes, wide: int) -> list[np.ndarray]:
-    """The columns of a run; the first `wide` are 64-bit hashes, the rest 32-bit counts."""
+    """The columns of a run; the first `wide` are 64-bit hashes, the rest counts."""
     n = int(np.frombuffer(data, "<i8", 1)[0])
+    n, wide = abs(n), -n if n < 0 else wide
     sizes, at, out = np.frombuffer(data, "<i8", n, 8), 8 + 8 * n, []
     for i, size in enumerate(sizes.tolist()):
         kind = "<u8" if i < wide else "<u4"
@@ -146,19 +153,27 @@ class Model:
             if len(key):
                 own = unique[at[r] : at[r + 1]]
                 j = np.minimum(np.searchsorted(key, own), len(key) - 1)
-                out[at[r] : at[r + 1]] = np.where(key[j] == own, count[j], 0)
+                n = np.where(key[j] == own, count[j], 0).astype(np.int64)
+                if (n == LARGE).any():
+                    large = _mapped(self.path, "bigram-large", r, "<u8").reshape(-1, 2)
+                    n[n == LARGE] = large[np.searchsorted(large[:, 0], own[n == LARGE]), 1]
+                out[at[r] : at[r + 1]] = n
         return out[back]
 
 
 @functools.lru_cache(4096)
 def _mapped(path: str, name: str, part: int, kind) -> np.ndarray:
-    """An array of the model, mapped into memory; from a store that is not a local folder it is fetched once for each worker."""
+    """An array of the model, mapped into memory; from a store that is not a local folder it is fetched once for each executor,
+    to its scratch folder, which Spark removes with the application."""
     store, file = filesystem(f"{path}/{name}-{part:05d}.bin")
     if not isinstance(store, pa.fs.LocalFileSystem):
-        local = os.path.join(tempfile.mkdtemp(prefix="kneser-ney-"), os.path.basename(file))
-        with store.open_input_stream(file) as source, open(local, "wb") as out:
-            while block := source.read(1 << 20):
-                out.write(block)
+        local = os.path.join(SparkFiles.getRootDirectory(), f"{os.path.basename(path)}-{os.path.basename(file)}")
+        if not os.path.exists(local):
+            part = f"{local}.{uuid.uuid4().hex}"
+            with store.open_input_stream(file) as source, open(part, "wb") as out:
+                while block := source.read(1 << 20):
+                    out.write(block)
+            os.replace(part, local)  # another worker may have been faster: the files are the same
         file = local
     return np.memmap(file, kind, "r") if os.path.getsize(file) else np.zeros(0, kind)
 
@@ -250,7 +265,9 @@ def fit(texts: DataFrame, ranges: int | None = None) -> Model:
         key = bigram_key(context, word, hot)
         order = np.argsort(key)
         put_file(f"{path}/bigram-keys-{part:05d}.bin", [key[order].astype("<u8").tobytes()])
-        put_file(f"{path}/bigram-counts-{part:05d}.bin", [np.minimum(count[order], 0xFFFFFFFF).astype("<u4").tobytes()])
+        put_file(f"{path}/bigram-counts-{part:05d}.bin", [np.minimum(count[order], LARGE).astype("<u4").tobytes()])
+        large = order[count[order] >= LARGE]
+        put_file(f"{path}/bigram-large-{part:05d}.bin", [np.column_stack([key[large], count[large].astype(_U)]).astype("<u8").tobytes()])
         parts, data = [part], [np.array([-1, *((count == k).sum() for k in (1, 2, 3, 4)), len(count)], "<i8").tobytes()]
         if not len(count):
             return pa.table({"part": pa.array(parts, pa.int32()), "data": pa.array(data, pa.binary())})
@@ -262,7 +279,7 @@ def fit(texts: DataFrame, ranges: int | None = None) -> Model:
             at = _split(keys, r_count)
             for r in np.flatnonzero(np.diff(at)).tolist():
                 parts.append(r)
-                data.append(_pack(keys[at[r] : at[r + 1]], *(np.minimum(x[at[r] : at[r + 1]], 0xFFFFFFFF) for x in columns)))
+                data.append(_pack(keys[at[r] : at[r + 1]], *(x[at[r] : at[r + 1]] for x in columns)))
         return pa.table({"part": pa.array(parts, pa.int32()), "data": pa.array(data, pa.binary())})
 
     def merge_words(table: pa.Table) -> pa.Table:

@@ -235,9 +235,11 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, drif
             x = _statistics(model, *text_of(batch.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2]), batch.column("toxic")], ["a", "b", "c", "toxic"])
 
-    table = rest.mapInArrow(measure, "a double, b double, c double, toxic int").orderBy("a", "b", "c", "toxic").toArrow()
+    table = rest.mapInArrow(measure, "a double, b double, c double, toxic int").toArrow()
     x = np.column_stack([table.column(c).to_numpy() for c in "abc"])
     y = table.column("toxic").to_numpy().astype(float)
+    order = np.lexsort((y, *x.T))  # sums do not depend on which task came first
+    x, y = x[order], y[order]
     if not len(y) or y.min() == y.max():
         return replace(model, beta=np.array([-3.0, 1.0, 0, 0]))
     centre, spread = x.mean(0), x.std(0) + 1e-9

@@ -69,6 +69,18 @@ def by_cell(search: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np
     return run
 
 
+#: Queries that meet a cell's candidates in one task, aimed at; a cell that more of them visit stands once for each part of them.
+QUERY_PART = 65_536
+
+
+def with_parts(candidates: DataFrame, parts: int) -> DataFrame:
+    """Each row of candidates (cell, ...) once for each part of the queries: cell becomes cell * parts + part."""
+    if parts == 1:
+        return candidates
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+    return candidates.withColumn("part", every).withColumn("cell", F.col("cell") * F.lit(parts) + F.col("part")).drop("part")
+
+
 def best(owner: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Indices of each owner's k highest scores, ties to smaller ids, in the order (owner, score descending, id)."""
     order = np.lexsort((ids, -score, owner))

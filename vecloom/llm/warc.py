@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialize, put_file, shared_path
+from .common import HOT, filesystem, join_dealt, materialize, put_file, shared_path
 from .url_filter import host_and_path
 
 BLOCK_LINES = 3000
@@ -83,11 +83,16 @@ class Archive:
 def plan_records(pages: DataFrame) -> DataFrame:
     """page_id, url, html, digest, refers_to, key: of equal payloads of LEAST_REVISIT bytes or more the smallest page_id's is the response.
 
-    Rows that repeat the response's page_id are responses, too; a null page_id revisits unless its payload has no other."""
+    Rows that repeat the response's page_id are responses, too; a null page_id revisits unless its payload has no other.
+    Small payloads look for no other; a payload that very many pages share is dealt out."""
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("html"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
     shared = rows.where(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    joined = rows.join(shared.select("digest", "first"), "digest", "left")  # a hot digest's rows can be split by adaptive execution
+    shared = materialize(shared.withColumnRenamed("digest", "same"), "shared-payloads")
+    crowd = shared.where(F.col("copies") > (shared.agg(F.sum("copies")).first()[0] or 0) * HOT)
+    alone = F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))
+    rows = rows.withColumn("same", F.when(F.col("n") >= LEAST_REVISIT, F.col("digest")).otherwise(alone))
+    joined = join_dealt(rows, shared.select("same", "first"), ["same"], crowd, "left")
     revisits = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     return joined.select("page_id", "url", "html", "digest", F.when(revisits, F.col("first")).alias("refers_to"), url_key(F.col("url")).alias("key"))
 
@@ -258,11 +263,13 @@ _RECORD = pa.schema([
 def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to for every row of pages: written, looked up by url key, read back.
 
-    Null html is an empty payload, null urls share the empty key; repeated rows have a record each; other columns are not carried."""
-    archive = write(pages)
-    captures = look_up(pages.select(url_key(F.col("url")).alias("key")), archive)
+    Null html is an empty payload, null urls share the empty key; repeated rows have a record each; other columns are
+    not carried. A null page_id comes back as null, an empty one as empty."""
     kind = pages.schema["page_id"].dataType
-    back = lambda c: F.when(F.col(c) != "", F.col(c)).cast(kind)
+    text = kind.simpleString() == "string"
+    archive = write(pages.withColumn("page_id", F.concat(F.lit("="), "page_id")) if text else pages)
+    captures = look_up(pages.select(url_key(F.col("url")).alias("key")), archive)
+    back = lambda c: F.when(F.col(c) != "", F.substring(c, 2, 1 << 30) if text else F.col(c)).cast(kind)
     return read(captures, archive).select(back("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", back("refers_to").alias("refers_to"))
 
 
