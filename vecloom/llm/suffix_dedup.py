@@ -265,9 +265,11 @@ def match_hashes(texts: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key)), pa.array(np.full(len(h), span)), pa.array(at), pa.array(h), pa.array(h2)], ["key", "span", "at", "h", "h2"])
 
     windows = texts.select("key", "span", "text").mapInArrow(run, "key long, span long, at long, h long, h2 long")
-    often = windows.groupBy("key", "h", "h2").count().where("count > 1").select("key", "h", "h2")
+    same = ["key", "h", "h2"]
+    often = materialize(windows.groupBy(*same).count().where("count > 1"), "repeated-windows")
+    crowd = often.where(F.col("count") > (often.agg(F.sum("count")).first()[0] or 0) * HOT)
     row = F.row_number().over(Window.partitionBy("key", "span").orderBy("at"))  # at most RUN_WINDOWS
-    hits = windows.join(often, ["key", "h", "h2"], "left_semi").withColumn("run", F.col("at") - row)
+    hits = join_dealt(windows, often.select(*same), same, crowd).withColumn("run", F.col("at") - row)
     return hits.groupBy("key", "span", "run").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n")).drop("run")
 
 
