@@ -27,10 +27,12 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def checkpointed(df: DataFrame, tag: str) -> DataFrame:
-    """df written once to the shared folder (spark.checkpoint.dir, or a local one where it is unset) and read back: lost executors cost no recomputation of what came before."""
+    """df written once to the shared folder (spark.checkpoint.dir, or a local one where it is unset in local mode) and read back: lost executors cost no recomputation of what came before."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "vecloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
