@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from vecloom.plans import harness
 from vecloom.plans import index as I
 from vecloom.plans.params import BuildParams
-from vecloom.sources import files
+from vecloom.sources import files, sinks
 from vecloom.sources import vectors as S
 
 
@@ -20,6 +20,41 @@ def test_npy_by_ranges(spark, tmp_path, monkeypatch):
         files.from_npy(spark, str(tmp_path / "flat.npy"))
 
 
+def test_npy_folder_round_trip(spark, tmp_path, monkeypatch):
+    x = np.random.default_rng(1).standard_normal((100, 3)).astype(np.float32)
+    df = spark.createDataFrame([(i * 2, x[i].tolist(), "more") for i in range(100)], "vec_id long, embedding array<float>, text string")
+    monkeypatch.setattr(files, "ROWS", 7)
+    folder = str(tmp_path / "arrays")
+    assert files.to_npy(df.repartition(5), folder) == 100
+    got = files.from_npy(spark, folder).orderBy("vec_id").collect()
+    assert [r["vec_id"] for r in got] == list(range(100)) and np.array_equal(np.array([r["embedding"] for r in got], np.float32), x)
+    assert files.from_npy(spark, folder, 0).count() == 0
+    with pytest.raises(FileExistsError):
+        files.to_npy(df, folder)
+    assert files.to_npy(df.limit(0), str(tmp_path / "empty")) == 0 and files.from_npy(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_npy_folder_of_uneven_vectors_is_refused(spark, tmp_path):
+    for name, vector in (("null", None), ("short", [1.0])):
+        df = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, vector), (2, [1.0, 2.0, 3.0])], "vec_id long, embedding array<float>")
+        with pytest.raises(Exception, match="one length"):
+            files.to_npy(df, str(tmp_path / name))
+        with pytest.raises(ValueError, match="finished"):
+            files.from_npy(spark, str(tmp_path / name))
+
+
+def test_json_records_are_merged_as_versions(spark, tmp_path):
+    path = str(tmp_path / "records")
+    assert sinks.read_json_records(spark, path) is None
+    assert sinks.upsert_json(spark.createDataFrame([], "n long, s double"), path, ["n"]) == -1
+    assert sinks.upsert_json(spark.createDataFrame([(1, 0.5), (2, 1.0)], "n long, s double"), path, ["n"]) == 0
+    assert sinks.upsert_json(spark.createDataFrame([(2, 0.25, "again"), (3, None, "new")], "n long, s double, note string"), path, ["n"]) == 1
+    got = sinks.read_json_records(spark, path).orderBy("n").select("n", "s", "note").collect()
+    assert [tuple(r) for r in got] == [(1, 0.5, None), (2, 0.25, "again"), (3, None, "new")]
+    with pytest.raises(ValueError):
+        sinks.upsert_json(spark.range(1).withColumn(sinks.VERSION, F.lit(1)), path, ["id"])
+
+
 def test_hdf5_is_gated(spark):
     try:
         import h5py  # noqa: F401

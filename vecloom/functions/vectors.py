@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Accepted names, without regard to case.
+#: Accepted names, without regard to case.
 METRICS = {"l2": "euclidean", "euclidean": "euclidean", "euclidian": "euclidean", "cosine": "cosine", "angular": "cosine"}
 #: Vectors up to this many dimensions get an unrolled expression, which whole-stage code generation compiles.
 UNROLL = 128

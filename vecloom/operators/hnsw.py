@@ -17,12 +17,14 @@ from vecloom.operators.search import score
 
 #: Points of a shard; every query visits every shard.
 SHARD = 20_000
+#: Fixed value: the highest layer.
+TOP_LAYER = 24
 
 
 def random_layers(n: int, m: int, seed: int = 0) -> np.ndarray:
-    """floor(-ln(u) / ln(m)), at most 24, for each point."""
+    """floor(-ln(u) / ln(m)), at most TOP_LAYER, for each point."""
     u = 1 - np.random.default_rng(seed).random(n)
-    return np.minimum(np.floor(-np.log(u) / math.log(max(m, 2))), 24).astype(int)
+    return np.minimum(np.floor(-np.log(u) / math.log(max(m, 2))), TOP_LAYER).astype(int)
 
 
 class LayeredGraph:

@@ -1,12 +1,17 @@
-"""Vectors in array files: .npy by ranges of rows on the executors, HDF5 where h5py is installed."""
+"""Vectors in array files: .npy by ranges of rows on the executors, in and out; HDF5 where h5py is installed."""
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vecloom.operators.blocks import batch, vectors
 
@@ -28,11 +33,53 @@ def _ranges(spark: SparkSession, n: int, read) -> DataFrame:
 
 
 def from_npy(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
-    """The first `rows` rows of an n x d array that all executors can open at path; it is mapped into memory, not loaded."""
-    shape = np.load(path, mmap_mode="r").shape
-    if len(shape) != 2:
-        raise ValueError("a two-dimensional array is needed")
-    return _ranges(spark, min(shape[0], rows or shape[0]), lambda a, z: np.load(path, mmap_mode="r")[a:z])
+    """The first `rows` rows of an n x d array that all executors can open at path; it is mapped into memory, not loaded.
+
+    path is one .npy file or a folder that to_npy has finished; vec_id is the row's place."""
+    if os.path.isdir(path) and not os.path.exists(os.path.join(path, "_SUCCESS")):
+        raise ValueError(f"{path} is not a finished folder of arrays")
+    names = sorted(n for n in os.listdir(path) if n.endswith(".npy")) if os.path.isdir(path) else [""]
+    paths = [os.path.join(path, n) if n else path for n in names]
+    shapes = [np.load(p, mmap_mode="r").shape for p in paths]
+    if any(len(s) != 2 for s in shapes) or len({s[1] for s in shapes}) > 1:
+        raise ValueError("two-dimensional arrays of one width are needed")
+    first = np.cumsum([0, *(s[0] for s in shapes)])
+
+    def read(a: int, z: int) -> np.ndarray:
+        i, j = np.searchsorted(first, a, "right") - 1, np.searchsorted(first, z)
+        return np.concatenate([np.load(paths[k], mmap_mode="r")[max(a - first[k], 0) : z - first[k]] for k in range(i, j)])
+
+    return _ranges(spark, int(first[-1]) if rows is None else min(int(first[-1]), rows), read)
+
+
+def to_npy(df: DataFrame, folder: str, dtype: str = "float32") -> int:
+    """Writes the column embedding in order of vec_id as .npy files of one new folder that all executors can open; the rows written.
+
+    Every task writes its range of ids, a file for each Arrow batch; a file appears whole or not at all, so a task can
+    be run again. Rows of an equal vec_id are ordered by their vectors' hash, null ids come first. Null vectors or
+    ones of different lengths raise; from_npy then refuses the folder. An empty table gives a folder without arrays."""
+    os.makedirs(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for k, b in enumerate(b for b in batches if b.num_rows):
+            column = b.column("embedding")
+            if column.null_count or len(pc.unique(pc.list_value_length(column))) > 1:
+                raise ValueError("vectors of one length are needed")
+            x = column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(b.num_rows, -1)
+            started = os.path.join(folder, f".{uuid.uuid4().hex}")
+            with open(started, "wb") as f:
+                np.save(f, x)
+            os.replace(started, os.path.join(folder, f"part-{part:08d}-{k:08d}.npy"))
+            yield batch(rows=np.array([b.num_rows]), width=np.array([x.shape[1]]))
+
+    order = ["vec_id", F.xxhash64("embedding")]
+    rows = df.select("vec_id", "embedding").repartitionByRange(*order).sortWithinPartitions(*order).select("embedding")
+    done = rows.mapInArrow(run, "rows long, width long").agg(F.sum("rows").alias("n"), F.min("width").alias("least"), F.max("width").alias("most")).first()
+    if done["least"] != done["most"]:
+        raise ValueError("vectors of one length are needed")
+    open(os.path.join(folder, "_SUCCESS"), "wb").close()
+    return done["n"] or 0
 
 
 def from_hdf5(spark: SparkSession, path: str, dataset: str = "train", rows: int | None = None) -> DataFrame:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folder key of the versions that upsert_json writes.
+VERSION = "record_version"
+
 
 def to_coo(knn: DataFrame) -> DataFrame:
     """(row, col, value, rank) of (id, rank, nbr, dist): k + 1 explicit entries a row, the point itself first at 0."""
@@ -36,3 +40,38 @@ def padded(knn: DataFrame, k: int, self_edges: bool = True) -> DataFrame:
 def merge_records(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old without the keys that new brings, and new; in order of the keys."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True).orderBy(*keys)
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[int, DataFrame | None]:
+    try:
+        found = spark.read.json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return -1, None
+    last = found.agg(F.max(VERSION).alias("n")).first()["n"]
+    return last, found.where(F.col(VERSION) == last).drop(VERSION)
+
+
+def read_json_records(spark: SparkSession, path: str) -> DataFrame | None:
+    """The records of the last version at path; None if there is none."""
+    return _versions(spark, path)[1]
+
+
+def upsert_json(new: DataFrame, path: str, keys: list[str]) -> int:
+    """Merges new into the JSON records at path by keys, as a new version beside the last, and returns its number.
+
+    Nothing that is read is overwritten: a job that dies leaves the last version as it is, and of two that write at
+    once the later fails. Old columns take the types of new ones of the same name; columns on one side only are
+    null on the other. If there are no records on either side nothing is written (-1)."""
+    if VERSION in new.columns:
+        raise ValueError(f"the column name {VERSION} is taken")
+    last, old = _versions(new.sparkSession, path)
+    if old is None and new.isEmpty():
+        return last
+    if old is not None:
+        kinds = dict(new.dtypes)
+        old = old.select(*(F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in old.columns))
+        new = merge_records(old, new, keys)
+    new.write.json(f"{path}/{VERSION}={last + 1}")
+    return last + 1

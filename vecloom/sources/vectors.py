@@ -81,11 +81,15 @@ def gaussian_clusters(n: int, d: int, clusters: int | None = None, scale: float
     return (centres[rng.integers(0, k, n)] + rng.standard_normal((n, d))).astype(np.float32)
 
 
+#: The generator's multiplier and increment.
+LCG_MULTIPLIER, LCG_INCREMENT = 6364136223846793005, 1442695040888963407
+
+
 def _lcg(n: int, seed: int) -> np.ndarray:
     """High 31 bits of a 64-bit linear congruential sequence, as fractions in [0, 1)."""
     out, state = np.empty(n), seed & (2**64 - 1)
     for i in range(n):
-        state = (state * 6364136223846793005 + 1442695040888963407) & (2**64 - 1)
+        state = (state * LCG_MULTIPLIER + LCG_INCREMENT) & (2**64 - 1)
         out[i] = (state >> 33) / 2**31
     return out
 
