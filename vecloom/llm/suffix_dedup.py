@@ -222,11 +222,11 @@ def match_texts(texts: DataFrame, levels: list[DataFrame], length: int) -> DataF
 
     columns = ("key", "span", "text")
     stream = texts.select(*columns, F.lit(True).alias("fresh"))
-    if levels:
-        new = texts.select("key").distinct()
-        for level in levels:
-            stream = stream.union(level.select(*columns).join(new, "key", "left_semi").select(*columns, F.lit(False).alias("fresh")))
-    dealt = stream.repartition("key").sortWithinPartitions("key", "fresh", "span")
+    for level in levels:
+        stream = stream.union(level.select(*columns, F.lit(False).alias("fresh")))
+    # one exchange: a key's new texts come first, and keys without any are left out
+    order = Window.partitionBy("key").orderBy(F.desc("fresh"), "span")
+    dealt = stream.withColumn("asked", F.first("fresh").over(order)).where("asked").drop("asked")
     return dealt.mapInArrow(run, "key long, span long, at long, n long")
 
 
