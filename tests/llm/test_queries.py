@@ -16,6 +16,7 @@ COLUMNS = {
     "op8_": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op9_": ["doc_id", "held_out", "score", "predicted"],
     "op10_": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op13_": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
 }
 
 
@@ -23,7 +24,8 @@ COLUMNS = {
 def test_columns_and_rows(spark, sf_dir, name):
     df = queries()[name](spark, sf_dir)
     assert set(COLUMNS[name.split("_")[0] + "_"]) <= set(df.columns)
-    table = "embeddings" if name[2] in "13" and name[3] == "_" else "pages" if name[2] in "47" else "documents"
+    number = name[2:].split("_")[0]
+    table = "embeddings" if number in ("1", "3") else "pages" if number in ("4", "7") else "documents"
     rows, whole = df.count(), spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
     assert rows >= whole if table != "embeddings" else rows == {"op1_exact_topk": 50, "op3_ann_forest": 500}[name]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_forest, bpe, exact_topk, kneser_ney, packing, simhash, suffix_dedup, toxicity, url_filter, warc
+from . import ann_forest, bpe, exact_topk, kneser_ney, packing, runs, simhash, suffix_dedup, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, runs planted in a tenth of them, with their periodic runs and the digest of what is left without these."""
+    return runs.digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_topk": op1_exact_topk,
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_toxicity": op9_toxicity,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
