@@ -16,6 +16,8 @@ COLUMNS = {
     "op8_": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op9_": ["doc_id", "held_out", "score", "predicted"],
     "op10_": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op11_": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
+    "op12_": ["doc_id", "held_out", "lang_pred", "score"],
     "op13_": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
 }
 
@@ -27,13 +29,16 @@ def test_columns_and_rows(spark, sf_dir, name):
     number = name[2:].split("_")[0]
     table = "embeddings" if number in ("1", "3") else "pages" if number in ("4", "7") else "documents"
     rows, whole = df.count(), spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
+    if number == "11":
+        assert 0 < rows <= 2000 * df.select("lang").distinct().count()
+        return
     assert rows >= whole if table != "embeddings" else rows == {"op1_exact_topk": 50, "op3_ann_forest": 500}[name]
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     got, want = queries()[name](spark, sf_dir), con.execute(oracle_sql()[name])
     columns = [c[0] for c in want.description]

@@ -199,25 +199,20 @@ def ranges_of(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out + np.repeat(starts - ends + lengths, lengths)
 
 
-def word_ids(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray | None = None, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words of some texts: numbers from 0, equal for equal words alone; each text's count, byte starts and lengths.
-
-    Hashes propose what is equal and bytes are compared, so different words never share a number. fold: what bytes
-    count as, by default as they are."""
-    fold = np.arange(256, dtype=np.uint8) if fold is None else fold
-    h, counts, starts, lengths = hash_words(raw, offsets, fold, space)
+def numbered(h: np.ndarray, folded: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Numbers of words, equal for equal words alone: hashes h propose what is equal, and the bytes of `folded` are compared."""
     ids, _ = pd.factorize(h)
     ids = ids.astype(np.int64)
     first = np.zeros(int(ids.max(initial=-1)) + 1, np.int64)
     first[ids[::-1]] = np.arange(len(ids))[::-1]
-    like, folded = first[ids], fold[raw]
+    like = first[ids]
     if (lengths == lengths[like]).all():
         at = ranges_of(starts, lengths)
         if np.array_equal(folded[at], folded[at + np.repeat(starts[like] - starts, lengths)]):
-            return ids, counts, starts, lengths
+            return ids
     known: dict[bytes, int] = {}
     words = (folded[a : a + m].tobytes() for a, m in zip(starts.tolist(), lengths.tolist(), strict=True))
-    return np.array([known.setdefault(w, len(known)) for w in words], np.int64), counts, starts, lengths
+    return np.array([known.setdefault(w, len(known)) for w in words], np.int64)
 
 
 # ---- connected components ------------------------------------------------------------------------

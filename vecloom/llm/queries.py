@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_forest, bpe, exact_topk, kneser_ney, packing, runs, simhash, suffix_dedup, toxicity, url_filter, warc
+from . import ann_forest, bpe, collocations, exact_topk, kneser_ney, language_id, packing, runs, simhash, suffix_dedup, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,16 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' phrases of two and three words, the 2,000 best of each language."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' languages, by a model of those outside the held-out quarter."""
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, runs planted in a tenth of them, with their periodic runs and the digest of what is left without these."""
     return runs.digests(_table(spark, sf_dir, "documents"))
@@ -82,6 +92,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_toxicity": op9_toxicity,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_collocations": op11_collocations,
+        "op12_language_id": op12_language_id,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
@@ -98,6 +110,21 @@ SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 10""",
 d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
 SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
 CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to FROM d""",
+    "op11_collocations": """WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, size, w[i:i + size - 1] AS g FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, range(1, 4) s(size) WHERE len(w) >= size)),
+c AS (SELECT lang, size, g, count(*)::HUGEINT AS n FROM g GROUP BY ALL),
+e AS (SELECT lang, sum(n)::BIGINT AS n FROM c WHERE size = 1 GROUP BY lang),
+x AS (SELECT lang, size, g, n AS a FROM c WHERE size > 1 AND n >= 10),
+k AS (SELECT x.*, k FROM x, range(1, 3) t(k) WHERE k < size),
+s AS (SELECT k.*, f.n AS l, r.n AS r, 1000000 * a * a // (f.n * r.n) AS score FROM k
+JOIN c f ON f.lang = k.lang AND f.g = k.g[1:k] JOIN c r ON r.lang = k.lang AND r.g = k.g[k + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+z AS (SELECT b.lang, b.g FROM b JOIN x ON x.lang = b.lang AND x.size = b.size + 1 AND (x.g[1:b.size] = b.g OR x.g[2:] = b.g) WHERE 100 * x.a >= 50 * b.a),
+o AS (SELECT *, array_to_string(g, ' ') AS phrase FROM b ANTI JOIN z USING (lang, g)),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, e.n, score::BIGINT AS score FROM q JOIN e USING (lang) WHERE rank <= 2000""",
 }
 
 

@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, powers, ranges_of, slices, text_of, word_ids
+from .common import hash_words, mix, numbered, powers, ranges_of, slices, text_of
 
 #: (period, grid point) pairs that one step works on; one period's points stay together.
 PAIRS = 1 << 20
 
+_SAME = np.arange(256, dtype=np.uint8)  # capitals stay what they are
+
 
 def _periods(n: int, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of periods 1..most with about PAIRS grid points each."""
@@ -166,8 +168,8 @@ def collapse_runs(documents: DataFrame, least: int = 24, times: int = 3, keep: t
             raw, offsets = text_of(batch.column("__text"))
             for i, j in slices(offsets):
                 part = raw[offsets[i] : offsets[j]]
-                ids, counts, starts, lengths = word_ids(part, offsets[i : j + 1] - offsets[i])
-                text, rows = find_runs(ids, counts, least, times)
+                h, counts, starts, lengths = hash_words(part, offsets[i : j + 1] - offsets[i], _SAME)
+                text, rows = find_runs(numbered(h, part, starts, lengths), counts, least, times)
                 at = np.searchsorted(text, np.arange(j - i + 1))
                 own = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], fields=list(run)))
                 collapsed = _joined(part, starts, lengths, _kept(counts, text, rows), counts).cast(pa.string())
