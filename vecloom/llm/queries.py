@@ -113,18 +113,21 @@ CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to FROM d""",
     "op11_collocations": """WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM d),
 w AS (SELECT lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
-g AS (SELECT lang, size, w[i:i + size - 1] AS g FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, range(1, 4) s(size) WHERE len(w) >= size)),
-c AS (SELECT lang, size, g, count(*)::HUGEINT AS n FROM g GROUP BY ALL),
-e AS (SELECT lang, sum(n)::BIGINT AS n FROM c WHERE size = 1 GROUP BY lang),
-x AS (SELECT lang, size, g, n AS a FROM c WHERE size > 1 AND n >= 10),
-k AS (SELECT x.*, k FROM x, range(1, 3) t(k) WHERE k < size),
-s AS (SELECT k.*, f.n AS l, r.n AS r, 1000000 * a * a // (f.n * r.n) AS score FROM k
-JOIN c f ON f.lang = k.lang AND f.g = k.g[1:k] JOIN c r ON r.lang = k.lang AND r.g = k.g[k + 1:]),
-b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
-z AS (SELECT b.lang, b.g FROM b JOIN x ON x.lang = b.lang AND x.size = b.size + 1 AND (x.g[1:b.size] = b.g OR x.g[2:] = b.g) WHERE 100 * x.a >= 50 * b.a),
-o AS (SELECT *, array_to_string(g, ' ') AS phrase FROM b ANTI JOIN z USING (lang, g)),
+t AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+u AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM t),
+c1 AS (SELECT lang, x, count(*)::HUGEINT AS n FROM u GROUP BY lang, x),
+c2 AS (SELECT lang, x, y, count(*)::HUGEINT AS n FROM u WHERE y IS NOT NULL GROUP BY lang, x, y HAVING count(*) >= 10),
+c3 AS (SELECT lang, x, y, z, count(*)::HUGEINT AS n FROM u WHERE z IS NOT NULL GROUP BY lang, x, y, z HAVING count(*) >= 10),
+e AS (SELECT lang, sum(n)::BIGINT AS n FROM c1 GROUP BY lang),
+s2 AS (SELECT c2.lang, c2.x || ' ' || c2.y AS phrase, c2.n AS a, f.n AS l, r.n AS r FROM c2 JOIN c1 f ON f.lang = c2.lang AND f.x = c2.x JOIN c1 r ON r.lang = c2.lang AND r.x = c2.y),
+k1 AS (SELECT c3.lang, c3.x || ' ' || c3.y || ' ' || c3.z AS phrase, 1 AS k, c3.n AS a, f.n AS l, r.n AS r FROM c3 JOIN c1 f ON f.lang = c3.lang AND f.x = c3.x JOIN c2 r ON r.lang = c3.lang AND r.x = c3.y AND r.y = c3.z),
+k2 AS (SELECT c3.lang, c3.x || ' ' || c3.y || ' ' || c3.z AS phrase, 2 AS k, c3.n AS a, f.n AS l, r.n AS r FROM c3 JOIN c2 f ON f.lang = c3.lang AND f.x = c3.x AND f.y = c3.y JOIN c1 r ON r.lang = c3.lang AND r.x = c3.z),
+s AS (SELECT *, 1000000 * a * a // (l * r) AS score FROM (SELECT lang, phrase, 1 AS k, a, l, r FROM s2 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2)),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM s) WHERE o = 1),
+h AS (SELECT lang, phrase, max(n) AS n FROM (SELECT lang, x || ' ' || y AS phrase, n FROM c3 UNION ALL SELECT lang, y || ' ' || z, n FROM c3) GROUP BY lang, phrase),
+o AS (SELECT b.* FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE h.n IS NULL OR 100 * h.n < 50 * b.a),
 q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
-SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, e.n, score::BIGINT AS score FROM q JOIN e USING (lang) WHERE rank <= 2000""",
+SELECT q.lang, q.rank, q.phrase, q.a::BIGINT AS a, q.l::BIGINT AS l, q.r::BIGINT AS r, e.n, q.score::BIGINT AS score FROM q JOIN e ON e.lang = q.lang WHERE q.rank <= 2000""",
 }
 
 
