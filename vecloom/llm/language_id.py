@@ -22,6 +22,8 @@ from .common import byte_table, materialize, mix, powers, slices, text_of
 
 #: Bits of a feature's place; lengths of n-grams, in bytes.
 PLACE_BITS, SIZES = 13, (1, 2, 3, 4)
+#: Bytes of text that one step works on; its n-grams and their weights take some 150 times that.
+STEP_BYTES = 1 << 18
 #: Different texts of a language that its support vector machines learn from, at most: those whose hashes are lowest.
 SAMPLE_TEXTS = 1_000
 
@@ -118,7 +120,7 @@ def _counted(rows: DataFrame) -> DataFrame:
         for batch in batches:
             raw, offsets = text_of(batch.column("text"))
             langs = batch.column("lang").to_pylist()
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, STEP_BYTES):
                 places, at = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 names = sorted(set(langs[i:j]))
                 code = np.array([names.index(x) for x in langs[i:j]])
@@ -182,7 +184,7 @@ class LanguageModel:
     def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the predicted languages, and how sure: the share of the family times the mean share in the language's pairs."""
         places, at = features(raw, offsets)
-        table = np.concatenate([self.like, self.weights], axis=1)
+        table = np.concatenate([self.like, self.weights], axis=1)  # few columns: families and pairs
         total = np.zeros((len(offsets) - 1, table.shape[1]))
         rows = np.diff(at)
         some = np.flatnonzero(rows)
@@ -255,7 +257,7 @@ def _machines(rows: DataFrame, langs: list[str], pairs: np.ndarray, scale: np.nd
         for batch in batches:
             raw, offsets = text_of(batch.column("text"))
             at, share = [], []
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, STEP_BYTES):
                 places, edge = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 for a, b in zip(edge[:-1], edge[1:], strict=True):
                     n = np.bincount(places[a:b].ravel(), minlength=1 << PLACE_BITS)
@@ -305,7 +307,7 @@ def predict(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
             text = batch.column("text")
             raw, offsets = text_of(text.fill_null(""))
             lang, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, STEP_BYTES):
                 lang[i:j], score[i:j] = model.predict(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             none = text.is_null().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.where(none, "und", names[lang]), pa.string()), pa.array(np.where(none, 0.0, score))], ["doc_id", "lang_pred", "score"])
