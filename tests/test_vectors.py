@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecloom.functions import vectors as V
-from vecloom.operators import candidates, evaluate, graph, hnsw, partition, preprocess, search
+from vecloom.operators import candidates, evaluate, graph, partition, preprocess, search
 from vecloom.plans import index as I
+from vecloom.plans import layered
 from vecloom.plans.params import BuildParams, HnswParams, IvfParams, SearchParams
 from vecloom.sources import sinks
 from vecloom.sources import vectors as S
@@ -93,27 +94,62 @@ def test_held_out_queries_and_persistence(spark, blobs, tmp_path):
         index.query(frame(spark, blobs[:5, :7]))
 
 
-def test_beam_by_joins_agrees(spark, blobs):
+def test_beam_agrees_with_exact(spark, blobs):
     index = I.VectorIndex.build(frame(spark, blobs[:400]), params=BuildParams(c_max=100))
     asked = S.from_table(frame(spark, blobs[400:420])).withColumn("id", F.col("id") + 5000)
-    start = index._starts(asked, 32)
-    found = search.beam_by_joins(index.points, index.edges, asked, start, 32)
+    found = search.beam_search(index.points, index.edges, asked, index._starts(asked, 32), 32, index.d)
     exact = I.exact.query_knn(index.points, asked, 400, 10)
     assert evaluate.recall_at_k(found, exact, 10).first()["recall"] >= 0.95
 
 
-@pytest.mark.parametrize("way", ["beam", "warm"])
-def test_both_forms_of_the_beam_give_the_same(spark, blobs, monkeypatch, way):
+def plain_beams(x, edges, q, starts, width):
+    """The same rounds one query at a time, with sets and sorted lists."""
+    out = {}
+    for i, v in q.items():
+        measure = lambda j, v=v: float(((x[j] - v) ** 2).sum())
+        seen = set(starts[i])
+        beam = sorted((measure(j), j) for j in seen)[:width]
+        done = set()
+        while fresh := [j for _, j in beam if j not in done]:
+            done |= set(fresh)
+            new = {n for j in fresh for n in edges.get(j, ())} - seen
+            seen |= new
+            beam = sorted([*beam, *((measure(j), j) for j in new)])[:width]
+        out[i] = [j for _, j in beam]
+    return out
+
+
+@pytest.mark.parametrize("hubs", [False, True])
+def test_beams_match_plain_walks(spark, blobs, monkeypatch, hubs):
+    if hubs:  # every round then deals with its most frequented points apart
+        monkeypatch.setattr(search, "HUB_ROWS", 0)
+    x = blobs[:500].astype(float)
     index = I.VectorIndex.build(frame(spark, blobs[:500]), params=BuildParams(c_max=100))
+    edges = index.edges.toPandas().groupby("src")["dst"].apply(list).to_dict()
+    own = index.self_knn(8, SearchParams(beam=20)).where("rank > 0").toPandas().sort_values(["id", "rank"]).groupby("id")["nbr"].apply(list).to_dict()
+    want = plain_beams(x, edges, dict(enumerate(x)), {i: [i] for i in range(500)}, 20)
+    assert own == {i: [j for j in w if j != i][:8] for i, w in want.items()}
     asked = frame(spark, blobs[500:530])
+    starts = index._starts(S.from_table(asked), 16).toPandas().groupby("id")["nbr"].apply(list).to_dict()
+    got = index.query(asked, 5, 16).toPandas().sort_values(["id", "rank"]).groupby("id")["nbr"].apply(list).to_dict()
+    want = plain_beams(x, edges, dict(enumerate(blobs[500:530].astype(float))), starts, 16)
+    assert got == {i: w[:5] for i, w in want.items()}
 
-    def answers():
-        own = index.self_knn(8, SearchParams(strategy=way, beam=20)).toPandas().sort_values(["id", "rank"])
-        return own[["id", "rank", "nbr"]].values.tolist(), index.query(asked, 5, 16).toPandas().sort_values(["id", "rank"])[["id", "rank", "nbr"]].values.tolist()
 
-    broadcast = answers()
-    monkeypatch.setattr(search, "GRAPH_BYTES", 0)
-    assert answers() == broadcast
+def test_rounds_leave_points_and_edges_where_they_are(spark, blobs):
+    """Joins with the index's tables read their buckets; only frontiers and candidates are exchanged."""
+    index = I.VectorIndex.build(frame(spark, blobs[:300]), params=BuildParams(c_max=100))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = index.points.select("id", ((F.col("id") * 7 + 1) % 300).alias("nbr"))
+        hop = search.with_table(rows, index.edges.select(F.col("src").alias("nbr"), "dst"), None)
+        met = search.with_table(rows, index.points.select(F.col("id").alias("nbr"), "vec"), None)
+        for df, exchanges in ((hop, 1), (met, 1)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == exchanges, plan
+            assert "Bucketed: true" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_queries_as_a_stream(spark, blobs, tmp_path):
@@ -249,9 +285,21 @@ def test_generators_repeat():
     assert V.bf16_array(np.array([0.0, 1.0, 3.14159])).tolist() == [0.0, 1.0, 3.140625]
 
 
-def test_layers_follow_the_law():
-    top = hnsw.random_layers(20000, 16)
-    assert abs((top > 0).mean() - 1 / 16) < 0.01 and top.max() <= 24
+def test_layers_follow_the_law(spark):
+    top = spark.range(20000).select(layered.layer_of(F.col("id"), 16).alias("top")).toPandas()["top"].to_numpy()
+    assert abs((top > 0).mean() - 1 / 16) < 0.01 and abs((top > 1).mean() - 1 / 256) < 0.003 and top.max() <= 24
+
+
+def test_layers_are_nested_and_bounded(spark, blobs):
+    graph = layered.LayeredGraph.build(S.from_table(frame(spark, blobs[:700])), HnswParams(m=4, ef_construction=32), BuildParams(c_max=200))
+    ids = [{r["id"] for r in index.points.select("id").collect()} for index in graph.layers]
+    assert len(ids) >= 2 and all(b < a for a, b in zip(ids, ids[1:])) and 0 < graph.top.count() <= layered.ENTRY_POINTS
+    for level, index in enumerate(graph.layers):
+        assert index.edges.groupBy("src").count().agg(F.max("count")).first()[0] <= (4 if level else 8)
+    asked = S.from_table(frame(spark, blobs[700:730]))
+    found = graph.query(asked, 5).select((F.col("id") + 10_000).alias("id"), "nbr")
+    exact = I.exact.query_knn(S.from_table(frame(spark, blobs[:700])), asked.withColumn("id", F.col("id") + 10_000), 700, 5)
+    assert evaluate.recall_at_k(found, exact, 5).first()["recall"] >= 0.9
 
 
 def test_pca_matches_svd(spark, blobs):

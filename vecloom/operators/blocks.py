@@ -21,6 +21,20 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def codes(column: pa.Array) -> np.ndarray:
+    """A binary column of equal lengths, without nulls, as n x bytes."""
+    n = len(column)
+    at = np.frombuffer(column.buffers()[1], np.int32, n + 1, column.offset * 4) if n else np.zeros(1, np.int32)
+    raw = np.frombuffer(column.buffers()[2], np.uint8, at[-1] - at[0], at[0]) if at[-1] > at[0] else np.zeros(0, np.uint8)
+    return raw.reshape(n, -1) if n else np.zeros((0, 0), np.uint8)
+
+
+def packed(x: np.ndarray) -> pa.Array:
+    """The other way round: rows of bytes as a binary column."""
+    n, m = x.shape
+    return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * m), pa.py_buffer(np.ascontiguousarray(x, np.uint8))])
+
+
 def vectors(x: np.ndarray) -> pa.Array:
     n, d = x.shape
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(np.ascontiguousarray(x, np.float64).ravel()))
@@ -39,13 +53,23 @@ def block_count(n: int) -> int:
     return max(1, -(-n // BLOCK))
 
 
-def join_blocks(base: DataFrame, queries: DataFrame, kernel: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+#: Columns that a block join carries, and how a task reads them.
+CARRIED = {"vec": ("array<double>", matrix), "code": ("binary", codes)}
+
+
+def join_blocks(base: DataFrame, queries: DataFrame, kernel: Callable[..., Iterator[pa.RecordBatch]], schema: str, of: tuple[str, str] = ("vec", "vec")) -> DataFrame:
     """kernel(ids, vectors, query ids, query vectors) for each block of base and each batch of queries.
 
-    base and queries have (block, id, vec); a query stands once for each block it goes to. A task holds one block
-    of candidates at a time, and queries pass in Arrow batches, so its memory does not grow with the data."""
-    stream = base.select("block", F.lit(0).alias("role"), "id", "vec").union(queries.select("block", F.lit(1).alias("role"), "id", "vec"))
-    stream = stream.repartition("block").sortWithinPartitions("block", "role")
+    base and queries have (block, id) and a column each, named by `of`: vec, or code for rows of bytes; a query stands
+    once for each block it goes to. A task holds one block of candidates at a time, and queries pass in Arrow batches,
+    so its memory does not grow with the data."""
+    carried = list(dict.fromkeys(of))
+
+    def side(df: DataFrame, role: int) -> DataFrame:
+        own = (F.col(c) if c == of[role] else F.lit(None).cast(CARRIED[c][0]).alias(c) for c in carried)
+        return df.select("block", F.lit(role).alias("role"), "id", *own)
+
+    stream = side(base, 0).union(side(queries, 1)).repartition("block").sortWithinPartitions("block", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -53,19 +77,19 @@ def join_blocks(base: DataFrame, queries: DataFrame, kernel: Callable[..., Itera
             if not b.num_rows:
                 continue
             block, role, ids = (b.column(c).to_numpy() for c in ("block", "role", "id"))
-            x = matrix(b.column("vec"))
             cuts = np.concatenate([[0], np.flatnonzero((np.diff(block) != 0) | (np.diff(role) != 0)) + 1, [len(block)]])
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                column = of[role[i]]
+                x = CARRIED[column][1](b.column(column).slice(i, j - i))
                 if block[i] != now:
                     now, held = block[i], []
                 if role[i] == 0:
-                    held.append((ids[i:j], x[i:j]))
+                    held.append((ids[i:j], x))
                 elif held:
                     if len(held) > 1:
                         held = [tuple(np.concatenate(c) for c in zip(*held, strict=True))]
-                    for p in range(i, j, QUERIES):
-                        q = slice(p, min(p + QUERIES, j))
-                        yield from kernel(*held[0], ids[q], x[q])
+                    for p in range(0, j - i, QUERIES):
+                        yield from kernel(*held[0], ids[i + p : min(i + p + QUERIES, j)], x[p : p + QUERIES])
 
     return stream.mapInArrow(run, schema)
 

@@ -44,18 +44,20 @@ def with_self(ranked: DataFrame, points: DataFrame, metric: str) -> DataFrame:
     return own.union(ranked.select("id", F.col("rank").cast("long"), "nbr", emit(F.col("d2"), metric).alias("dist")))
 
 
-def knn_pairs(base: DataFrame, queries: DataFrame, n: int, k: int, skip_self: bool) -> DataFrame:
+def knn_pairs(base: DataFrame, queries: DataFrame, n: int, k: int, skip_self: bool, kernel=None, column: str = "vec") -> DataFrame:
     """(id, rank, nbr, d2). Every query meets every block of base: the work of an exact join, without a cross join of rows.
 
+    kernel and column: what else than vectors to compare, as join_blocks takes it.
+
     A block stands once for each part of the queries, so that a task has a bounded number of either."""
     parts = max(1, -(-(n if queries is base else queries.count()) // QUERY_PART))
     blocks = max(block_count(n), min(base.sparkSession.sparkContext.defaultParallelism, -(-n // 1024)))
-    placed = base.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "vec")
-    asked = queries.select(every(blocks), "id", "vec")
+    placed = base.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", column)
+    asked = queries.select(every(blocks), "id", column)
     if parts > 1:
-        placed = placed.select((F.col("block") * parts).alias("first"), "id", "vec").select("first", every(parts), "id", "vec").withColumn("block", F.col("first") + F.col("block")).drop("first")
+        placed = placed.select((F.col("block") * parts).alias("first"), "id", column).select("first", every(parts), "id", column).withColumn("block", F.col("first") + F.col("block")).drop("first")
         asked = asked.withColumn("block", F.col("block") * parts + F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(parts)))
-    return top_k(join_blocks(placed, asked, nearest_in_block(k, skip_self), "id long, nbr long, d2 double"), k)
+    return top_k(join_blocks(placed, asked, kernel or nearest_in_block(k, skip_self), "id long, nbr long, d2 double", (column, column)), k)
 
 
 def self_knn(points: DataFrame, n: int, k: int, metric: str = "euclidean") -> DataFrame:

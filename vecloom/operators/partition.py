@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions.vectors import product_sq_l2
-from vecloom.operators.blocks import batch, every, join_blocks, matrix
+from vecloom.operators.blocks import batch, every, join_blocks, matrix, smallest, vectors
 from vecloom.operators.exact import nearest_in_block, top_k
 from vecloom.session import checkpointed
 from vecloom.sources.vectors import hash_order
@@ -28,6 +28,8 @@ RANKED = 65_536
 BROADCAST_BYTES = 64 << 20
 #: Centroids that a point is compared with directly; beyond, it is routed through groups of centroids.
 DIRECT = 256
+#: Pairs of rows and centres that are compared at once.
+TILE = 1 << 21
 
 
 def leaders(points: DataFrame, c_max: int, seed: int) -> DataFrame:
@@ -40,13 +42,18 @@ def leaders(points: DataFrame, c_max: int, seed: int) -> DataFrame:
 
 
 def nearest_leader(x: np.ndarray, lead: np.ndarray) -> np.ndarray:
-    """The place of each row's nearest leader, the first of equals: chosen by a product, settled by direct differences."""
-    d2 = product_sq_l2(x, lead)
-    out = d2.argmin(1)
-    close = d2 <= d2.min(1, keepdims=True) + 1e-9 * ((x * x).sum(1) + (lead * lead).sum(1).max() + 1)[:, None]
-    for r in np.flatnonzero(close.sum(1) > 1):
-        c = np.flatnonzero(close[r])
-        out[r] = c[((lead[c] - x[r]) ** 2).sum(1).argmin()]
+    """The place of each row's nearest leader, the first of equals: chosen by a product, settled by direct differences, in tiles of TILE pairs."""
+    out = np.zeros(len(x), np.int64)
+    size = (lead * lead).sum(1).max(initial=0)
+    step = max(1, TILE // max(len(lead), 1))
+    for i in range(0, len(x), step):
+        own = x[i : i + step]
+        d2 = product_sq_l2(own, lead)
+        out[i : i + step] = d2.argmin(1)
+        close = d2 <= d2.min(1, keepdims=True) + 1e-9 * ((own * own).sum(1) + size + 1)[:, None]
+        for r in np.flatnonzero(close.sum(1) > 1):
+            c = np.flatnonzero(close[r])
+            out[i + r] = c[((lead[c] - own[r]) ** 2).sum(1).argmin()]
     return out
 
 
@@ -157,18 +164,30 @@ def group_centroids(centres: DataFrame, seed: int = 0) -> DataFrame:
     return centres.select("leaf_id", "vec").mapInArrow(run, "block long, id long, vec array<double>")
 
 
-def nearest_groups(points: DataFrame, centres: DataFrame, probes: int) -> DataFrame:
-    """(block, id, vec): each row of points once for each of its `probes` nearest group centres (block, vec), which are few."""
-    rows = centres.orderBy("block").collect()
-    shared = points.sparkSession.sparkContext.broadcast((np.array([r["block"] for r in rows], np.int64), np.array([r["vec"] for r in rows])))
+def nearest_groups(points: DataFrame, centres: DataFrame | np.ndarray, probes: int, residual: bool = False) -> DataFrame:
+    """(block, id, vec): each row of points once for each of its `probes` nearest group centres, which are few: (block, vec), or rows of an array.
+
+    residual: vec less the centre."""
+    if isinstance(centres, DataFrame):
+        rows = centres.orderBy("block").collect()
+        blocks, c = np.array([r["block"] for r in rows], np.int64), np.array([r["vec"] for r in rows])
+    else:
+        blocks, c = np.arange(len(centres)), centres
+    shared = points.sparkSession.sparkContext.broadcast((blocks, c))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, c = shared.value
-        for b in batches:
-            if b.num_rows:
-                near = np.argsort(product_sq_l2(matrix(b.column("vec")), c), axis=1, kind="stable")[:, :probes]
-                row = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
-                yield batch(block=blocks[near.ravel()], id=b.column("id").take(row), vec=b.column("vec").take(row))
+        step, most = max(1, TILE // max(len(c), 1)), min(probes, len(c))
+        for whole in batches:
+            for i in range(0, whole.num_rows, step):
+                b = whole.slice(i, step)
+                x = matrix(b.column("vec"))
+                d2 = product_sq_l2(x, c)
+                row, near = np.nonzero(d2 <= np.partition(d2, most - 1, axis=1)[:, most - 1 : most])
+                top = smallest(row, d2[row, near], near, most)
+                row, near = row[top], near[top]
+                vec = vectors(x[row] - c[near]) if residual else b.column("vec").take(pa.array(row))
+                yield batch(block=blocks[near], id=b.column("id").take(pa.array(row)), vec=vec)
 
     return points.select("id", "vec").mapInArrow(run, "block long, id long, vec array<double>")
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.operators.exact import knn_pairs, top_k, with_self
+from vecloom.operators.blocks import batch, matrix, packed
+from vecloom.operators.exact import knn_pairs, nearest_in_block, top_k, with_self
 from vecloom.operators.search import score
+from vecloom.session import checkpointed
 
 
 def ranges(points: DataFrame) -> DataFrame:
@@ -31,16 +36,38 @@ def decoded(codes: DataFrame, spans: DataFrame) -> DataFrame:
     return codes.select("id", F.transform("codes", lambda c, i: c * F.get(step, i)).alias("vec"))
 
 
+def encode_packed(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """(id, code binary): the same codes, a byte a dimension."""
+    rows = spans.orderBy("pos").collect()
+    lo, step = (np.array([r[c] for r in rows]) for c in ("lo", "step"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield batch(id=b.column("id"), code=packed(code_array(matrix(b.column("vec")), lo, step)))
+
+    return points.select("id", "vec").mapInArrow(run, "id long, code binary")
+
+
+def nearest_by_codes(step: np.ndarray, k: int, skip_self: bool):
+    """A kernel of join_blocks for codes on either side: the step-weighted distances, which are those of codes times steps."""
+    inner = nearest_in_block(k, skip_self)
+
+    def kernel(ids: np.ndarray, code: np.ndarray, query_ids: np.ndarray, q: np.ndarray):
+        return inner(ids, code * step, query_ids, q * step)
+
+    return kernel
+
+
 def knn_rerank(points: DataFrame, n: int, k: int, metric: str = "euclidean", wide: int = 2) -> DataFrame:
-    """(id, rank, nbr, dist): wide * k neighbours by codes, ranked again by exact distances."""
-    spans = ranges(points)
-    coarse = decoded(encode(points, spans), spans)
-    pairs = knn_pairs(coarse, coarse, n, wide * k, True).select("id", "nbr")
+    """(id, rank, nbr, dist): wide * k neighbours by codes, ranked again by exact distances. A byte a dimension is shuffled for the codes, not a double."""
+    spans = checkpointed(ranges(points), "spans")
+    step = np.array([r["step"] for r in spans.orderBy("pos").collect()])
+    coarse = encode_packed(points, spans)
+    pairs = knn_pairs(coarse, coarse, n, wide * k, True, nearest_by_codes(step, wide * k, True), "code").select("id", "nbr")
     return with_self(top_k(score(pairs, points), k), points, metric)
 
 
-def code_array(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, least values and steps of an n x d array: the same rule for kernels."""
-    lo, hi = x.min(0), x.max(0)
-    step = np.where(hi > lo, (hi - lo) / 255, 1.0)
-    return np.clip(np.floor((x - lo) / step + 0.5), 0, 255), lo, step
+def code_array(x: np.ndarray, lo: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Codes of an n x d array: the same rule for kernels."""
+    return np.clip(np.floor((x - lo) / step + 0.5), 0, 255).astype(np.uint8)

@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from vecloom.functions.vectors import direct_sq_l2, emit, sq_l2
-from vecloom.operators.blocks import QUERIES, batch, every, join_blocks, matrix, smallest
+from vecloom.functions.vectors import emit, sq_l2
+from vecloom.operators.blocks import every, join_blocks
 from vecloom.operators.exact import nearest_in_block, top_k, with_self
+from vecloom.session import checkpointed
 
-#: A graph up to this size, vectors included, is broadcast for beam search; beyond, beams advance by joins.
-GRAPH_BYTES = 256 << 20
 #: Seeds of a query.
 SEEDS = 16
-#: Pairs whose distances are taken at once; bytes of the record of points seen by the beams that advance together.
-PAIRS, SEEN_BYTES = 65_536, 16 << 20
+#: Of a frontier of over HUB_ROWS rows, points with over 1 / HUBS of the rows are dealt with apart; their neighbours' vectors take HUB_BYTES at most.
+HUB_ROWS, HUBS, HUB_BYTES = 1 << 20, 128, 64 << 20
 
 
 def pivot_count(n: int, beam: int) -> int:
@@ -41,104 +35,55 @@ def seeds(queries: DataFrame, pivot_points: DataFrame, many: int = SEEDS) -> Dat
     return top_k(join_blocks(base, asked, nearest_in_block(many, False), "id long, nbr long, d2 double"), many)
 
 
-@dataclass(frozen=True)
-class LocalGraph:
-    """A graph in compressed rows over sorted ids, with vectors; small enough to be broadcast."""
-
-    ids: np.ndarray
-    x: np.ndarray
-    start: np.ndarray
-    to: np.ndarray
-
-    def place(self, ids) -> np.ndarray:
-        return np.searchsorted(self.ids, ids)
-
-
-def local_graph(points: DataFrame, edges: DataFrame) -> LocalGraph:
-    """Collects a graph whose size the caller has checked."""
-    rows = points.select("id", "vec").orderBy("id").toArrow()
-    ids, x = rows.column("id").to_numpy(), matrix(rows.column("vec").combine_chunks())
-    pairs = edges.select("src", "dst").toArrow()
-    src, dst = np.searchsorted(ids, pairs.column("src").to_numpy()), np.searchsorted(ids, pairs.column("dst").to_numpy())
-    order = np.lexsort((dst, src))
-    start = np.searchsorted(src[order], np.arange(len(ids) + 1))
-    return LocalGraph(ids, x, start, dst[order])
-
-
-def beam_walks(graph: LocalGraph, q: np.ndarray, row: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of q, place, squared distance) of all beams, by row and nearest first, from the entries (row, place).
-
-    A round expands all unvisited members of every beam at once and keeps each beam's `width` nearest, equals by
-    place; beams end when all their members are visited. beam_by_joins takes the same rounds."""
-    n = len(graph.ids)
-    seen = np.zeros((len(q), n), bool)
-
-    def measured(row, at):
-        parts = [direct_sq_l2(graph.x[at[i : i + PAIRS]], q[row[i : i + PAIRS]]) for i in range(0, len(row), PAIRS)]
-        return np.concatenate([np.zeros(0), *parts])
-
-    row, at = np.divmod(np.unique(row * n + at), max(n, 1))
-    seen[row, at] = True
-    d2 = measured(row, at)
-    top = smallest(row, d2, at, width)
-    row, at, d2 = row[top], at[top], d2[top]
-    fresh = np.ones(len(row), bool)
-    while fresh.any():
-        r, v = row[fresh], at[fresh]
-        degree = graph.start[v + 1] - graph.start[v]
-        first = np.repeat(graph.start[v] - np.cumsum(degree) + degree, degree)
-        r, v = np.repeat(r, degree), graph.to[first + np.arange(len(first))]
-        new = ~seen[r, v]
-        r, v = np.divmod(np.unique(r[new] * n + v[new]), max(n, 1))
-        seen[r, v] = True
-        row, at, d2 = np.concatenate([row, r]), np.concatenate([at, v]), np.concatenate([d2, measured(r, v)])
-        fresh = np.arange(len(row)) >= len(fresh)
-        top = smallest(row, d2, at, width)
-        row, at, d2, fresh = row[top], at[top], d2[top], fresh[top]
-    return row, at, d2
-
-
-def beam_search(spark: SparkSession, graph: LocalGraph, starts: DataFrame, width: int, k: int, skip_self: bool) -> DataFrame:
-    """(id, nbr, d2) of starts (id, vec, seeds array<long>): the k nearest found for each query."""
-    shared = spark.sparkContext.broadcast(graph)
-    width = max(width, k + skip_self)
-    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = shared.value
-        step = max(1, min(QUERIES, SEEN_BYTES // max(len(graph.ids), 1)))
-        for b in batches:
-            for i in range(0, b.num_rows, step):
-                part = b.slice(i, step)
-                ids, x, entry = part.column("id").to_numpy(), matrix(part.column("vec")), part.column("seeds")
-                owner = np.repeat(np.arange(len(ids)), entry.value_lengths().to_numpy())
-                row, at, d2 = beam_walks(graph, x, owner, graph.place(entry.flatten().to_numpy()), width)
-                if skip_self:
-                    other = graph.ids[at] != ids[row]
-                    row, at, d2 = row[other], at[other], d2[other]
-                near = np.arange(len(row)) - np.searchsorted(row, row) < k
-                yield batch(id=ids[row[near]], nbr=graph.ids[at[near]], d2=d2[near])
-
-    return starts.select("id", "vec", "seeds").repartition(parts, "id").mapInArrow(run, "id long, nbr long, d2 double")
-
-
-def beam_by_joins(points: DataFrame, edges: DataFrame, queries: DataFrame, start: DataFrame, width: int, d: int | None = None) -> DataFrame:
-    """(id, nbr, d2): beams that begin as the `width` nearest of start (id, nbr, d2) and advance by joins, for graphs that no task can hold.
-
-    A round expands all unvisited members of each beam at once, scores the neighbours, and keeps the `width`
-    nearest; the rounds end when no beam has an unvisited member, as beams only ever get nearer."""
-    from vecloom.session import checkpointed
+def hubs(frontier: DataFrame, rows: int, most: int) -> DataFrame | None:
+    """(nbr): points that over 1 / HUBS of the frontier's rows stand at, `most` of them at most; None for few rows, which no task minds."""
+    if rows <= HUB_ROWS:
+        return None
+    shares = frontier.groupBy("nbr").count().where(F.col("count") > rows / HUBS)
+    return shares.orderBy(F.desc("count"), "nbr").limit(most).select("nbr")
+
+
+def with_table(rows: DataFrame, table: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """rows joined with a table by nbr, which is bucketed so and is not exchanged; what the table has of hot ones is broadcast, so that their rows stay where they are."""
+    if hot is None:
+        return rows.join(table, "nbr")
+    named = F.broadcast(hot)
+    own = rows.join(named, "nbr", "left_semi").join(F.broadcast(table.join(named, "nbr", "left_semi")), "nbr")
+    return rows.join(named, "nbr", "left_anti").join(table, "nbr").unionByName(own)
+
+
+def beam_search(points: DataFrame, edges: DataFrame, queries: DataFrame, start: DataFrame, width: int, d: int, r: int = 64, parts: int | None = None) -> DataFrame:
+    """(id, nbr, d2): beams that begin as the `width` nearest of start (id, nbr, d2) and advance by joins; at every size.
+
+    A round expands all unvisited members of each beam at once, scores the neighbours not scored before, and keeps
+    the `width` nearest, equals by nbr; the rounds end when no beam has an unvisited member. points (by id), edges (by src)
+    and queries (by id) are best bucketed tables of `parts` buckets: then a round moves the frontier's ids to the edges, ids of
+    neighbours to the queries, and a query's vector to each new neighbour's bucket; points and edges stay. Small
+    tables are broadcast where Spark finds them small enough. r: a bound on degrees, for what hubs may broadcast.
 
+    What was scored is written round by round, beams in a folder of their own; the driver sees one count a round."""
+    spark = points.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = min(HUBS, HUB_BYTES // (8 * (d + 2) * (r + 1)))
     q, p = queries.select("id", F.col("vec").alias("q")), points.select(F.col("id").alias("nbr"), "vec")
-    beam = top_k(start.select("id", "nbr", "d2", F.lit(False).alias("visited")), width).select("id", "nbr", "d2", "visited")
+    out = edges.select(F.col("src").alias("nbr"), "dst")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("d2", "nbr"))
+    state, seen = start.groupBy("id", "nbr").agg(F.min("d2").alias("d2")).withColumn("visited", F.lit(False)), None
     while True:
-        beam = checkpointed(beam, "beam")
-        if beam.where("not visited").isEmpty():
+        watch = Observation()
+        ranked = state.withColumn("kept", place <= width).observe(watch, F.count_if(F.col("kept") & ~F.col("visited")).alias("open"))
+        state = checkpointed(ranked, "beam", by="kept")
+        beam, scored = state.where("kept"), state.select("id", "nbr")
+        if not (rows := watch.get["open"]):
             return beam.select("id", "nbr", "d2")
-        fresh = beam.where("not visited").join(edges.select(F.col("src").alias("nbr"), "dst"), "nbr").select("id", F.col("dst").alias("nbr")).distinct()
-        fresh = fresh.join(beam.select("id", "nbr"), ["id", "nbr"], "left_anti")
-        scored = fresh.join(q, "id").join(p, "nbr").select("id", "nbr", sq_l2(F.col("q"), F.col("vec"), d).alias("d2"), F.lit(False).alias("visited"))
-        beam = top_k(beam.withColumn("visited", F.lit(True)).union(scored), width).select("id", "nbr", "d2", "visited")
+        seen = scored if seen is None else seen.unionAll(scored)
+        fresh = beam.where("not visited").select("id", "nbr")
+        hot = hubs(fresh, rows, most)
+        near = None if hot is None else out.join(F.broadcast(hot), "nbr", "left_semi").select(F.col("dst").alias("nbr")).distinct()
+        hop = with_table(fresh, out, hot).select("id", F.col("dst").alias("nbr"), F.lit(0).alias("old"))
+        new = hop.unionAll(seen.withColumn("old", F.lit(1))).repartition(parts, "id").groupBy("id", "nbr").agg(F.max("old").alias("old")).where("old = 0")
+        met = with_table(new.select("id", "nbr").join(q, "id"), p, near)
+        state = beam.select("id", "nbr", "d2", F.lit(True).alias("visited")).unionAll(met.select("id", "nbr", sq_l2(F.col("q"), F.col("vec"), d).alias("d2"), F.lit(False)))
 
 
 def expand(candidates: DataFrame, edges: DataFrame, nearest: int = 6) -> DataFrame:

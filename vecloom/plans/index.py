@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions.vectors import parse_metric
-from vecloom.operators import exact, hnsw, ivf, search
+from vecloom.operators import exact, ivf, search
+from vecloom.operators.blocks import block_count
 from vecloom.operators.candidates import hyperplanes, leaf_pairs, reservoir
 from vecloom.operators.graph import robust_prune, symmetrize
 from vecloom.operators.partition import partition
 from vecloom.plans.params import BuildParams, HnswParams, IvfParams, SearchParams
-from vecloom.session import checkpointed, ship
+from vecloom.session import bucketed, bucketed_at, checkpointed, ship
 from vecloom.sources.sinks import padded, to_coo
 from vecloom.sources.vectors import from_table, validate
 
@@ -27,7 +28,7 @@ EXACT_ROWS = 2048
 
 
 def build_graph(points: DataFrame, d: int, params: BuildParams) -> tuple[DataFrame, DataFrame]:
-    """(edges (src, dst, d2), candidates (src, dst, code, norm)): leaves of all runs feed one reservoir for each point, which is pruned and made symmetric.
+    """(edges (src, dst, d2), not written yet, and candidates (src, dst, code, norm)): leaves of all runs feed one reservoir for each point, which is pruned and made symmetric.
 
     Shuffles: one by leaf for each run, one by source for the reservoir, one by id for vectors, one by source after the union with reverses."""
     planes = hyperplanes(params.m, d, params.seed)
@@ -38,12 +39,12 @@ def build_graph(points: DataFrame, d: int, params: BuildParams) -> tuple[DataFra
         pairs = own if pairs is None else pairs.union(own)
     candidates = checkpointed(reservoir(pairs, params.l_max, params.norm_mode), "reservoir")
     pruned = robust_prune(candidates, points, params.alpha, params.r)
-    return checkpointed(symmetrize(pruned, points, params.r, d), "edges"), candidates
+    return symmetrize(pruned, points, params.r, d), candidates
 
 
 @dataclass
 class VectorIndex:
-    """Points with dense positions, edges and reservoir candidates, each a DataFrame in the shared folder."""
+    """Points, edges and reservoir candidates, each a DataFrame in the shared folder; points are bucketed by id, edges by src."""
 
     points: DataFrame
     edges: DataFrame
@@ -51,23 +52,22 @@ class VectorIndex:
     n: int
     d: int
     params: BuildParams
+    buckets: int
 
     @classmethod
     def build(cls, df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", params: BuildParams | None = None, **options) -> VectorIndex:
         params = params or BuildParams(**options)
         ship(df.sparkSession)
-        points = from_table(df, id_col, vec_col, params.metric)
+        return cls.of(from_table(df, id_col, vec_col, params.metric), params)
+
+    @classmethod
+    def of(cls, points: DataFrame, params: BuildParams) -> VectorIndex:
+        """The index of points (id, vec), which are normalised already under cosine."""
         n, d = validate(points)
-        points = checkpointed(points, "points")
+        buckets = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), block_count(n))
+        points = bucketed(points, "points", "id", buckets)
         edges, candidates = build_graph(points, d, params)
-        return cls(points, edges, candidates, n, d, params)
-
-    def _fits(self) -> bool:
-        """Whether a task can hold the graph: rows, degrees and dimensions bound its size."""
-        return self.n * (self.d + self.params.r + 2) * 8 <= search.GRAPH_BYTES
-
-    def _local(self) -> search.LocalGraph:
-        return search.local_graph(self.points, self.edges)
+        return cls(points, bucketed(edges, "edges", "src", buckets), candidates, n, d, params, buckets)
 
     def _starts(self, queries: DataFrame, beam: int) -> DataFrame:
         """(id, nbr, d2): pivots near each query. Pivots are chosen by the hash order of ids, so ids need not be dense."""
@@ -75,55 +75,46 @@ class VectorIndex:
 
         return search.seeds(queries, subsample(self.points, search.pivot_count(self.n, beam), self.params.seed))
 
+    def _beam(self, queries: DataFrame, start: DataFrame, width: int) -> DataFrame:
+        return search.beam_search(self.points, self.edges, queries, start, width, self.d, self.params.r, self.buckets)
+
     def query(self, df: DataFrame, k: int = 10, beam: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
         """(id, rank 1..k, nbr, dist) of held-out queries; ValueError where their dimension differs."""
         queries = from_table(df, id_col, vec_col, self.params.metric)
         validate(queries, self.d)
-        starts = self._starts(queries, beam)
-        if self._fits():
-            packed = starts.groupBy("id").agg(F.collect_list("nbr").alias("seeds")).join(queries, "id")
-            found = search.beam_search(df.sparkSession, self._local(), packed, beam, k, False)
-        else:
-            found = search.beam_by_joins(self.points, self.edges, queries, starts, max(beam, k), self.d)
+        queries = bucketed(queries, "queries", "id", self.buckets)
+        found = self._beam(queries, self._starts(queries, beam), max(beam, k))
         return search.shown(found, k, self.params.metric)
 
     def self_knn(self, k: int = 15, params: SearchParams | None = None) -> DataFrame:
-        """(id, rank 0..k, nbr, dist) by the strategy of params; auto is beam.
-
-        Where a task can hold the graph its beams advance there, else by joins: the same rounds, so the same beams."""
+        """(id, rank 0..k, nbr, dist) by the strategy of params; auto is beam."""
         params = params or SearchParams()
         way = "beam" if params.strategy == "auto" else params.strategy
         if way == "exact":
             return exact.self_knn(self.points, self.n, k, self.params.metric)
         if way == "reservoir":
             return search.reservoir_knn(self.candidates, self.edges, self.points, k, self.params.metric, params.refine, self.d)
-        if not self._fits():
-            start = self.points.select("id", F.col("id").alias("nbr"), F.lit(0.0).alias("d2"))
-            if way == "warm":
-                start = start.union(search.score(self.candidates.select(F.col("src").alias("id"), F.col("dst").alias("nbr")).where("id <> nbr"), self.points, self.d))
-            found = search.beam_by_joins(self.points, self.edges, self.points, start, max(params.beam, k + 1), self.d)
-            found = found.where("id <> nbr")
-        else:
-            starts = self.points.withColumn("seeds", F.array("id"))
-            if way == "warm":
-                warm = self.candidates.groupBy("src").agg(F.collect_list("dst").alias("more"))
-                joined = self.points.join(warm, self.points["id"] == warm["src"], "left")
-                starts = joined.select("id", "vec", F.concat(F.array("id"), F.coalesce("more", F.array().cast("array<long>"))).alias("seeds"))
-            found = search.beam_search(self.points.sparkSession, self._local(), starts, params.beam, k, True)
+        start = self.points.select("id", F.col("id").alias("nbr"), F.lit(0.0).alias("d2"))
+        if way == "warm":
+            start = start.union(search.score(self.candidates.select(F.col("src").alias("id"), F.col("dst").alias("nbr")).where("id <> nbr"), self.points, self.d))
+        found = self._beam(self.points, start, max(params.beam, k + 1)).where("id <> nbr")
         return exact.with_self(exact.top_k(found, k), self.points, self.params.metric)
 
     def save(self, path: str) -> None:
-        """Points, edges and candidates as Parquet, parameters as one line of JSON text."""
-        for name in ("points", "edges", "candidates"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        line = json.dumps(asdict(self.params) | {"n": self.n, "d": self.d})
-        self.points.sparkSession.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/params")
+        """Points, edges and candidates as Parquet, the first two in buckets, parameters as one line of JSON text. What stood at path before goes."""
+        spark = self.points.sparkSession
+        for name, key in (("points", "id"), ("edges", "src")):
+            bucketed(getattr(self, name), name, key, self.buckets, f"{path}/{name}", "overwrite")
+        self.candidates.write.mode("overwrite").parquet(f"{path}/candidates")
+        line = json.dumps(asdict(self.params) | {"n": self.n, "d": self.d, "buckets": self.buckets})
+        spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/params")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> VectorIndex:
         own = json.loads(ship(spark).read.text(f"{path}/params").first()["value"])
-        n, d = own.pop("n"), own.pop("d")
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("points", "edges", "candidates")), n, d, BuildParams(**own))
+        n, d, buckets = own.pop("n"), own.pop("d"), own.pop("buckets")
+        points, edges = (bucketed_at(spark, f"{path}/{name}", name, key, buckets) for name, key in (("points", "id"), ("edges", "src")))
+        return cls(points, edges, spark.read.parquet(f"{path}/candidates"), n, d, BuildParams(**own), buckets)
 
 
 def self_knn(df: DataFrame, k: int = 15, id_col: str = "vec_id", vec_col: str = "embedding", params: BuildParams | None = None, search_params: SearchParams | None = None, hnsw_params: HnswParams | None = None, ivf_params: IvfParams | None = None) -> DataFrame:
@@ -140,8 +131,9 @@ def self_knn(df: DataFrame, k: int = 15, id_col: str = "vec_id", vec_col: str =
     if way == "exact" or way == "auto" and n <= min(params.c_max, EXACT_ROWS):
         return exact.self_knn(points, n, k, params.metric)
     if way == "hnsw":
-        h = hnsw_params or HnswParams()
-        return hnsw.self_knn(points, n, k, params.metric, m=h.m, ef_construction=h.ef_construction, ef_search=h.ef_search, quantize=h.quantize, seed=params.seed)
+        from vecloom.plans import layered
+
+        return layered.self_knn(points, k, hnsw_params or HnswParams(), params)
     if way == "ivf":
         i = ivf_params or IvfParams()
         return ivf.self_knn(points, n, d, k, params.metric, i.lists(n), i.nprobe, i.pq_m, seed=params.seed)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions import vectors as V
 from vecloom.operators import candidates as C
 from vecloom.operators import evaluate as E
-from vecloom.operators import exact, graph, partition, preprocess, quantize, search
+from vecloom.operators import descent, exact, fuzzy, graph, ivf, partition, preprocess, quantize, search
 from vecloom.plans import index as I
 from vecloom.plans.params import BuildParams, HnswParams, IvfParams, SearchParams
 from vecloom.session import checkpointed
@@ -400,13 +401,104 @@ def hnsw_self_knn(spark, sf_dir):
 
 @query(_SOUND)
 def ivf_self_knn(spark, sf_dir):
-    """Half of the lists are searched: on these vectors, which hardly cluster, that finds 0.79 of the neighbours."""
-    return _by(spark, sf_dir, 0.75, search_params=SearchParams(strategy="ivf"), ivf_params=IvfParams(nlist=16, nprobe=8))
+    """These vectors hardly cluster: 13 of 16 lists, about four fifths of all pairs, are scored to find nine tenths of the neighbours."""
+    return _by(spark, sf_dir, 0.9, search_params=SearchParams(strategy="ivf"), ivf_params=IvfParams(nlist=16, nprobe=13))
 
 
 @query(_SOUND)
 def ivf_pq_self_knn(spark, sf_dir):
-    return _by(spark, sf_dir, 0.75, search_params=SearchParams(strategy="ivf"), ivf_params=IvfParams(nlist=16, nprobe=8, pq_m=32))
+    return _by(spark, sf_dir, 0.9, search_params=SearchParams(strategy="ivf"), ivf_params=IvfParams(nlist=16, nprobe=13, pq_m=32))
+
+
+#: Pinned: the points 0..7 are centres; of 16 further points, the residuals to their centres are the codebooks.
+_LISTS, _PARTS, _ENTRIES = 8, 16, 16
+_WIDTH = DIMENSIONS // _PARTS
+_PQ = f"""ct AS (SELECT id AS list, v AS c FROM e WHERE id < {_LISTS}),
+ls AS (SELECT e.id, e.v, arg_min(ct.list, struct_pack(d := {_d2("e.v", "ct.c")}, l := ct.list)) AS list FROM e, ct GROUP BY e.id, e.v),
+rs AS (SELECT ls.id, ls.list, list_transform(list_zip(ls.v, ct.c), lambda p: p[1] - p[2]) AS r FROM ls JOIN ct USING (list)),
+bk AS (SELECT id - {_LISTS} AS code, j, r[j * {_WIDTH} + 1:(j + 1) * {_WIDTH}] AS b FROM rs, range({_PARTS}) t(j) WHERE id >= {_LISTS} AND id < {_LISTS + _ENTRIES}),
+ps AS (SELECT id, list, j, r[j * {_WIDTH} + 1:(j + 1) * {_WIDTH}] AS x FROM rs, range({_PARTS}) t(j)),
+cs AS (SELECT ps.id, ps.list, ps.j, arg_min(bk.code, struct_pack(d := {_d2("ps.x", "bk.b")}, l := bk.code)) AS code FROM ps JOIN bk USING (j) GROUP BY ps.id, ps.list, ps.j)"""
+
+
+def _pq_index(spark, sf_dir) -> ivf.IvfIndex:
+    p = _points(spark, sf_dir)
+    rows = np.array([r["vec"] for r in p.where(F.col("id") < _LISTS + _ENTRIES).orderBy("id").collect()])
+    centres, few = rows[:_LISTS], rows[_LISTS:]
+    residuals = few - centres[partition.nearest_leader(few, centres)]
+    return ivf.IvfIndex.build(checkpointed(p, "points"), DIMENSIONS, centres=centres, books=np.array(np.split(residuals, _PARTS, axis=1)))
+
+
+@query(f"WITH {_E}, {_PQ} SELECT id, list, j, code::BIGINT AS code FROM cs")
+def pq_codes(spark, sf_dir):
+    """The stored codes: each point's list and the entry of each codebook."""
+    byte = F.conv(F.substring(F.hex("code"), F.col("j") * 2 + 1, F.lit(2)), 16, 10).cast("long")
+    lists = _pq_index(spark, sf_dir).lists.select("id", F.col("block").alias("list"), "code", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))).alias("j"))
+    return lists.select("id", "list", F.col("j").cast("long").alias("j"), byte.alias("code"))
+
+
+@query(f"""WITH {_E}, {_PQ},
+dv AS (SELECT id, list, list(b ORDER BY j) AS b FROM (SELECT cs.id, cs.list, cs.j, bk.b FROM cs JOIN bk USING (j, code)) GROUP BY id, list),
+dd AS (SELECT id, list_transform(list_zip(flatten(b), ct.c), lambda p: p[1] + p[2]) AS y FROM dv JOIN ct USING (list)),
+r AS (SELECT q.id, d.id AS nbr, {_d2("q.v", "d.y")} AS d2, row_number() OVER (PARTITION BY q.id ORDER BY {_d2("q.v", "d.y")}, d.id) AS rank
+FROM e q JOIN dd d ON q.id % 10 = 0 AND q.id <> d.id)
+SELECT id, rank::BIGINT AS rank, round(d2, 6) AS d2 FROM r WHERE rank <= 10""")
+def pq_distances(spark, sf_dir):
+    """The ten least distances by codes of every tenth point, all lists probed."""
+    index = _pq_index(spark, sf_dir)
+    found = index.candidates(index.points.where("id % 10 = 0"), 10, _LISTS, True)
+    return found.select("id", F.col("rank").cast("long").alias("rank"), _R(F.col("d2")).alias("d2"))
+
+
+@query("SELECT b::BIGINT AS build_k, (SELECT count(*) FROM embeddings) AS ids, true AS close FROM (VALUES (30), (45), (60), (90)) t(b)")
+def descent_recall(spark, sf_dir):
+    """Neighbour descent with lists of four sizes against the exact join."""
+    p = checkpointed(_points(spark, sf_dir), "points")
+    n = p.count()
+    want = checkpointed(exact.self_knn(p, n, K), "exact")
+    rows = None
+    for build_k in (30, 45, 60, 90):
+        found = checkpointed(descent.self_knn(p, n, K, build_k), "found")
+        recall = E.recall_at_k(found, want, K).select((F.col("recall") >= 0.95).alias("close"))
+        own = found.agg(F.count_distinct("id").alias("ids")).crossJoin(F.broadcast(recall)).select(F.lit(build_k).cast("long").alias("build_k"), "ids", "close")
+        rows = own if rows is None else rows.unionAll(own)
+    return rows
+
+
+@query("SELECT 30::BIGINT AS build_k, true AS close")
+def matched_recall(spark, sf_dir):
+    """The least build_k of neighbour descent that reaches the recall of beam search over the graph, less 0.002."""
+    p = checkpointed(_points(spark, sf_dir), "points")
+    n = p.count()
+    want = checkpointed(exact.self_knn(p, n, K), "exact")
+    target = E.recall_at_k(I.self_knn(_raw(spark, sf_dir), K, params=_SMALL, search_params=SearchParams(strategy="reservoir")), want, K).first()["recall"]
+    rows = [(k, E.recall_at_k(descent.self_knn(p, n, K, k), want, K).first()["recall"]) for k in (30, 45)]
+    found = E.first_matching(spark.createDataFrame(rows, "build_k long, recall double"), target)
+    return found.select("build_k", (F.col("recall") >= 0.9).alias("close"))
+
+
+#: Halvings that SQL repeats; more change nothing to six digits.
+_STEPS = 40
+_SCALES = f"""kn AS ({_self_knn_sql(_E, K, "sqrt(d2)").replace("round(sqrt(d2), 6)", "sqrt(d2)")}), nb AS (SELECT id, nbr, dist FROM kn WHERE id <> nbr),
+ds AS (SELECT id, list(dist) AS d, coalesce(min(dist) FILTER (dist > 0), 0) AS rho FROM nb GROUP BY id),
+bs AS (SELECT id, d, rho, 0::DOUBLE AS lo, 'inf'::DOUBLE AS hi, 1::DOUBLE AS mid, 0 AS step FROM ds
+UNION ALL SELECT id, d, rho, CASE WHEN up THEN lo ELSE mid END, CASE WHEN up THEN mid ELSE hi END,
+CASE WHEN NOT up AND isinf(hi) THEN mid * 2 WHEN up THEN (lo + mid) / 2 ELSE (mid + hi) / 2 END, step + 1
+FROM (SELECT *, list_sum(list_transform(d, lambda x: exp(-greatest(x - rho, 0) / mid))) > log2({K + 1}) AS up FROM bs WHERE step < {_STEPS})),
+mn AS (SELECT sum(dist) / count(*) * {K} / {K + 1} AS mean FROM nb),
+sg AS (SELECT id, rho, greatest(mid, 0.001 * CASE WHEN rho > 0 THEN list_sum(d) / (len(d) + 1) ELSE mean END) AS sigma FROM bs, mn WHERE step = {_STEPS})"""
+
+
+@query(f"WITH RECURSIVE {_SCALES} SELECT id, round(rho, 6) AS rho, round(sigma, 6) AS sigma FROM sg")
+def smooth_scales(spark, sf_dir):
+    return fuzzy.scales(_exact(spark, sf_dir), K, _STEPS).select("id", _R(F.col("rho")).alias("rho"), _R(F.col("sigma")).alias("sigma"))
+
+
+@query(f"""WITH RECURSIVE {_SCALES}, w AS (SELECT nb.id AS i, nb.nbr AS j, CASE WHEN dist <= rho THEN 1 ELSE exp(-(dist - rho) / sigma) END AS w FROM nb JOIN sg USING (id)),
+u AS (SELECT coalesce(a.i, b.j) AS i, coalesce(a.j, b.i) AS j, coalesce(a.w, 0) AS x, coalesce(b.w, 0) AS y FROM w a FULL JOIN w b ON a.i = b.j AND a.j = b.i)
+SELECT i AS "row", j AS col, round(x + y - x * y, 6) AS weight FROM u""")
+def connectivities(spark, sf_dir):
+    return fuzzy.connectivities(_exact(spark, sf_dir), K, _STEPS).select("row", "col", _R(F.col("weight")).alias("weight"))
 
 
 # ---- quantisation ----------------------------------------------------------------------------------
