@@ -421,31 +421,35 @@ def test_segments_lie_where_a_plain_search_finds_them():
 
 
 def plain_toxicity(texts, rows, drift=0.5, strength=8.0):
-    """The score of each text, learnt from rows (text, toxic, half): words and stems as bytes, in dictionaries."""
+    """The score of each text, learnt from rows (text, toxic, half): words and stems as bytes, in dictionaries; each half is judged by the other."""
     words = lambda t: [w.lower() for w in re.findall(rb"[A-Za-z\x80-\xff]+", (t or "").encode())]
     nodes = lambda w: [(4, w[:4]), (6, w[:6]), (0, w)]
-    count = {kind: Counter(n for t, y, half in rows if half == 0 and y == kind for w in words(t) for n in nodes(w)) for kind in (0, 1)}
-    bad, all_ = sum(count[1].values()), sum(count[0].values()) + sum(count[1].values())
-    share = bad / all_
 
-    def points(w):
-        q = share
-        for n in nodes(w):
-            q = (count[1][n] + strength * q) / (count[0][n] + count[1][n] + strength)
-        return math.log(q / (1 - q)) - math.log(share / (1 - share)) - drift
+    def learnt(rows):
+        count = {kind: Counter(n for t, y, _ in rows if y == kind for w in words(t) for n in nodes(w)) for kind in (0, 1)}
+        share = sum(count[1].values()) / (sum(count[0].values()) + sum(count[1].values()))
+
+        def points(w):
+            q = share
+            for n in nodes(w):
+                q = (count[1][n] + strength * q) / (count[0][n] + count[1][n] + strength)
+            return math.log(q / (1 - q)) - math.log(share / (1 - share)) - drift
+
+        return lambda t: [points(w) for w in words(t)]
+
+    halves = [learnt([r for r in rows if r[2] != h]) for h in (0, 1)]
 
     def segments(s):
         total = list(itertools.accumulate(s, initial=0))
         best = max(((total[j + 1] - total[i], i, j) for i in range(len(s)) for j in range(i, len(s))), default=(0, 0, 0))
         return [] if best[0] <= 1e-12 else [*segments(s[: best[1]]), best[0], *segments(s[best[2] + 1 :])]
 
-    scored = lambda t: [points(w) for w in words(t)]
-    bins = Counter(max(min(round(x / 0.01), 2047), -2048) for t, y, half in rows if half == 1 and y == 0 for x in scored(t))
+    rest = [(halves[h](t), y) for t, y, h in rows]
+    bins = Counter(max(min(round(x / 0.01), 2047), -2048) for s, y in rest if y == 0 for x in s)
     excess = lambda r: sum(n * math.exp(r * b * 0.01) for b, n in bins.items()) / sum(bins.values()) - 1
     lo, hi = 1e-4, 64.0
     for _ in range(200):
         lo, hi = (lo, (lo + hi) / 2) if excess((lo + hi) / 2) > 0 else ((lo + hi) / 2, hi)
-    rest = [(scored(t), y) for t, y, half in rows if half == 1]
     tops = [(max(segments(s), default=0), max(len(s), 1)) for s, y in rest if y == 0]
     gumbel = [lo * x - math.log(m) for x, m in tops if x > 0]
     size = math.exp(sum(gumbel) / len(gumbel) - 0.5772156649015329)
@@ -463,7 +467,14 @@ def plain_toxicity(texts, rows, drift=0.5, strength=8.0):
         p = 1 / (1 + np.exp(-design @ beta))
         hess = design.T @ (design * (weight * p * (1 - p))[:, None]) + 0.01 * np.eye(4)
         beta -= np.linalg.solve(hess, design.T @ (weight * (p - y)) + 0.01 * beta)
-    return [float(1 / (1 + np.exp(-beta @ [1, *((np.array(stats(scored(t))) - centre) / spread)]))) for t in texts]
+    p = 1 / (1 + np.exp(-design @ beta))
+    edges = sorted({0.0, 1.0, *p.tolist()})
+    cuts = [0.5, *((lo + hi) / 2 for lo, hi in itertools.pairwise(edges) if lo + hi > 1)]
+    gain = [np.mean(p[y == 1] >= c) - 5 * np.mean(p[y == 0] >= c) for c in cuts]
+    cut = min(c for c, g in zip(cuts, gain, strict=True) if g >= max(gain) - 1e-12)
+    scored = learnt(rows)
+    z = [beta @ [1, *((np.array(stats(scored(t))) - centre) / spread)] - math.log(cut / (1 - cut)) for t in texts]
+    return [float(1 / (1 + np.exp(-v))) for v in z]
 
 
 def test_scores_equal_a_plain_version(spark):
@@ -489,12 +500,27 @@ def test_scores_equal_a_plain_version(spark):
         assert got[i] == pytest.approx(w, abs=1e-4)
 
 
-def test_both_classes_are_served(spark):
-    sf = "/root/testdata/sf0.1"
-    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
-    judged = toxicity.judge(docs, labels).where("held_out").join(labels, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("hit")).collect()
-    hit = {r["toxic"]: r["hit"] for r in judged}
-    assert hit[1] > 0.92 and hit[0] < 0.03  # 4 of the 97 toxic ones hold no word that other toxic ones hold
+@pytest.mark.parametrize("sf,least", [("sf0.001", 0), ("sf0.01", 0.75), ("sf0.1", 0.93)])
+def test_both_classes_are_served(spark, sf, least):
+    """Few labels must not mean many false alarms: over all labelled rows clean ones are left alone at every size."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    judged = toxicity.judge(docs, labels).join(labels, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("hit"), F.avg(F.when(F.col("held_out"), F.col("predicted"))).alias("held"))
+    hit = {r["toxic"]: r for r in judged.collect()}
+    assert hit[0]["hit"] <= 0.03 and hit[1]["hit"] >= least and hit[1]["held"] >= least
+    assert sf != "sf0.1" or hit[0]["held"] < 0.015
+
+
+def test_planted_words_are_caught(spark):
+    """Words that toxic texts share are found in new texts, and new texts without them are not."""
+    rng = random.Random(4)
+    fine, bad = [f"word{i}" for i in range(300)], ["vilest", "scumbag", "loathsome"]
+    text = lambda n: " ".join(rng.choices(fine, k=40) + rng.choices(bad, k=n))
+    rows = [(i, text(3 * (i % 8 == 0))) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(150)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.judge(docs, labels).collect()}
+    new = [(got[i], int(i % 8 == 0)) for i in range(150, 1200)]
+    assert sum(p for p, y in new if y) >= 0.95 * sum(y for _, y in new) and sum(p for p, y in new if not y) <= 0.02 * len(new)
 
 
 def test_held_out_accuracy(spark):

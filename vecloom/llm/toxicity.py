@@ -5,8 +5,9 @@ and the word. A node's share of toxic occurrences is the posterior mean under a
 of the node above it (for the first, that of all tokens), so a rare or unseen form leans on its stem. Counts are
 kept by hashed node in tables of fixed size: no token is cut off, and the model does not grow with the sample.
 Segments. A token scores its log-odds, less the drift; a text's maximal scoring segments are its passages.
-Calibration. Karlin-Altschul statistics of clean texts say how rare a passage's score is, and a logistic regression,
-with both classes weighing the same, turns a text's rarities into its score."""
+Calibration. Each half of the labelled texts is judged by the counts of the other half. Karlin-Altschul statistics of
+clean texts say how rare a passage's score is, a logistic regression, with both classes weighing the same, turns a text's
+rarities into its score, and the cut is moved up to where false alarms and misses cost least. The counts of both halves score."""
 
 from __future__ import annotations
 
@@ -157,67 +158,90 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-2
     return beta
 
 
-def _counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences of every node in rows (text, toxic), by place: in toxic texts, and in all. At most 2^PLACE_BITS rows are shuffled by a task and reach the driver."""
+def _counted(rows: DataFrame) -> np.ndarray:
+    """Occurrences of every node in rows (text, toxic, half), by half and place: in toxic texts, and in all; (2, 2, places).
+
+    A task shuffles at most 2^(PLACE_BITS + 1) rows, and no more reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, 1 << PLACE_BITS), np.int64)
+        held = np.zeros((4, 1 << PLACE_BITS), np.int64)
         for batch in batches:
             raw, offsets = text_of(batch.column("text"))
-            label = batch.column("toxic").to_numpy()
+            kind = 2 * batch.column("half").to_numpy() + batch.column("toxic").to_numpy()
             for i, j in slices(offsets):
                 places, counts, _, _ = nodes_of(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                owner = np.repeat(label[i:j], counts)
+                owner = np.repeat(kind[i:j], counts)
                 for own in places:
-                    for kind in (0, 1):
-                        held[kind] += np.bincount(own[owner == kind], minlength=held.shape[1])
-        at = np.flatnonzero(held.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[1, at]), pa.array(held[0, at])], ["place", "toxic", "clean"])
-
-    table = rows.select("text", "toxic").mapInArrow(run, "place int, toxic long, clean long").groupBy("place")
+                    for k in range(4):
+                        held[k] += np.bincount(own[owner == k], minlength=held.shape[1])
+        for half in (0, 1):
+            clean, toxic = held[2 * half : 2 * half + 2]
+            at = np.flatnonzero(clean + toxic)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), half, np.int32)), pa.array(at.astype(np.int32)), pa.array(toxic[at]), pa.array(clean[at])], ["half", "place", "toxic", "clean"])
+
+    table = rows.select("text", "toxic", "half").mapInArrow(run, "half int, place int, toxic long, clean long").groupBy("half", "place")
     table = table.agg(F.sum("toxic").cast("float").alias("toxic"), F.sum(F.col("toxic") + F.col("clean")).cast("float").alias("all")).toArrow()
-    out = np.zeros((2, 1 << PLACE_BITS), np.float32)
-    out[:, table.column("place").to_numpy()] = table.column("toxic").to_numpy(), table.column("all").to_numpy()
-    return out[0], out[1]
+    out = np.zeros((2, 2, 1 << PLACE_BITS), np.float32)
+    half, place = table.column("half").to_numpy(), table.column("place").to_numpy()
+    out[half, 0, place], out[half, 1, place] = table.column("toxic").to_numpy(), table.column("all").to_numpy()
+    return out
+
+
+def _cut(p: np.ndarray, y: np.ndarray, cost: float = 5.0) -> float:
+    """The score, one half or more, above which a text counts as toxic: where the share of toxic texts above, less `cost` times the share of clean ones, is greatest; of equals the least.
+
+    Few labels make chance words look toxic, and this is where clean texts that hold such words move the cut."""
+    at = np.unique(np.append(p, [0.0, 1.0]))
+    cuts = np.append(0.5, (at[1:] + at[:-1])[at[1:] + at[:-1] > 1] / 2)
+    above = lambda own: 1 - np.searchsorted(np.sort(own), cuts, "left") / len(own)
+    gain = above(p[y == 1]) - cost * above(p[y == 0])
+    return float(cuts[gain >= gain.max() - 1e-12].min())
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, drift: float = 0.5, strength: float = 8.0) -> ToxicityModel:
-    """Token log-odds under Dirichlet priors from one half of the labelled sample, calibration from the other.
+    """Token log-odds under Dirichlet priors from the labelled sample, calibrated on each half by the counts of the other.
 
     Rows with null ids, labels or texts take no part; of repeated labels of an id the higher counts. Without labels
-    of both classes in the half that is counted the model is a constant: 1 where all its labels are toxic, else 0.
-    Of the other half, the driver sees three numbers a text."""
+    of both classes in each half the model is a constant: 1 where all labels of the first half are toxic, else 0.
+    Of the texts, the driver sees three numbers each."""
     spark = documents.sparkSession
     few = _labelled(documents, labels, sample)
-    classes = {r["toxic"] for r in few.where("half = 0").select("toxic").distinct().collect()}
+    classes = {(r["half"], r["toxic"]) for r in few.select("half", "toxic").distinct().collect()}
     zero = np.zeros(3)
-    if classes != {0, 1}:
+    if len(classes) < 4:
+        sure = {t for h, t in classes if h == 0} == {1}
         flat = np.zeros(1 << PLACE_BITS, np.float32)
-        return ToxicityModel(flat, flat, 0.5, strength, drift, 1.0, 1.0, zero, zero + 1, np.array([30.0 if classes == {1} else -30.0, 0, 0, 0]))
-    toxic, every = _counted(few.where("half = 0"))
-    share = min(max(float(toxic.sum(dtype=np.float64) / max(every.sum(dtype=np.float64), 1)), 1e-6), 1 - 1e-6)
-    model = ToxicityModel(toxic, every, share, strength, drift, 1.0, 1.0, zero, zero + 1, np.zeros(4))
-    shared = spark.sparkContext.broadcast(model)
+        return ToxicityModel(flat, flat, 0.5, strength, drift, 1.0, 1.0, zero, zero + 1, np.array([30.0 if sure else -30.0, 0, 0, 0]))
+
+    def counted(toxic: np.ndarray, every: np.ndarray) -> ToxicityModel:
+        share = min(max(float(toxic.sum(dtype=np.float64) / max(every.sum(dtype=np.float64), 1)), 1e-6), 1 - 1e-6)
+        return ToxicityModel(toxic, every, share, strength, drift, 1.0, 1.0, zero, zero + 1, np.zeros(4))
+
+    halves = _counted(few)
+    model = counted(*(halves[0] + halves[1]))
+    # what judges a half was counted in the other
+    shared = spark.sparkContext.broadcast((counted(*halves[1]), counted(*halves[0])))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
             raw, offsets = text_of(batch.column("text"))
-            label = batch.column("toxic").to_numpy()
-            ms, tops, bins = [], [], np.zeros(BINS, np.int64)
+            label, half = batch.column("toxic").to_numpy(), batch.column("half").to_numpy()
+            ms, tops, bins = np.zeros(len(label), np.int64), np.zeros(len(label)), np.zeros(BINS, np.int64)
             for i, j in slices(offsets):
                 own = offsets[i : j + 1] - offsets[i]
                 places, counts, starts, lengths = nodes_of(raw[offsets[i] : offsets[j]], own)
-                s = model.token_scores(places)
-                clean = s[np.repeat(label[i:j], counts) == 0]
-                bins += np.bincount(np.clip(np.round(clean / BIN).astype(np.int64) + BINS // 2, 0, BINS - 1), minlength=BINS)
-                for m, found in _segments(s, counts, starts, lengths, own):
-                    ms.append(m)
-                    tops.append(max((x for _, _, x in found), default=0.0))
+                for h, model in enumerate(shared.value):
+                    s = model.token_scores(places)
+                    mine = half[i:j] == h
+                    clean = s[np.repeat(mine & (label[i:j] == 0), counts)]
+                    bins += np.bincount(np.clip(np.round(clean / BIN).astype(np.int64) + BINS // 2, 0, BINS - 1), minlength=BINS)
+                    for k, (m, found) in enumerate(_segments(s, counts, starts, lengths, own)):
+                        if mine[k]:
+                            ms[i + k], tops[i + k] = m, max((x for _, _, x in found), default=0.0)
             # the bins of a batch go with its first text
-            yield pa.RecordBatch.from_arrays([pa.array(ms, pa.int64()), pa.array(tops, pa.float64()), batch.column("toxic"), pa.array([bins.tolist()] + [[]] * (len(ms) - 1) if ms else [], pa.list_(pa.int64()))], ["m", "top", "toxic", "bins"])
+            yield pa.RecordBatch.from_arrays([pa.array(ms), pa.array(tops), batch.column("toxic"), pa.array([bins.tolist()] + [[]] * (len(ms) - 1) if len(ms) else [], pa.list_(pa.int64()))], ["m", "top", "toxic", "bins"])
 
-    rest = few.where("half = 1").select("text", "toxic")
+    rest = few.select("text", "toxic", "half")
     seen = materialize(rest.mapInArrow(best, "m long, top double, toxic int, bins array<long>"), "segments")
     bins = np.zeros(BINS, np.int64)
     for r in seen.where(F.size("bins") > 0).select(F.posexplode("bins").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():
@@ -230,20 +254,25 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, drif
     rate, size = model.rate, model.size
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = replace(shared.value, rate=rate, size=size)
+        models = [replace(m, rate=rate, size=size) for m in shared.value]
         for batch in batches:
-            x = _statistics(model, *text_of(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2]), batch.column("toxic")], ["a", "b", "c", "toxic"])
+            half = batch.column("half").to_numpy()
+            for h, own in enumerate(models):
+                rows = batch.filter(pa.array(half == h))
+                x = _statistics(own, *text_of(rows.column("text")))
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2]), rows.column("toxic")], ["a", "b", "c", "toxic"])
 
     table = rest.mapInArrow(measure, "a double, b double, c double, toxic int").toArrow()
     x = np.column_stack([table.column(c).to_numpy() for c in "abc"])
     y = table.column("toxic").to_numpy().astype(float)
     order = np.lexsort((y, *x.T))  # sums do not depend on which task came first
     x, y = x[order], y[order]
-    if not len(y) or y.min() == y.max():
-        return replace(model, beta=np.array([-3.0, 1.0, 0, 0]))
     centre, spread = x.mean(0), x.std(0) + 1e-9
-    return replace(model, centre=centre, spread=spread, beta=_logistic((x - centre) / spread, y))
+    model = replace(model, centre=centre, spread=spread, beta=_logistic((x - centre) / spread, y))
+    cut = min(max(_cut(model.probability(x), y), 1e-6), 1 - 1e-6)
+    beta = model.beta.copy()
+    beta[0] -= math.log(cut / (1 - cut))  # scores of one half lie at the cut
+    return replace(model, beta=beta)
 
 
 def _rate(scores: np.ndarray, share: np.ndarray) -> float:
