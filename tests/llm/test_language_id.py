@@ -102,3 +102,18 @@ def test_odd_documents(spark, sf_dir, odd_documents, no_documents):
     assert {(r["lang_pred"], r["score"]) for r in L.predict(odd_documents, None).collect()} == {("und", 0.0)}
     one = L.identify(odd_documents)  # all labelled rows are of one language
     assert {r["lang_pred"] for r in one.collect()} == {"en", "und"} and one.count() == odd_documents.count()
+
+
+def test_long_texts_are_read_in_parts(spark, sf_dir, monkeypatch):
+    """Cutting texts before spaces changes next to nothing, and memory does not follow the longest text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = L.fit(docs)
+    raw, offsets = text_of(docs.select("text").toArrow().column("text").combine_chunks().fill_null(""))
+    lang, score = model.predict(raw, offsets)
+    monkeypatch.setattr(L, "STEP_BYTES", 700)
+    parts = list(L.parts(raw, offsets))
+    assert b"".join(p.tobytes() for p, _, _ in parts) == raw.tobytes() and max(len(p) for p, _, _ in parts) <= 700
+    again, other = model.predict(raw, offsets)
+    assert (again == lang).all() and np.abs(score - other).max() < 0.2
+    flat = np.frombuffer("日本語".encode() * 500, np.uint8)  # no space: cut before a character's first byte
+    assert all((p[0] & 0xC0) != 0x80 and len(p) <= 700 for p, _, _ in L.parts(flat, np.array([0, len(flat)])))

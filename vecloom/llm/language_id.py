@@ -101,6 +101,26 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return places, at
 
 
+def parts(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bytes, offsets and text numbers of parts of texts, in steps of about STEP_BYTES; only a text longer than that is cut, before spaces, so that it takes no more memory than others.
+
+    N-grams across such a cut are not met; a part without a space for STEP_BYTES bytes is cut before a character's first byte."""
+    for i, j in slices(offsets, STEP_BYTES):
+        if j - i > 1 or offsets[j] - offsets[i] <= STEP_BYTES:
+            yield raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], np.arange(i, j)
+            continue
+        first, last = int(offsets[i]), int(offsets[j])
+        while first < last:
+            stop = min(first + STEP_BYTES, last)
+            if stop < last:
+                own = raw[first + 1 : stop + 1]
+                at = np.flatnonzero(own == 0x20)
+                at = at if len(at) else np.flatnonzero((own & 0xC0) != 0x80)
+                stop = first + 1 + int(at[-1]) if len(at) else stop
+            yield raw[first:stop], np.array([0, stop - first]), np.array([i])
+            first = stop
+
+
 def _letters(text: Column) -> Column:
     """Whether there is a letter, of any script."""
     return text.isNotNull() & text.rlike("\\p{L}")
@@ -120,11 +140,10 @@ def _counted(rows: DataFrame) -> DataFrame:
         for batch in batches:
             raw, offsets = text_of(batch.column("text"))
             langs = batch.column("lang").to_pylist()
-            for i, j in slices(offsets, STEP_BYTES):
-                places, at = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                names = sorted(set(langs[i:j]))
-                code = np.array([names.index(x) for x in langs[i:j]])
-                owner = np.repeat(code, np.diff(at))
+            for part, edge, text in parts(raw, offsets):
+                places, at = features(part, edge)
+                names = sorted({langs[t] for t in text.tolist()})
+                owner = np.repeat([names.index(langs[t]) for t in text.tolist()], np.diff(at))
                 for k, name in enumerate(names):
                     own = held.setdefault(name, np.zeros(1 << PLACE_BITS, np.int64))
                     own += np.bincount(places[owner == k].ravel(), minlength=len(own))
@@ -138,8 +157,11 @@ def _counted(rows: DataFrame) -> DataFrame:
 def _sampled(rows: DataFrame, most: int) -> DataFrame:
     """lang, text: of each language the `most` different texts whose hashes are lowest, or all. Only hashes are shuffled to find them."""
     h = F.xxhash64("text").alias("h")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = rows.select("lang", h).distinct().withColumn("r", rank).where(F.col("r") <= most).groupBy("lang").agg(F.max("h").alias("last"))
+    hashes = rows.select("lang", h).distinct().withColumn("part", F.pmod("h", F.lit(64)))
+    for key in (["lang", "part"], ["lang"]):  # a language's last window gets 64 * most rows at most
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy("h"))
+        hashes = hashes.withColumn("r", rank).where(F.col("r") <= most)
+    last = hashes.groupBy("lang").agg(F.max("h").alias("last"))
     few = rows.select("lang", "text", h).join(F.broadcast(last), "lang").where("h <= last")
     return few.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "h", "text")
 
@@ -183,18 +205,17 @@ class LanguageModel:
 
     def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the predicted languages, and how sure: the share of the family times the mean share in the language's pairs."""
-        places, at = features(raw, offsets)
         table = np.concatenate([self.like, self.weights], axis=1)  # few columns: families and pairs
-        total = np.zeros((len(offsets) - 1, table.shape[1]))
-        rows = np.diff(at)
-        some = np.flatnonzero(rows)
-        for column in places.T:
-            for i in range(0, len(some), 4096):
-                own = some[i : i + 4096]
-                total[own] += np.add.reduceat(table[column[at[own[0]] : at[own[-1] + 1]]], at[own] - at[own[0]], axis=0)
-        used = np.add.reduceat((places > 0).sum(1), at[some]) if len(some) else np.zeros(0)
-        count = np.ones(len(rows))
-        count[some] = np.maximum(used, 1)
+        total, count = np.zeros((len(offsets) - 1, table.shape[1])), np.zeros(len(offsets) - 1)
+        for part, edge, text in parts(raw, offsets):
+            places, at = features(part, edge)
+            for column in places.T:
+                for i in range(0, len(text), 4096):  # a part has a byte at least
+                    first = at[i : min(i + 4096, len(text)) + 1]
+                    np.add.at(total, text[i : i + 4096], np.add.reduceat(table[column[first[0] : first[-1]]], first[:-1] - first[0], axis=0))
+            np.add.at(count, text, np.add.reduceat((places > 0).sum(1), at[:-1]))
+        count = np.maximum(count, 1)
+        rows = count
         families = self.like.shape[1]
         like = total[:, :families]
         like = np.exp(np.clip(like - like.max(1, keepdims=True), -700, 0))
@@ -254,17 +275,19 @@ def _machines(rows: DataFrame, langs: list[str], pairs: np.ndarray, scale: np.nd
     spark = rows.sparkSession
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
             raw, offsets = text_of(batch.column("text"))
+            counts = np.zeros((batch.num_rows, 1 << PLACE_BITS), np.int32)
+            for part, edge, text in parts(raw, offsets):
+                places, own = features(part, edge)
+                for t, a, b in zip(text.tolist(), own[:-1], own[1:], strict=True):
+                    counts[t] += np.bincount(places[a:b].ravel(), minlength=1 << PLACE_BITS).astype(np.int32)
+            counts[:, 0] = 0
             at, share = [], []
-            for i, j in slices(offsets, STEP_BYTES):
-                places, edge = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                for a, b in zip(edge[:-1], edge[1:], strict=True):
-                    n = np.bincount(places[a:b].ravel(), minlength=1 << PLACE_BITS)
-                    n[0] = 0
-                    own = np.flatnonzero(n)
-                    at.append(own.astype(np.int32))
-                    share.append((n[own] / max(n.sum(), 1) * scale[own]).astype(np.float32))
+            for n in counts:
+                own = np.flatnonzero(n)
+                at.append(own.astype(np.int32))
+                share.append((n[own] / max(n.sum(), 1) * scale[own]).astype(np.float32))
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(at, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32()))], ["lang", "h", "at", "share"])
 
     known = materialize(_sampled(rows, most).mapInArrow(measured, "lang string, h long, at array<int>, share array<float>"), "languages")
@@ -294,7 +317,7 @@ def predict(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
 
     Null texts, and texts without a letter, are `und` with score 0, and so are all where there is no model. A model of one
     language gives it to every text that has a letter. Repeated rows are rows of their own; an empty table gives no rows; only
-    doc_id and text are read."""
+    doc_id and text are read. Texts of over STEP_BYTES bytes are read in parts."""
     asked = documents.select("doc_id", F.when(_letters(F.col("text")), F.col("text")).alias("text"))
     if model is None:
         return asked.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
@@ -306,9 +329,7 @@ def predict(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
         for batch in batches:
             text = batch.column("text")
             raw, offsets = text_of(text.fill_null(""))
-            lang, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for i, j in slices(offsets, STEP_BYTES):
-                lang[i:j], score[i:j] = model.predict(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            lang, score = model.predict(raw, offsets)
             none = text.is_null().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.where(none, "und", names[lang]), pa.string()), pa.array(np.where(none, 0.0, score))], ["doc_id", "lang_pred", "score"])
 
