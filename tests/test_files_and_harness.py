@@ -1,7 +1,10 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vecloom.operators import exact
 from vecloom.plans import harness
 from vecloom.plans import index as I
 from vecloom.plans.params import BuildParams
@@ -72,3 +75,36 @@ def test_sweep_and_comparison(spark):
     assert len(rows) == 2 and rows[1]["recall"] >= 0.9 and rows[1]["queries_per_second"] > 0
     compared = harness.compare(df, 5, ["exact", "ivf"], repeats=1)
     assert compared.where((F.col("strategy") == "exact") & (F.col("recall") == 1)).count() == 1
+
+
+def test_csr_files_equal_the_arrays(spark, tmp_path):
+    x = S.gaussian_clusters(300, 8, 4, seed=3)
+    df = S.from_array(spark, x).withColumn("id", F.col("id") * 3 + 5)  # ids with gaps
+    knn = exact.self_knn(df, 300, 7)
+    folder = f"{tmp_path}/csr"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges, however small
+    try:
+        assert files.to_csr_npy(knn, folder) == 2400
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for got, want in zip(files.from_csr_npy(folder), sinks.to_csr(knn), strict=True):
+        assert (got == want).all()
+    assert len([n for n in os.listdir(folder) if n.startswith("data-")]) > 1
+    assert files.to_csr_npy(knn.limit(0), f"{tmp_path}/none") == 0
+    os.remove(f"{folder}/_SUCCESS")
+    with pytest.raises(ValueError):
+        files.from_csr_npy(folder)
+
+
+def test_generated_rows_equal_the_sequential_ones(spark):
+    state, plain = 9, []
+    for _ in range(50):
+        state = (state * S.LCG_MULTIPLIER + S.LCG_INCREMENT) % 2**64
+        plain.append((state >> 33) / 2**31)
+    assert S.lcg(0, 50, 9).tolist() == plain and S.lcg(17, 20, 9).tolist() == plain[17:37]
+    for kind, whole in (("uniform", S.lcg_uniform(100, 6, 3)), ("gaussian", S.lcg_gaussian(100, 6, 3))):
+        rows = S.generated(spark, 100, 6, kind, 3, rows=16).orderBy("vec_id").collect()
+        assert [r["vec_id"] for r in rows] == list(range(100))
+        assert np.array_equal(np.array([r["embedding"] for r in rows], np.float32), whole)
+    with pytest.raises(ValueError):
+        S.generated(spark, 1, 1, "other")

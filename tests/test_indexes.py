@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecloom.operators import descent, evaluate, exact, fuzzy, ivf, quantize
+from vecloom.operators import communities, descent, evaluate, exact, fuzzy, ivf, quantize
 from vecloom.operators.blocks import codes, packed
 from vecloom.operators.partition import nearest_leader
 from vecloom.sources import vectors as S
@@ -130,3 +130,39 @@ def test_scales_of_equal_and_short_rows(spark):
     assert got[0][0] == 0 and got[1][0] == 2.0 and got[2][0] == 1.0 and all(s > 0 for _, s in got.values())
     assert {r["weight"] for r in fuzzy.connectivities(knn, 2).where("row = 0 and col = 1").collect()} == {1.0}
     assert fuzzy.connectivities(knn.limit(0), 2).count() == 0
+
+
+def plain_modularity(edges, label):
+    total = sum(edges.values())
+    inner = sum(w for (i, j), w in edges.items() if label[i] == label[j])
+    sums = {}
+    for (i, _), w in edges.items():
+        sums[label[i]] = sums.get(label[i], 0) + w
+    return inner / total - sum(s * s for s in sums.values()) / total**2
+
+
+def test_communities_of_linked_cliques(spark):
+    """Eight cliques in a ring: the communities are the cliques, as any split or merger of these has less modularity."""
+    edges = {}
+    for c in range(8):
+        members = range(10 * c, 10 * c + 6)
+        edges |= {(i, j): 1.0 for i in members for j in members if i != j}
+        a, b = 10 * c, (10 * c + 11) % 80
+        edges |= {(a, b): 0.5, (b, a): 0.5}
+    frame = spark.createDataFrame([(i, j, w) for (i, j), w in edges.items()], "src long, dst long, weight double")
+    found = {r["node"]: r["label"] for r in communities.communities(frame).collect()}
+    assert found == {i: i - i % 10 for i, _ in edges}
+    got = communities.modularity(frame, spark.createDataFrame(list(found.items()), "node long, label long")).first()[0]
+    assert got == pytest.approx(plain_modularity(edges, found))
+    assert communities.communities(frame.limit(0)).count() == 0
+
+
+def test_communities_of_a_graph_are_those_of_its_clusters(spark, points):
+    """Communities of connectivities agree with the six clusters that the points came from, by exact and by approximate neighbours."""
+    k = 10
+    truth = spark.createDataFrame([(i, i // 100) for i in range(600)], "node long, cluster long")
+    for knn in (exact.self_knn(points, 600, k), descent.self_knn(points, 600, k, 20)):
+        edges = fuzzy.connectivities(knn, k).select(F.col("row").alias("src"), F.col("col").alias("dst"), "weight")
+        found = communities.communities(edges)
+        ari = evaluate.adjusted_rand(found.join(truth, "node"), "label", "cluster").first()["ari"]
+        assert ari >= 0.9

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import vectors as V
 from vecloom.operators import candidates, evaluate, graph, partition, preprocess, search
+from vecloom.plans import estimators, layered
 from vecloom.plans import index as I
-from vecloom.plans import layered
 from vecloom.plans.params import BuildParams, HnswParams, IvfParams, SearchParams
 from vecloom.sources import sinks
 from vecloom.sources import vectors as S
@@ -266,6 +266,23 @@ def test_estimator(spark, blobs):
         I.KnnGraph(nNeighbors=100).fit(df)
 
 
+def test_estimators_keep_their_parameters_and_models(spark, blobs, tmp_path):
+    df = frame(spark, blobs[:120])
+    want = {tuple(r) for r in I.self_knn(df, 4, search_params=SearchParams(strategy="exact")).select("id", "nbr").collect()}
+    for k, est in enumerate((estimators.LayeredKnnGraph(nNeighbors=4, m=8, efConstruction=40), estimators.ListKnnGraph(nNeighbors=4, nlist=4, nprobe=3), estimators.ListKnnGraph(nNeighbors=4, nlist=4, nprobe=4, pqM=8))):
+        est.save(f"{tmp_path}/est{k}")
+        again = type(est).load(f"{tmp_path}/est{k}")
+        assert {p.name: again.getOrDefault(p) for p in again.params} == {p.name: est.getOrDefault(p) for p in est.params}
+        model = again.fit(df)
+        rows = {tuple(r) for r in model.transform(df).select("row", "col").collect()}
+        assert len(rows) == 600 and len(rows & want) >= 0.9 * 600
+        model.save(f"{tmp_path}/model{k}")
+        loaded = I.KnnGraphModel.load(f"{tmp_path}/model{k}")
+        assert {tuple(r) for r in loaded.transform(df).select("row", "col").collect()} == rows and loaded.getOrDefault("nNeighbors") == 4
+        few = model.transform(df.where("vec_id < 10"))
+        assert few.count() == 50 and few.where("row >= 10").isEmpty()
+
+
 def test_arrays_in_and_out(spark, blobs):
     nbr, dist = I.self_knn_array(spark, blobs[:50], 4)
     assert nbr.shape == dist.shape == (50, 5) and (nbr[:, 0] == np.arange(50)).all()

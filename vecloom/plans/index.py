@@ -9,6 +9,7 @@ import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param.shared import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,7 +165,7 @@ class _KnnParams(Params):
     randomState = Param(Params._dummy(), "randomState", "seed", TypeConverters.toInt)
 
 
-class KnnGraph(Estimator, _KnnParams):
+class KnnGraph(Estimator, _KnnParams, DefaultParamsWritable, DefaultParamsReadable):
     """fit(df) gives a model whose transform returns the graph of the fitted rows in coordinate form (row, col, value, rank)."""
 
     @keyword_only
@@ -178,19 +179,49 @@ class KnnGraph(Estimator, _KnnParams):
         n = dataset.count()
         if get("nNeighbors") >= n:
             raise ValueError(f"n_neighbors ({get('nNeighbors')}) must be below the number of rows ({n})")
+        return self._copyValues(KnnGraphModel(checkpointed(to_coo(self._found(dataset, get)), "graph")))
+
+    def _found(self, dataset: DataFrame, get) -> DataFrame:
         params = BuildParams(metric=parse_metric(get("metric")), c_max=get("cMax"), runs=get("runs"), seed=get("randomState"))
-        knn = self_knn(dataset, get("nNeighbors"), get("idCol"), get("vecCol"), params, SearchParams(beam=get("beam"), strategy=get("strategy")))
-        return self._copyValues(KnnGraphModel(to_coo(knn)))
+        return self_knn(dataset, get("nNeighbors"), get("idCol"), get("vecCol"), params, SearchParams(beam=get("beam"), strategy=get("strategy")))
+
 
+class KnnGraphModel(Model, _KnnParams, MLWritable, MLReadable):
+    """The graph of the fitted rows; save and load write and read it with its parameters."""
 
-class KnnGraphModel(Model, _KnnParams):
     def __init__(self, graph: DataFrame | None = None):
         super().__init__()
         self.graph = graph
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        """The fitted rows' graph, whatever rows are given."""
-        return self.graph
+        """(row, col, value, rank) of the fitted rows that dataset has, by its id column: all of them for the fitted table itself, none for rows not fitted."""
+        asked = dataset.select(F.col(self.getOrDefault("idCol")).cast("long").alias("row")).distinct()
+        return self.graph.join(asked, "row", "left_semi").select("row", "col", "value", "rank")
+
+    def write(self) -> MLWriter:
+        return _ModelWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ModelReader()
+
+
+class _ModelWriter(MLWriter):
+    def __init__(self, model: KnnGraphModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        self.model.graph.write.parquet(f"{path}/graph")
+
+
+class _ModelReader(MLReader):
+    def load(self, path: str) -> KnnGraphModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = KnnGraphModel(self.sparkSession.read.parquet(f"{path}/graph"))
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model
 
 
 def knn_join_array(spark: SparkSession, x, queries, k: int = 15, beam: int = 64, strategy: str = "graph", **options) -> tuple[np.ndarray, np.ndarray]:

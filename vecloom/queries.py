@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vecloom.functions import vectors as V
 from vecloom.operators import candidates as C
 from vecloom.operators import evaluate as E
-from vecloom.operators import descent, exact, fuzzy, graph, ivf, partition, preprocess, quantize, search
+from vecloom.operators import communities, descent, exact, fuzzy, graph, ivf, partition, preprocess, quantize, search
 from vecloom.plans import index as I
 from vecloom.plans.params import BuildParams, HnswParams, IvfParams, SearchParams
 from vecloom.session import checkpointed
@@ -501,6 +501,19 @@ def connectivities(spark, sf_dir):
     return fuzzy.connectivities(_exact(spark, sf_dir), K, _STEPS).select("row", "col", _R(F.col("weight")).alias("weight"))
 
 
+@query("SELECT count(*) AS nodes, true AS named_by_least, true AS close FROM embeddings")
+def graph_communities(spark, sf_dir):
+    """Communities of the connectivities: their modularity is at least that of the labels, and each is named by its least point."""
+    weighted = fuzzy.connectivities(_exact(spark, sf_dir), K).select(F.col("row").alias("src"), F.col("col").alias("dst"), "weight")
+    edges = checkpointed(weighted, "weighted")
+    found = checkpointed(communities.communities(edges), "found")
+    labels = _raw(spark, sf_dir).select(F.col("vec_id").alias("node"), "label")
+    least = communities.modularity(edges, labels).first()["modularity"]
+    named = found.groupBy("label").agg(F.min("node").alias("least")).agg(F.min((F.col("least") == F.col("label")).cast("int")).cast("boolean").alias("named_by_least"))
+    close = communities.modularity(edges, found).select((F.col("modularity") >= least).alias("close"))
+    return found.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(F.broadcast(named)).crossJoin(F.broadcast(close))
+
+
 # ---- quantisation ----------------------------------------------------------------------------------
 
 _SPANS = f"""sp AS (SELECT pos, min(v[pos]) AS lo, CASE WHEN max(v[pos]) > min(v[pos]) THEN (max(v[pos]) - min(v[pos])) / 255 ELSE 1 END AS step FROM e, range(1, {DIMENSIONS + 1}) t(pos) GROUP BY pos),

@@ -10,10 +10,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecloom.operators.blocks import batch, vectors
+from vecloom.session import checkpointed
 
 #: Rows that one task reads at a time.
 ROWS = 16_384
@@ -82,6 +83,69 @@ def to_npy(df: DataFrame, folder: str, dtype: str = "float32") -> int:
     return done["n"] or 0
 
 
+def _ranked(df: DataFrame, key: list[str], tag: str) -> tuple[DataFrame, dict[int, int]]:
+    """df in ranges of key, written once with `part` and `place` (within the part, from 0), and how many rows stand before each part.
+
+    One pass orders and counts, a second has each part's start: the driver sees a count for each part."""
+    parts = df.repartitionByRange(*key).withColumn("part", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*key)) - 1
+    rows = checkpointed(checkpointed(parts, f"{tag}-ranges").withColumn("place", place.cast("long")), tag)
+    counts = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, total = {}, 0
+    for part in sorted(counts):
+        before[part], total = total, total + counts[part]
+    return rows, before
+
+
+def _start(before: dict[int, int]) -> Column:
+    """The rows before this row's part, from at most as many values as there are parts."""
+    starts = F.create_map(*(F.lit(x).cast("long") for pair in before.items() for x in pair)) if before else F.create_map().cast("map<bigint,bigint>")
+    return F.element_at(starts, F.col("part").cast("long"))
+
+
+def to_csr_npy(knn: DataFrame, folder: str) -> int:
+    """Writes data, indices and indptr of a self-kNN (id, rank, nbr, dist) as .npy files of a new folder that all executors can open; the entries written.
+
+    Rows and columns are positions of sorted ids, entries in order of rank, as sinks.to_csr has them on the driver. Positions
+    and starts of rows come from prefix sums over ranges of ids, so no task and no driver holds the graph; a
+    file appears whole or not at all. from_csr_npy refuses a folder that was not finished. Ids have a row of rank 0 each."""
+    os.makedirs(folder)
+    ids, first = _ranked(knn.where("rank = 0").select("id"), ["id"], "csr-ids")
+    ids = checkpointed(ids.select("id", (_start(first) + F.col("place")).alias("at")), "csr-positions")
+    entries = knn.join(ids.withColumnRenamed("at", "row"), "id").join(ids.select(F.col("id").alias("nbr"), F.col("at").alias("col")), "nbr")
+    rows, before = _ranked(entries.select("row", "rank", "col", "dist"), ["row", "rank"], "csr")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = 0
+        for b in batches:
+            part, place = b.column("part").to_numpy(), b.column("place").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else [0]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                own = slice(i, j)
+                head = np.flatnonzero(b.column("rank").to_numpy()[own] == 0)  # each row begins with itself
+                for kind, x in (("data", b.column("dist").to_numpy()[own]), ("indices", b.column("col").to_numpy()[own]), ("indptr", place[own][head])):
+                    started = os.path.join(folder, f".{uuid.uuid4().hex}")
+                    with open(started, "wb") as f:
+                        np.save(f, x)
+                    os.replace(started, os.path.join(folder, f"{kind}-{part[i]:08d}-{k:08d}.npy"))
+                k += 1
+            yield batch(rows=np.array([len(part)]))
+
+    placed = rows.withColumn("place", _start(before) + F.col("place")).repartition("part").sortWithinPartitions("part", "place")
+    n = placed.select("part", "place", "rank", "col", "dist").mapInArrow(run, "rows long").agg(F.sum("rows").alias("n")).first()["n"] or 0
+    np.save(os.path.join(folder, "indptr-end.npy"), np.array([n]))
+    open(os.path.join(folder, "_SUCCESS"), "wb").close()
+    return n
+
+
+def from_csr_npy(folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(data, indices, indptr) of a folder that to_csr_npy has finished, for clients that hold a graph in memory."""
+    if not os.path.exists(os.path.join(folder, "_SUCCESS")):
+        raise ValueError(f"{folder} is not a finished folder of arrays")
+    kinds = (sorted(x for x in os.listdir(folder) if x.startswith(f"{kind}-")) for kind in ("data", "indices", "indptr"))
+    return tuple(np.concatenate([np.load(os.path.join(folder, x)) for x in names]) if names else np.zeros(0) for names in kinds)
+
+
 def from_hdf5(spark: SparkSession, path: str, dataset: str = "train", rows: int | None = None) -> DataFrame:
     """The first `rows` rows of a dataset of an HDF5 file that all executors can open; needs h5py."""
     try:

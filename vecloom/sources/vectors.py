@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,13 +88,37 @@ def gaussian_clusters(n: int, d: int, clusters: int | None = None, scale: float
 LCG_MULTIPLIER, LCG_INCREMENT = 6364136223846793005, 1442695040888963407
 
 
+_U = np.uint64
+_MASK = 2**64 - 1
+
+
+def _jump(state: int, steps: int) -> int:
+    """The generator's state so many steps on, in log(steps) squarings of its step."""
+    a, c, mul, add = LCG_MULTIPLIER, LCG_INCREMENT, 1, 0
+    while steps:
+        if steps & 1:
+            mul, add = mul * a & _MASK, (add * a + c) & _MASK
+        a, c = a * a & _MASK, (a + 1) * c & _MASK
+        steps >>= 1
+    return (state * mul + add) & _MASK
+
+
+def lcg(first: int, n: int, seed: int) -> np.ndarray:
+    """Elements first..first + n - 1 of a 64-bit linear congruential sequence: its high 31 bits, as fractions in [0, 1).
+
+    Element i is a^(i+1) seed + c (1 + a + ... + a^i) modulo 2^64, so a section needs no other one."""
+    mul = np.full(n, LCG_MULTIPLIER, _U)
+    with np.errstate(over="ignore"):
+        np.multiply.accumulate(mul, out=mul)
+        sums = np.ones(n, _U)
+        np.cumsum(mul[:-1], out=sums[1:])
+        sums[1:] += _U(1)
+        state = mul * _U(_jump(seed & _MASK, first)) + sums * _U(LCG_INCREMENT)
+    return (state >> _U(33)).astype(np.float64) / 2**31
+
+
 def _lcg(n: int, seed: int) -> np.ndarray:
-    """High 31 bits of a 64-bit linear congruential sequence, as fractions in [0, 1)."""
-    out, state = np.empty(n), seed & (2**64 - 1)
-    for i in range(n):
-        state = (state * LCG_MULTIPLIER + LCG_INCREMENT) & (2**64 - 1)
-        out[i] = (state >> 33) / 2**31
-    return out
+    return lcg(0, n, seed)
 
 
 def lcg_uniform(n: int, d: int, seed: int = 7) -> np.ndarray:
@@ -101,4 +128,30 @@ def lcg_uniform(n: int, d: int, seed: int = 7) -> np.ndarray:
 def lcg_gaussian(n: int, d: int, seed: int = 1) -> np.ndarray:
     """Box-Muller over pairs of the sequence."""
     u = _lcg(2 * n * d, seed).reshape(2, -1)
-    return (np.sqrt(-2 * np.log(np.maximum(u[0], 1e-12))) * np.cos(2 * np.pi * u[1])).astype(np.float32).reshape(n, d)
+    return _box_muller(u[0], u[1]).astype(np.float32).reshape(n, d)
+
+
+def _box_muller(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.sqrt(-2 * np.log(np.maximum(u, 1e-12))) * np.cos(2 * np.pi * v)
+
+
+def generated(spark: SparkSession, n: int, d: int, kind: str = "uniform", seed: int = 7, rows: int = 16_384) -> DataFrame:
+    """(vec_id, embedding array<float>) of lcg_uniform or lcg_gaussian: each task makes its own section of the sequence, `rows` vectors at a time, and the driver none."""
+    if kind not in ("uniform", "gaussian"):
+        raise ValueError(f"unknown kind: {kind!r}")
+    parts = -(-n // rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in b.column("id").to_pylist():
+                a, z = part * rows, min(part * rows + rows, n)
+                size = (z - a) * d
+                if kind == "uniform":
+                    x = 2 * lcg(a * d, size, seed) - 1
+                else:
+                    x = _box_muller(lcg(a * d, size, seed), lcg(n * d + a * d, size, seed))
+                flat = pa.array(x.astype(np.float32))
+                vec = pa.ListArray.from_arrays(pa.array(np.arange(z - a + 1, dtype=np.int32) * d), flat)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, z)), vec], ["vec_id", "embedding"])
+
+    return spark.range(0, parts, 1, max(1, min(parts, 4096))).mapInArrow(run, "vec_id long, embedding array<float>")
