@@ -126,6 +126,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+# fixed values: public multipliers of 64-bit mixing
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
