@@ -192,6 +192,7 @@ def test_leaders_by_shuffle_agree(spark, blobs, monkeypatch):
 
 
 def test_reservoir_is_order_free_and_as_known(spark):
+    # fixed values: the known case of six candidates and its result
     rows = [(10, 1, 5.0), (11, 2, 3.0), (12, 1, 2.0), (13, 4, 8.0), (14, 8, 1.0), (15, 2, 9.0)]
     for order in (rows, rows[::-1]):
         df = spark.createDataFrame([(0, *r) for r in order], "src long, dst long, code int, norm double")

@@ -18,7 +18,7 @@ from vecloom.operators.exact import nearest_in_block, top_k
 from vecloom.session import checkpointed
 from vecloom.sources.vectors import hash_order
 
-#: Leaders of a node.
+#: Leaders of a node, and clamp(2 size / c_max, 2, LEADERS) of them.
 LEADERS = 64
 #: Deepest level; nodes that are still too large there are cut up by hash.
 DEPTH = 24

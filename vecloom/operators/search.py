@@ -56,8 +56,8 @@ def beam_search(points: DataFrame, edges: DataFrame, queries: DataFrame, start:
     """(id, nbr, d2): beams that begin as the `width` nearest of start (id, nbr, d2) and advance by joins; at every size.
 
     A round expands all unvisited members of each beam at once, scores the neighbours not scored before, and keeps
-    the `width` nearest, equals by nbr; the rounds end when no beam has an unvisited member. points (by id), edges (by src)
-    and queries (by id) are best bucketed tables of `parts` buckets: then a round moves the frontier's ids to the edges, ids of
+    the `width` nearest, equals by nbr; the rounds end when no beam has an unvisited member. points (by id) and edges (by
+    src) are best bucketed tables of `parts` buckets: then a round moves the frontier's ids to the edges, ids of
     neighbours to the queries, and a query's vector to each new neighbour's bucket; points and edges stay. Small
     tables are broadcast where Spark finds them small enough. r: a bound on degrees, for what hubs may broadcast.
 

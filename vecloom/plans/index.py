@@ -83,7 +83,7 @@ class VectorIndex:
         """(id, rank 1..k, nbr, dist) of held-out queries; ValueError where their dimension differs."""
         queries = from_table(df, id_col, vec_col, self.params.metric)
         validate(queries, self.d)
-        queries = bucketed(queries, "queries", "id", self.buckets)
+        queries = checkpointed(queries, "queries")  # no table: queries may come as a stream of batches
         found = self._beam(queries, self._starts(queries, beam), max(beam, k))
         return search.shown(found, k, self.params.metric)
 

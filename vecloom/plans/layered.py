@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from vecloom.operators import exact, quantize, search
 from vecloom.plans.index import VectorIndex
 from vecloom.plans.params import BuildParams, HnswParams
-from vecloom.session import bucketed
+from vecloom.session import checkpointed
 from vecloom.sources.vectors import hash_order
 
 #: Fixed value: the highest layer.
@@ -57,7 +57,7 @@ class LayeredGraph:
             rest = upper
 
     def search(self, queries: DataFrame, width: int) -> DataFrame:
-        """(id, nbr, d2) of queries (id, vec), bucketed by id as the layers are: the beams of the lowest layer."""
+        """(id, nbr, d2) of queries (id, vec): the beams of the lowest layer."""
         found = search.seeds(queries, self.top, self.params.m)
         for index in reversed(self.layers[1:]):
             beams = search.beam_search(index.points, index.edges, queries, found.select("id", "nbr", "d2"), self.params.m, index.d, index.params.r, index.buckets)
@@ -67,8 +67,7 @@ class LayeredGraph:
 
     def query(self, queries: DataFrame, k: int) -> DataFrame:
         """(id, rank 1..k, nbr, d2) of held-out queries (id, vec)."""
-        asked = bucketed(queries, "queries", "id", self.layers[0].buckets)
-        return exact.top_k(self.search(asked, max(self.params.ef_search, k)), k)
+        return exact.top_k(self.search(checkpointed(queries, "queries"), max(self.params.ef_search, k)), k)
 
 
 def self_knn(points: DataFrame, k: int, params: HnswParams, build: BuildParams) -> DataFrame:

@@ -13,6 +13,7 @@ class BuildParams:
     alpha: slack of diversity pruning; fanout: leaves of a point; c_max: rows of a leaf; runs: partitionings;
     c_min is accepted and not used; norm_mode: 'bf16' rounds reservoir distances to 8 bits, 'exact' does not."""
 
+    # fixed values: the published defaults
     metric: str = "euclidean"
     m: int = 12
     l_max: int = 64
@@ -55,6 +56,7 @@ class SearchParams:
 
 @dataclass(frozen=True)
 class HnswParams:
+    # fixed values: the published defaults
     m: int = 16
     ef_construction: int = 200
     ef_search: int = 64
