@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vecloom.llm import packing, simhash, suffix_dedup, toxicity
+from vecloom.llm import packing, resemblance, suffix_dedup, toxicity
 from vecloom.llm.common import materialize
 from vecloom.session import ship
 
@@ -20,9 +20,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of linked SimHash fingerprints, as it is."""
+    """The document of the smallest doc_id of each group of near copies (SimHash links, and five-word shingles at 0.8 or more), as it is."""
     ship(spark)
-    return simhash.keep_one(docs)
+    return resemblance.keep_one(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

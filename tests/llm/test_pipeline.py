@@ -4,7 +4,8 @@ import itertools
 from collections import Counter
 
 import corpus_pipeline
-from tests.llm.test_text_operators import plain_fingerprint, plain_groups, plain_removal
+from tests.llm.test_near_copies import plain_near_groups
+from tests.llm.test_text_operators import plain_removal
 
 from vecloom.llm import toxicity
 from vecloom.llm.common import materialize
@@ -25,7 +26,7 @@ def test_stages_and_run(spark, sf_dir):
     fine = {r["doc_id"] for r in toxicity.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels).where("predicted = 0").collect()}
     assert Counter(after) == Counter(r for r in before if r["doc_id"] in fine)
     before, after = kept["simhash"]
-    groups = plain_groups([(r["doc_id"], plain_fingerprint(r["text"])) for r in before])
+    groups = plain_near_groups([(r["doc_id"], r["text"]) for r in before])
     assert Counter(after) == Counter(r for r, g in zip(before, groups, strict=True) if r["doc_id"] == g)
     before, after = kept["suffix_dedup"]
     plain = plain_removal([r["text"].encode() for r in before], 200)
