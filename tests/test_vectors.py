@@ -341,3 +341,14 @@ def test_sql_functions(spark):
     V.register(spark)
     row = spark.sql("SELECT l2_sq(array(1D, 2D), array(4D, 6D)) a, cosine_dist(array(1D, 0D), array(0D, 2D)) b, unit_vector(array(3D, 4D)) c").first()
     assert row["a"] == 25 and row["b"] == 1 and row["c"] == [0.6, 0.8]
+
+
+def test_sparse_rows_are_ranked_before_they_are_rounded(spark, tmp_path):
+    """Distances that are equal to six digits stood in the order of ids."""
+    from vecloom.queries import QUERIES
+
+    x = np.zeros((8, 2), np.float32)
+    x[1:, 0] = 1 - np.arange(7) * 2e-7
+    frame(spark, x).write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = QUERIES["topk_of_sparse"](spark, str(tmp_path)).where("id = 0").orderBy("rank").collect()
+    assert [r["nbr"] for r in rows] == [7, 6, 5, 4, 3] and {round(r["dist"], 5) for r in rows} == {1.0}

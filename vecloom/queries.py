@@ -580,7 +580,8 @@ def distance_histogram(spark, sf_dir):
 
 @query(f'SELECT id, rank, nbr, dist FROM ({_self_knn_sql(_E, 5, "sqrt(d2)")}) WHERE id <> nbr')
 def topk_of_sparse(spark, sf_dir):
-    return E.top_k_of_sparse(sinks.to_coo(_knn(_exact(spark, sf_dir))), 5)
+    # ranked before distances are rounded: rounded ones are equal where true ones are not
+    return E.top_k_of_sparse(sinks.to_coo(_exact(spark, sf_dir)), 5).withColumn("dist", _R(F.col("dist")))
 
 
 @query(f"""WITH k AS ({_KNN}), last AS (SELECT id FROM k GROUP BY id)
