@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecloom.operators import communities, descent, evaluate, exact, fuzzy, ivf, quantize
+from vecloom.operators import blocks, communities, descent, evaluate, exact, fuzzy, ivf, quantize
 from vecloom.operators.blocks import codes, packed
 from vecloom.operators.partition import nearest_leader
 from vecloom.sources import vectors as S
@@ -164,3 +164,18 @@ def test_communities_of_a_graph_are_those_of_its_clusters(spark, points):
     edges = fuzzy.connectivities(descent.self_knn(points, 600, k, 20), k).select(F.col("row").alias("src"), F.col("col").alias("dst"), "weight")
     found = communities.communities(edges)
     assert evaluate.adjusted_rand(found.join(truth, "node"), "label", "cluster").first()["ari"] >= 0.9
+
+
+def test_single_precision_chooses_what_doubles_choose():
+    rng = np.random.default_rng(3)
+    ids = rng.permutation(900)
+    for scale, shift in ((1.0, 0.0), (1e-3, 100.0), (1e25, 0.0)):
+        x = rng.standard_normal((900, 8)) * scale + shift
+        x[100:500] = x[7]
+        x[500:600, 0] = np.nextafter(x[7, 0], np.inf)  # equal in single precision
+        row, col, d2 = blocks.Block(ids, x).nearest(ids[:64], x[:64], 12, True)
+        want = ((x[:64, None] - x[None]) ** 2).sum(2)
+        want[np.arange(64), np.arange(64)] = np.inf
+        order = np.array([np.lexsort((ids, w))[:12] for w in want])
+        assert (row.reshape(64, 12) == np.arange(64)[:, None]).all() and (col.reshape(64, 12) == order).all()
+        assert (d2.reshape(64, 12) == np.take_along_axis(want, order, 1)).all()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecloom.session import checkpointed
 from vecloom.sources.vectors import hash_order
 
 
@@ -72,7 +73,7 @@ def majority_label(knn: DataFrame, labels: DataFrame) -> DataFrame:
 def adjusted_rand(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row (ari): agreement of two labellings, from their contingency counts. Both constant or both all distinct: 1."""
     choose = lambda c: (c * (c - 1) / 2).cast("double")
-    both = pairs.groupBy(a, b).count()
+    both = checkpointed(pairs.groupBy(a, b).count(), "contingency")  # read three times
     sum_of = lambda key: both.groupBy(key).agg(F.sum("count").alias("c")).agg(F.sum(choose(F.col("c"))).alias("s")).first()["s"] or 0.0
     cells = both.agg(F.sum(choose(F.col("count"))).alias("s"), F.sum("count").alias("n")).first()
     s, n, x, y = cells["s"] or 0.0, cells["n"] or 0, sum_of(a), sum_of(b)

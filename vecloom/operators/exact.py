@@ -6,28 +6,23 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.functions.vectors import direct_sq_l2, emit, product_sq_l2
-from vecloom.operators.blocks import batch, block_count, every, join_blocks, smallest
+from vecloom.functions.vectors import emit
+from vecloom.operators.blocks import Block, batch, block_count, every, join_blocks
 
 
 #: Queries that meet a block in one task, aimed at.
-QUERY_PART = 262_144
+QUERY_PART = 131_072
 
 
 def nearest_in_block(k: int, skip_self: bool):
     """A matrix product chooses, with room for its rounding; direct differences rank."""
+    held: list[Block] = []  # the block of the batch before, made ready
 
     def kernel(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray):
-        d2 = product_sq_l2(q, x)
-        if skip_self:
-            d2[query_ids[:, None] == ids[None, :]] = np.inf
-        most = min(k, x.shape[0]) - 1
-        kth = np.partition(d2, most, axis=1)[:, most]
-        room = 1e-9 * ((q * q).sum(1) + (x * x).sum(1).max() + 1)
-        row, col = np.nonzero((d2 <= (np.where(np.isfinite(kth), kth, np.finfo(float).max) + room)[:, None]) & np.isfinite(d2))
-        exact = direct_sq_l2(q[row], x[col])
-        top = smallest(row, exact, ids[col], k)
-        yield batch(id=query_ids[row[top]], nbr=ids[col[top]], d2=exact[top])
+        if not held or held[0].x is not x:
+            held[:] = [Block(ids, x)]
+        row, col, d2 = held[0].nearest(query_ids, q, k, skip_self)
+        yield batch(id=query_ids[row], nbr=ids[col], d2=d2)
 
     return kernel
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.operators.blocks import batch
+from vecloom.session import checkpointed
 
 #: Fixed value: a scale is at least this share of a mean distance.
 LEAST_SCALE = 1e-3
@@ -34,7 +35,7 @@ def scales(knn: DataFrame, k: int, steps: int = 64) -> DataFrame:
 
     A point all of whose neighbours are at distance 0 has rho 0, and LEAST_SCALE of the mean distance of all points as its
     least scale; others have that share of their own mean, the point itself counted at 0."""
-    others = knn.where("nbr <> id")
+    others = checkpointed(knn.where("nbr <> id").select("id", "nbr", "dist"), "others")  # read for the mean and for the lists
     mean = others.agg((F.sum("dist") / (F.count(F.lit(1)) * (k + 1) / k)).alias("mean")).first()["mean"] or 0.0
     lists = others.groupBy("id").agg(F.array_sort(F.collect_list("dist")).alias("d"))
 
@@ -56,7 +57,8 @@ def scales(knn: DataFrame, k: int, steps: int = 64) -> DataFrame:
 
 def connectivities(knn: DataFrame, k: int, steps: int = 64) -> DataFrame:
     """(row, col, weight) of a self-kNN: a + b - a b of the two directions' weights; both (i, j) and (j, i) are given, the points themselves are not."""
-    own = knn.where("nbr <> id").join(scales(knn, k, steps), "id")
+    knn = checkpointed(knn.where("nbr <> id").select("id", "nbr", "dist"), "others")
+    own = knn.join(scales(knn, k, steps), "id")
     gap = F.col("dist") - F.col("rho")
     weight = F.when((gap <= 0) | (F.col("sigma") == 0), F.lit(1.0)).otherwise(F.exp(-gap / F.col("sigma")))
     one = own.select(F.col("id").alias("row"), F.col("nbr").alias("col"), weight.alias("a"), F.lit(0.0).alias("b"))

@@ -1,9 +1,8 @@
 """Inverted lists: points by their nearest coarse centroid; queries probe the nearest lists.
 
 With product codes a list stores a few bytes a point: its residual to the list's centre, cut into sub-vectors, each
-named by its nearest codebook entry. A query's residual to a probed list gives one table of distances for each
-sub-vector, and a point's distance is the sum of one entry of each: vectors are not decoded, and only the nearest by
-codes are ranked by their vectors."""
+named by its nearest codebook entry. A task decodes a list's codes once, compares its queries' residuals with them, and
+only the nearest by codes are ranked by their vectors."""
 
 from __future__ import annotations
 
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions.vectors import largest_divisor
-from vecloom.operators.blocks import batch, join_blocks, matrix, packed, smallest
+from vecloom.operators.blocks import Block, batch, every, join_blocks, matrix, packed
 from vecloom.operators.exact import nearest_in_block, top_k, with_self
 from vecloom.operators.partition import nearest_groups, nearest_leader
 from vecloom.operators.search import score
@@ -28,6 +27,8 @@ from vecloom.sources.vectors import subsample
 TRAINING_ROWS, TRAINING_BYTES = 65_536, 128 << 20
 #: Entries of a codebook.
 ENTRIES = 256
+#: Queries that meet a list in one task, aimed at; a list stands once for each part of them.
+QUERY_PART = 131_072
 
 
 def lloyd(x: np.ndarray, k: int, rounds: int = 10, seed: int = 0) -> np.ndarray:
@@ -66,20 +67,17 @@ def encode(residuals: DataFrame, books: np.ndarray) -> DataFrame:
 
 
 def nearest_by_codes(books: np.ndarray, k: int, skip_self: bool):
-    """A kernel of join_blocks: codes of a list against residual queries, by tables of squared distances; ties to smaller ids."""
-    parts = len(books)
+    """A kernel of join_blocks: codes of a list against residual queries; ties to smaller ids.
+
+    The list's codes are decoded once for all batches of queries, and one matrix product compares them: a table of
+    distances for each query would be looked up once for each part of each pair."""
+    held: list = []
 
     def kernel(ids: np.ndarray, code: np.ndarray, query_ids: np.ndarray, q: np.ndarray):
-        d2 = np.zeros((len(q), len(ids)))
-        for j, (sub, book) in enumerate(zip(np.split(q, parts, axis=1), books, strict=True)):
-            table = ((sub[:, None, :] - book[None, :, :]) ** 2).sum(2)
-            d2 += table[:, code[:, j]]
-        if skip_self:
-            d2[query_ids[:, None] == ids[None, :]] = np.inf
-        most = min(k, len(ids)) - 1
-        row, col = np.nonzero((d2 <= np.partition(d2, most, axis=1)[:, most : most + 1]) & np.isfinite(d2))
-        top = smallest(row, d2[row, col], ids[col], k)
-        yield batch(id=query_ids[row[top]], nbr=ids[col[top]], d2=d2[row[top], col[top]])
+        if not held or held[0] is not code:
+            held[:] = [code, Block(ids, np.concatenate([book[code[:, j]] for j, book in enumerate(books)], axis=1))]
+        row, col, d2 = held[1].nearest(query_ids, q, k, skip_self)
+        yield batch(id=query_ids[row], nbr=ids[col], d2=d2)
 
     return kernel
 
@@ -115,7 +113,11 @@ class IvfIndex:
         asked = nearest_groups(queries, self.centres, nprobe, residual=self.books is not None)
         kernel = nearest_in_block(k, skip_self) if self.books is None else nearest_by_codes(self.books, k, skip_self)
         of = ("vec" if self.books is None else "code", "vec")
-        return top_k(join_blocks(self.lists, asked, kernel, "id long, nbr long, d2 double", of), k)
+        parts = max(1, -(-queries.count() * min(nprobe, len(self.centres)) // (len(self.centres) * QUERY_PART)))
+        lists = self.lists.withColumnRenamed("block", "list").select(every(parts), "list", "id", of[0])
+        lists = lists.withColumn("block", F.col("list") * parts + F.col("block")).drop("list")
+        asked = asked.withColumn("block", F.col("block") * parts + F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(parts)))
+        return top_k(join_blocks(lists, asked, kernel, "id long, nbr long, d2 double", of), k)
 
     def search(self, queries: DataFrame, k: int, nprobe: int = 16, wide: int = 4, skip_self: bool = False) -> DataFrame:
         """(id, rank from 1, nbr, d2): the candidates, `wide` times k by codes, ranked by their vectors."""

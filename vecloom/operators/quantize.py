@@ -52,9 +52,12 @@ def encode_packed(points: DataFrame, spans: DataFrame) -> DataFrame:
 def nearest_by_codes(step: np.ndarray, k: int, skip_self: bool):
     """A kernel of join_blocks for codes on either side: the step-weighted distances, which are those of codes times steps."""
     inner = nearest_in_block(k, skip_self)
+    held: list[np.ndarray] = []
 
     def kernel(ids: np.ndarray, code: np.ndarray, query_ids: np.ndarray, q: np.ndarray):
-        return inner(ids, code * step, query_ids, q * step)
+        if not held or held[0] is not code:
+            held[:] = [code, code * step]
+        return inner(ids, held[1], query_ids, q * step)
 
     return kernel
 

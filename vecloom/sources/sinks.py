@@ -7,6 +7,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecloom.session import checkpointed
+
 #: Folder key of the versions that upsert_json writes.
 VERSION = "record_version"
 
@@ -31,6 +33,7 @@ def to_csr(knn: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def padded(knn: DataFrame, k: int, self_edges: bool = True) -> DataFrame:
     """Every id filled up to ranks 0..k: with (itself, 0) in self-kNN, else with its last neighbour (ranks 1..k)."""
+    knn = checkpointed(knn.select("id", "rank", "nbr", "dist"), "knn")  # read twice
     last = knn.groupBy("id").agg(F.max_by(F.struct("nbr", "dist"), "rank").alias("last"))
     grid = last.select("id", "last", F.explode(F.sequence(F.lit(0 if self_edges else 1), F.lit(k))).alias("rank"))
     fill = F.struct(F.col("id").alias("nbr"), F.lit(0.0).alias("dist")) if self_edges else F.col("last")
