@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecloom.operators import blocks, communities, descent, evaluate, exact, fuzzy, ivf, quantize
+from vecloom.operators import blocks, candidates, communities, descent, evaluate, exact, fuzzy, ivf, quantize
 from vecloom.operators.blocks import codes, packed
 from vecloom.operators.partition import nearest_leader
 from vecloom.sources import vectors as S
@@ -179,3 +179,16 @@ def test_single_precision_chooses_what_doubles_choose():
         order = np.array([np.lexsort((ids, w))[:12] for w in want])
         assert (row.reshape(64, 12) == np.arange(64)[:, None]).all() and (col.reshape(64, 12) == order).all()
         assert (d2.reshape(64, 12) == np.take_along_axis(want, order, 1)).all()
+
+
+@pytest.mark.parametrize("keep_codes,norm_mode", [(False, "exact"), (True, "exact"), (True, "bf16")])
+def test_large_leaves_in_blocks_are_the_same(spark, points, monkeypatch, keep_codes, norm_mode):
+    """A leaf went whole into one task, whatever its size."""
+    leaves = points.withColumn("leaf_id", F.when(F.col("id") < 400, F.col("id") % 3).otherwise(F.lit(7)))
+    leaves = leaves.unionByName(leaves.where("id < 90").withColumn("leaf_id", F.lit(7)))  # points of two leaves
+    ways = lambda: sorted(map(tuple, candidates.leaf_pairs(leaves, candidates.hyperplanes(8, points.first()["vec"].__len__()), 9, keep_codes, norm_mode).collect()))
+    whole = ways()
+    tasks = []
+    monkeypatch.setattr(candidates, "LEAF_ROWS", 100)
+    monkeypatch.setattr(candidates, "join_blocks", lambda *a, **kw: tasks.append(1) or blocks.join_blocks(*a, **kw))
+    assert ways() == whole and tasks

@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.functions.vectors import bf16, bf16_array, direct_sq_l2, product_sq_l2
-from vecloom.operators.blocks import batch, matrix, smallest, vectors
+from vecloom.functions.vectors import bf16, bf16_array
+from vecloom.operators.blocks import QUERIES, Block, batch, join_blocks, matrix, vectors
+
+#: Rows of a leaf that one task takes whole.
+LEAF_ROWS = 16_384
 
 
 def hyperplanes(m: int, d: int, seed: int = 0) -> np.ndarray:
@@ -38,45 +41,74 @@ def residual_code(sketch_from: Column, sketch_to: Column, m: int) -> Column:
     return sum((bit(i) for i in range(1, m)), bit(0)).cast("int")
 
 
+def _nearest_pairs(planes: np.ndarray, cap: int):
+    """A kernel of (src, dst, code, norm): each query's `cap` nearest of a block's others, with residual codes."""
+    weights = 1 << np.arange(len(planes))
+    held: list = []  # the block of the batch before, made ready, and its sketches
+
+    def kernel(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not held or held[0].x is not x:
+            held[:] = [Block(ids, x), x @ planes.T]
+        row, col, d2 = held[0].nearest(query_ids, q, cap, True)
+        code = ((held[1][col] - (q @ planes.T)[row]) >= 0) @ weights
+        yield batch(src=query_ids[row], dst=ids[col], code=code.astype(np.int32), norm=d2)
+
+    return kernel
+
+
+def _nearest_of_codes(table: pa.Table) -> pa.Table:
+    """Of pairs of one leaf the nearest of each (src, code), ties to smaller ids."""
+    src, dst, code, norm = (table.column(c).to_numpy() for c in ("src", "dst", "code", "norm"))
+    order = np.lexsort((dst, norm, code, src))
+    s, c = src[order], code[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
+    return table.take(pa.array(order[new]))
+
+
 def leaf_pairs(leaves: DataFrame, planes: np.ndarray, cap: int, keep_codes: bool = True, norm_mode: str = "exact") -> DataFrame:
     """(src, dst, code, norm): within each leaf of (leaf_id, id, vec) every point's `cap` nearest others, with residual code and squared distance.
 
-    A leaf is bounded, so it is one group of a grouped Arrow function. With keep_codes only the nearest of each
-    (point, code) leaves the task, which is the reservoir's reduction done before the shuffle; norm_mode is the reservoir's."""
+    A leaf of at most LEAF_ROWS rows is one group of a grouped Arrow function. A larger one is cut into blocks of about so
+    many, which all of its points meet, and what a point found in each is merged; the driver sees a row for each of these
+    leaves. With keep_codes only the nearest of each (point, code) leaves the task (of large leaves: the merge), which is
+    the reservoir's reduction done before the shuffle; norm_mode is the reservoir's."""
+    kernel = _nearest_pairs(planes, cap)
+    form = pa.schema({"src": pa.int64(), "dst": pa.int64(), "code": pa.int32(), "norm": pa.float64()})
+    schema = "src long, dst long, code int, norm double"
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        x = matrix(table.column("vec").combine_chunks())
-        names = {"src": pa.int64(), "dst": pa.int64(), "code": pa.int32(), "norm": pa.float64()}
-        k = min(cap, len(ids) - 1)
-        if k < 1:
-            return pa.table({c: pa.array([], t) for c, t in names.items()})
-        s = x @ planes.T
-        weights = 1 << np.arange(len(planes))
-        out = []
-        for i in range(0, len(ids), 1024):
-            d2 = product_sq_l2(x[i : i + 1024], x)
-            d2[np.arange(len(d2)), i + np.arange(len(d2))] = np.inf
-            kth = np.partition(d2, k - 1, axis=1)[:, k - 1]
-            room = 1e-9 * (1 + (x * x).sum(1).max())
-            row, col = np.nonzero(d2 <= (kth + room)[:, None])
-            exact = direct_sq_l2(x[i + row], x[col])
-            top = smallest(row, exact, ids[col], k)
-            row, col, exact = row[top], col[top], exact[top]
-            code = ((s[col] - s[i + row]) >= 0) @ weights
-            if norm_mode == "bf16":
-                exact = bf16_array(exact)
-            if keep_codes:
-                order = np.lexsort((ids[col], exact, code, row))
-                r, c = row[order], code[order]
-                new = np.ones(len(r), bool)
-                new[1:] = (r[1:] != r[:-1]) | (c[1:] != c[:-1])
-                pick = order[new]
-                row, col, exact, code = row[pick], col[pick], exact[pick], code[pick]
-            out.append((ids[i + row], ids[col], code, exact))
-        return pa.table({c: pa.array(np.concatenate(v), names[c]) for c, v in zip(names, zip(*out, strict=True), strict=True)})
-
-    return leaves.select("leaf_id", "id", "vec").groupBy("leaf_id").applyInArrow(run, "src long, dst long, code int, norm double")
+        ids, x = table.column("id").to_numpy(), matrix(table.column("vec").combine_chunks())
+        found = [b for i in range(0, len(ids), QUERIES) for b in kernel(ids, x, ids[i : i + QUERIES], x[i : i + QUERIES])]
+        out = pa.Table.from_batches(found, form)
+        if norm_mode == "bf16":
+            out = out.set_column(3, "norm", pa.array(bf16_array(out.column("norm").to_numpy())))
+        return _nearest_of_codes(out) if keep_codes else out
+
+    rows = leaves.select("leaf_id", "id", "vec")
+    sizes = leaves.groupBy("leaf_id").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LEAF_ROWS).collect()
+    if not sizes:
+        return rows.groupBy("leaf_id").applyInArrow(run, schema)
+    places, first = [], 0
+    for r in sizes:
+        parts = -(-r["size"] // LEAF_ROWS)
+        places.append((r["leaf_id"], first, parts))
+        first += parts
+    large = leaves.sparkSession.createDataFrame(places, "leaf_id long, first long, parts long")
+    small = rows.join(F.broadcast(large), "leaf_id", "left_anti").groupBy("leaf_id").applyInArrow(run, schema)
+    cut = rows.join(F.broadcast(large), "leaf_id")
+    base = cut.select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"), "id", "vec")
+    asked = cut.select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("block"), "id", "vec")
+    met = join_blocks(base, asked, kernel, schema, named=True)
+    named = large.select("leaf_id", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("block"))
+    met = met.join(F.broadcast(named), "block")
+    place = F.row_number().over(Window.partitionBy("leaf_id", "src").orderBy("norm", "dst"))
+    near = met.withColumn("place", place).where(F.col("place") <= cap)
+    near = near.select("leaf_id", "src", "dst", "code", (bf16(F.col("norm")) if norm_mode == "bf16" else F.col("norm")).alias("norm"))
+    if keep_codes:
+        place = F.row_number().over(Window.partitionBy("leaf_id", "src", "code").orderBy("norm", "dst"))
+        near = near.withColumn("place", place).where("place = 1")
+    return small.unionByName(near.select("src", "dst", "code", "norm"))
 
 
 def reservoir(candidates: DataFrame, l_max: int, norm_mode: str = "bf16") -> DataFrame:

@@ -35,7 +35,7 @@ def build_graph(points: DataFrame, d: int, params: BuildParams) -> tuple[DataFra
     planes = hyperplanes(params.m, d, params.seed)
     pairs = None
     for run in range(params.runs):
-        leaves = partition(points, params.c_max, params.fanout, params.seed + 7919 * run)
+        leaves = checkpointed(partition(points, params.c_max, params.fanout, params.seed + 7919 * run), "members")
         own = leaf_pairs(leaves, planes, params.l_max, norm_mode=params.norm_mode)
         pairs = own if pairs is None else pairs.union(own)
     candidates = checkpointed(reservoir(pairs, params.l_max, params.norm_mode), "reservoir")
