@@ -352,3 +352,15 @@ def test_sparse_rows_are_ranked_before_they_are_rounded(spark, tmp_path):
     frame(spark, x).write.parquet(f"{tmp_path}/embeddings.parquet")
     rows = QUERIES["topk_of_sparse"](spark, str(tmp_path)).where("id = 0").orderBy("rank").collect()
     assert [r["nbr"] for r in rows] == [7, 6, 5, 4, 3] and {round(r["dist"], 5) for r in rows} == {1.0}
+
+
+def test_cells_are_grouped_in_tasks_of_bounded_size(spark, monkeypatch):
+    """Tasks that group cells were as many at every size of the table."""
+    rows = [(c, g, float(1 + (c * g) % 5)) for c in range(60) for g in range(1 + c % 7)] + [(3, 0, 2.0), (None, 6, 1.0)]
+    cells = spark.createDataFrame(rows, "cell long, gene long, expr double")
+    ways = lambda: [sorted(map(tuple, d.groupBy("gene").count().collect())) for d in (preprocess.filter_genes(cells, 17), preprocess.log1p_normalize(cells))]
+    whole = ways()
+    assert [g for g, _ in whole[0]] == [g for g in range(7) if len({c for c, h, _ in rows if h == g and c is not None}) >= 17]
+    monkeypatch.setattr(preprocess, "CELL_ROWS", 20)
+    assert ways() == whole
+    assert preprocess.log1p_normalize(cells).rdd.getNumPartitions() == -(-len(rows) // 20) > int(spark.conf.get("spark.sql.shuffle.partitions"))

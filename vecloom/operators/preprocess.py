@@ -7,6 +7,22 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.session import checkpointed
+
+
+#: Rows of cells that one task groups, aimed at.
+CELL_ROWS = 1 << 19
+#: Names of genes that are broadcast at most.
+GENES = 1 << 21
+
+
+def by_cell(cells: DataFrame) -> DataFrame:
+    """cells dealt out by cell to as many tasks as their number asks for, so that what a task groups does not grow with the table.
+
+    What groups or joins by cell, or by cell and more, needs no further exchange. Its count reads no more than one pass over the columns."""
+    least = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(max(least, -(-cells.count() // CELL_ROWS)), "cell")
+
 
 def positive(cells: DataFrame) -> DataFrame:
     """Without sentinels: only expr above 0."""
@@ -14,13 +30,19 @@ def positive(cells: DataFrame) -> DataFrame:
 
 
 def filter_genes(cells: DataFrame, min_cells: int = 3) -> DataFrame:
-    """Genes that at least min_cells cells have."""
-    often = cells.groupBy("gene").agg(F.countDistinct("cell").alias("n")).where(F.col("n") >= min_cells).select("gene")
+    """Genes that at least min_cells cells have. Rows are dealt out by cell, where a pair's repeats meet; then a gene's pairs are counted, summed before their shuffle."""
+    cells = by_cell(cells)
+    once = cells.select("cell", "gene").distinct()
+    often = once.groupBy("gene").agg(F.count("cell").alias("n")).where(F.col("n") >= min_cells).select("gene")
+    often = checkpointed(often, "genes")
+    if often.count() <= GENES:
+        often = F.broadcast(often)
     return cells.join(often, "gene", "left_semi")
 
 
 def log1p_normalize(cells: DataFrame, scale: float = 1e4) -> DataFrame:
     """expr = log(1 + expr / total of its cell * scale); cells without a positive total go. Totals are pre-aggregated, then joined."""
+    cells = by_cell(cells)
     totals = cells.groupBy("cell").agg(F.sum("expr").alias("total")).where("total > 0")
     return cells.join(totals, "cell").select("cell", "gene", F.log1p(F.col("expr") / F.col("total") * scale).alias("expr"))
 
