@@ -364,3 +364,14 @@ def test_cells_are_grouped_in_tasks_of_bounded_size(spark, monkeypatch):
     monkeypatch.setattr(preprocess, "CELL_ROWS", 20)
     assert ways() == whole
     assert preprocess.log1p_normalize(cells).rdd.getNumPartitions() == -(-len(rows) // 20) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_beams_widen_until_a_sample_finds_its_neighbours(spark):
+    """Points that hardly cluster: beams of 16 over few links held under nine tenths of the neighbours."""
+    x = np.random.default_rng(5).standard_normal((1500, 32)).astype(np.float32)
+    index = I.VectorIndex.build(frame(spark, x), params=BuildParams(c_max=64, l_max=8, r=8))
+    want = truth(x, 10)
+    own = index.points.select("id", F.col("id").alias("nbr"), F.lit(0.0).alias("d2"))
+    narrow = recall(I.exact.top_k(index._beam(index.points, own, 16).where("id <> nbr"), 10), want)
+    wide = recall(index.self_knn(10, SearchParams(strategy="beam", beam=16)), want)
+    assert narrow < 0.9 and wide >= 0.95

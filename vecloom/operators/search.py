@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions.vectors import emit, sq_l2
 from vecloom.operators.blocks import every, join_blocks
-from vecloom.operators.exact import nearest_in_block, top_k, with_self
+from vecloom.operators.exact import knn_pairs, nearest_in_block, top_k, with_self
 from vecloom.session import checkpointed
+from vecloom.sources.vectors import subsample
 
 #: Seeds of a query.
 SEEDS = 16
 #: Of a frontier of over HUB_ROWS rows, points with over 1 / HUBS of the rows are dealt with apart; their neighbours' vectors take HUB_BYTES at most.
 HUB_ROWS, HUBS, HUB_BYTES = 1 << 20, 128, 64 << 20
 
+#: A search is held to this share of the exact neighbours of SAMPLE of its queries; doubling that adds less than GAIN to it is in vain.
+RECALL, SAMPLE, GAIN = 0.96, 512, 0.002
+
 
 def pivot_count(n: int, beam: int) -> int:
     """About 4 sqrt(n), at least the beam, at most 2,048 and n."""
@@ -86,6 +92,33 @@ def beam_search(points: DataFrame, edges: DataFrame, queries: DataFrame, start:
         state = beam.select("id", "nbr", "d2", F.lit(True).alias("visited")).unionAll(met.select("id", "nbr", sq_l2(F.col("q"), F.col("vec"), d).alias("d2"), F.lit(False)))
 
 
+def sampled(points: DataFrame, queries: DataFrame, n: int, k: int, skip_self: bool) -> tuple[DataFrame, DataFrame]:
+    """(id, vec) of SAMPLE queries by hash, and (id, nbr): their k nearest of all n points, compared with every one."""
+    few = checkpointed(subsample(queries, SAMPLE), "sample")
+    return few, checkpointed(knn_pairs(points, few, n, max(k, 1), skip_self).select("id", "nbr"), "wanted")
+
+
+def share_found(found: DataFrame, wanted: DataFrame) -> float:
+    """The share of wanted pairs (id, nbr) that are among found ones."""
+    hits = wanted.join(found.select("id", "nbr", F.lit(1).alias("hit")).distinct(), ["id", "nbr"], "left")
+    return hits.agg(F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(1.0))).first()[0]
+
+
+def widened(found: DataFrame, walk: Callable[[DataFrame, DataFrame, int], DataFrame], points: DataFrame, queries: DataFrame, n: int, k: int, width: int, skip_self: bool) -> DataFrame:
+    """found (id, nbr, d2), the beams of `width`, or what wider ones found: walk(queries, start, width) goes on from beams.
+
+    Beams of a sample are doubled until they hold RECALL of its exact neighbours, or gain no more; then all go on at that
+    width. How wide is enough depends on how many points there are, and on how they lie, so it is measured."""
+    few, wanted = sampled(points, queries, n, k, skip_self)
+    wide, now = width, found.join(F.broadcast(few.select("id")), "id", "left_semi")
+    share, before = share_found(now, wanted), -1.0
+    while share < RECALL and wide < n and share >= before + GAIN:
+        wide, before = min(2 * wide, n), share
+        now = walk(few, now, wide)
+        share = share_found(now, wanted)
+    return found if wide == width else walk(queries, found, wide)
+
+
 def expand(candidates: DataFrame, edges: DataFrame, nearest: int = 6) -> DataFrame:
     """(id, nbr): candidates (src, dst, norm), each point's own graph neighbours, and those of its `nearest` nearest candidates."""
     own = candidates.select(F.col("src").alias("id"), F.col("dst").alias("nbr"), F.col("norm").alias("d2"))

@@ -84,7 +84,9 @@ class VectorIndex:
         queries = from_table(df, id_col, vec_col, self.params.metric)
         validate(queries, self.d)
         queries = checkpointed(queries, "queries")  # no table: queries may come as a stream of batches
-        found = self._beam(queries, self._starts(queries, beam), max(beam, k))
+        width = max(beam, k)
+        found = self._beam(queries, self._starts(queries, beam), width)
+        found = search.widened(found, self._beam, self.points, queries, self.n, min(k, self.n), width, False)
         return search.shown(found, k, self.params.metric)
 
     def self_knn(self, k: int = 15, params: SearchParams | None = None) -> DataFrame:
@@ -98,8 +100,10 @@ class VectorIndex:
         start = self.points.select("id", F.col("id").alias("nbr"), F.lit(0.0).alias("d2"))
         if way == "warm":
             start = start.union(search.score(self.candidates.select(F.col("src").alias("id"), F.col("dst").alias("nbr")).where("id <> nbr"), self.points, self.d))
-        found = self._beam(self.points, start, max(params.beam, k + 1)).where("id <> nbr")
-        return exact.with_self(exact.top_k(found, k), self.points, self.params.metric)
+        width = max(params.beam, k + 1)
+        found = self._beam(self.points, start, width)
+        found = search.widened(found, self._beam, self.points, self.points, self.n, min(k, self.n - 1), width, True)
+        return exact.with_self(exact.top_k(found.where("id <> nbr"), k), self.points, self.params.metric)
 
     def save(self, path: str) -> None:
         """Points, edges and candidates as Parquet, the first two in buckets, parameters as one line of JSON text. What stood at path before goes."""
