@@ -192,3 +192,11 @@ def test_large_leaves_in_blocks_are_the_same(spark, points, monkeypatch, keep_co
     monkeypatch.setattr(candidates, "LEAF_ROWS", 100)
     monkeypatch.setattr(candidates, "join_blocks", lambda *a, **kw: tasks.append(1) or blocks.join_blocks(*a, **kw))
     assert ways() == whole and tasks
+
+
+def test_lists_lengthen_until_a_sample_finds_its_neighbours(spark):
+    """Points that hardly cluster: lists of 10 held too few of the neighbours."""
+    many = S.from_array(spark, np.random.default_rng(5).standard_normal((1200, 32)).astype(np.float32)).cache()
+    want = exact.self_knn(many, 1200, 10).cache()
+    share = lambda found: evaluate.recall_at_k(found, want, 10).first()["recall"]
+    assert share(descent.nearest_lists(many, 1200, 10)) < 0.9 and share(descent.self_knn(many, 1200, 10, 10)) >= 0.95
