@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecloom.functions import vectors as V
-from vecloom.operators import candidates, evaluate, graph, partition, preprocess, search
+from vecloom.operators import candidates, evaluate, graph, partition, preprocess, search, walks
 from vecloom.plans import estimators, layered
 from vecloom.plans import index as I
 from vecloom.plans.params import BuildParams, HnswParams, IvfParams, SearchParams
@@ -375,3 +375,35 @@ def test_beams_widen_until_a_sample_finds_its_neighbours(spark):
     narrow = recall(I.exact.top_k(index._beam(index.points, own, 16).where("id <> nbr"), 10), want)
     wide = recall(index.self_knn(10, SearchParams(strategy="beam", beam=16)), want)
     assert narrow < 0.9 and wide >= 0.95
+
+
+def test_queries_walk_every_shard(spark, monkeypatch):
+    """Beams moved a vector for each pair of query and point, in rounds of joins, and had not ended at 10,256 points after minutes."""
+    monkeypatch.setattr(walks, "SHARD", 400)
+    x = np.random.default_rng(6).standard_normal((1000, 12)).astype(np.float32)
+    x[7:10] = x[6]
+    index = I.VectorIndex.build(frame(spark, x), params=BuildParams(c_max=100))
+    place = {r["id"]: r["shard"] for r in index.points.select("id", walks.shard_of(F.col("id"), 3).alias("shard")).collect()}
+    assert index.shards == 3 and set(place.values()) == {0, 1, 2} and all(place[r["src"]] == place[r["dst"]] for r in index.edges.collect())
+    knn = index.self_knn(10, SearchParams(strategy="beam")).cache()
+    assert recall(knn, truth(x, 10)) >= 0.95 and tuple(evaluate.contract(knn, 10).first()) == (1000, 0, 0, 0, 0, 0)
+    found = index.query(frame(spark, x[:40]), 5)
+    assert {r["nbr"] for r in found.where("id = 8 and rank <= 4").collect()} == {6, 7, 8, 9}
+    exact = I.exact.query_knn(index.points, index.points.where("id < 40"), 1000, 5)
+    assert found.join(exact, ["id", "rank", "nbr"]).count() >= 0.9 * 200
+    assert recall(index.self_knn(10, SearchParams(strategy="reservoir")), truth(x, 10)) >= 0.7  # its candidates come from all points
+
+
+def test_walks_of_one_shard_are_plain_walks():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 4, (200, 3)).astype(float)  # equals and ties
+    ids = rng.permutation(10**6)[:200] - 500_000
+    edges = {int(i): [int(j) for j in rng.choice(ids, rng.integers(0, 6), replace=False)] for i in ids}
+    shard = walks.Shard(ids, x, [np.array(edges[i], np.int64) for i in ids.tolist()])
+    at = {int(i): x[p] for p, i in enumerate(ids)}
+    for v in rng.integers(0, 4, (30, 3)).astype(float):
+        start = [int(i) for i in rng.choice(ids, 3, replace=False)]
+        for width in (1, 4, 30):
+            got = shard.walk(v, shard.at(np.array(start)), width, width)
+            assert got[0].tolist() == plain_beams(at, edges, {0: v}, {0: start}, width)[0]
+    assert not shard.seen[:-1].any()

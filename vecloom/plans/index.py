@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions.vectors import parse_metric
-from vecloom.operators import exact, ivf, search
+from vecloom.operators import exact, ivf, search, walks
 from vecloom.operators.blocks import block_count
 from vecloom.operators.candidates import hyperplanes, leaf_pairs, reservoir
 from vecloom.operators.graph import robust_prune, symmetrize
@@ -43,9 +43,22 @@ def build_graph(points: DataFrame, d: int, params: BuildParams) -> tuple[DataFra
     return symmetrize(pruned, points, params.r, d), candidates
 
 
+def build_shards(points: DataFrame, d: int, params: BuildParams, shards: int) -> tuple[DataFrame, DataFrame]:
+    """build_graph for the points of each shard: no edge or candidate leaves one."""
+    edges = candidates = None
+    for shard in range(shards):
+        own = points if shards == 1 else points.where(walks.shard_of(F.col("id"), shards) == shard)
+        more, near = build_graph(own, d, params)
+        edges, candidates = (more, near) if edges is None else (edges.union(more), candidates.union(near))
+    return edges, candidates
+
+
 @dataclass
 class VectorIndex:
-    """Points, edges and reservoir candidates, each a DataFrame in the shared folder; points are bucketed by id, edges by src."""
+    """Points, edges and reservoir candidates, each a DataFrame in the shared folder; points are bucketed by id, edges by src.
+
+    shards: so many graphs, each over the points of a shard, which searches walk one by one; 0: one graph over points of any
+    number, walked by joins."""
 
     points: DataFrame
     edges: DataFrame
@@ -54,6 +67,7 @@ class VectorIndex:
     d: int
     params: BuildParams
     buckets: int
+    shards: int = 0
 
     @classmethod
     def build(cls, df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", params: BuildParams | None = None, **options) -> VectorIndex:
@@ -67,8 +81,9 @@ class VectorIndex:
         n, d = validate(points)
         buckets = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), block_count(n))
         points = bucketed(points, "points", "id", buckets)
-        edges, candidates = build_graph(points, d, params)
-        return cls(points, bucketed(edges, "edges", "src", buckets), candidates, n, d, params, buckets)
+        shards = walks.shard_count(n, d)
+        edges, candidates = build_shards(points, d, params, shards)
+        return cls(points, bucketed(edges, "edges", "src", buckets), candidates, n, d, params, buckets, shards)
 
     def _starts(self, queries: DataFrame, beam: int) -> DataFrame:
         """(id, nbr, d2): pivots near each query. Pivots are chosen by the hash order of ids, so ids need not be dense."""
@@ -76,18 +91,20 @@ class VectorIndex:
 
         return search.seeds(queries, subsample(self.points, search.pivot_count(self.n, beam), self.params.seed))
 
-    def _beam(self, queries: DataFrame, start: DataFrame, width: int) -> DataFrame:
-        return search.beam_search(self.points, self.edges, queries, start, width, self.d, self.params.r, self.buckets)
+    def _beam(self, queries: DataFrame, start: DataFrame, width: int, many: int | None = None, asked: int | None = None) -> DataFrame:
+        """(id, nbr, d2): the `many` nearest of beams (all: None), in each shard; asked: the number of queries, if known."""
+        if not self.shards:
+            return search.beam_search(self.points, self.edges, queries, start, width, self.d, self.params.r, self.buckets)
+        asked = queries.count() if asked is None else asked
+        return walks.walk(self.points, self.edges, walks.started(queries, start), asked, width, many or width, self.shards)
 
     def query(self, df: DataFrame, k: int = 10, beam: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
         """(id, rank 1..k, nbr, dist) of held-out queries; ValueError where their dimension differs."""
         queries = from_table(df, id_col, vec_col, self.params.metric)
         validate(queries, self.d)
         queries = checkpointed(queries, "queries")  # no table: queries may come as a stream of batches
-        width = max(beam, k)
-        found = self._beam(queries, self._starts(queries, beam), width)
-        found = search.widened(found, self._beam, self.points, queries, self.n, min(k, self.n), width, False)
-        return search.shown(found, k, self.params.metric)
+        walk = lambda some, width, asked: self._beam(some, self._starts(some, beam), width, k, asked)
+        return search.shown(search.widened(walk, self.points, queries, self.n, min(k, self.n), max(beam, k), False), k, self.params.metric)
 
     def self_knn(self, k: int = 15, params: SearchParams | None = None) -> DataFrame:
         """(id, rank 0..k, nbr, dist) by the strategy of params; auto is beam."""
@@ -96,13 +113,18 @@ class VectorIndex:
         if way == "exact":
             return exact.self_knn(self.points, self.n, k, self.params.metric)
         if way == "reservoir":
-            return search.reservoir_knn(self.candidates, self.edges, self.points, k, self.params.metric, params.refine, self.d)
-        start = self.points.select("id", F.col("id").alias("nbr"), F.lit(0.0).alias("d2"))
+            edges, candidates = self.edges, self.candidates
+            if self.shards > 1:  # nothing walks here: candidates come from all points
+                edges, candidates = build_graph(self.points, self.d, self.params)
+            return search.reservoir_knn(candidates, edges, self.points, k, self.params.metric, params.refine, self.d)
+        start = self.points.select("id", F.col("id").alias("nbr"))
         if way == "warm":
-            start = start.union(search.score(self.candidates.select(F.col("src").alias("id"), F.col("dst").alias("nbr")).where("id <> nbr"), self.points, self.d))
-        width = max(params.beam, k + 1)
-        found = self._beam(self.points, start, width)
-        found = search.widened(found, self._beam, self.points, self.points, self.n, min(k, self.n - 1), width, True)
+            start = start.union(self.candidates.select(F.col("src").alias("id"), F.col("dst").alias("nbr")).where("id <> nbr"))
+        if not self.shards:
+            start = search.score(start, self.points, self.d)
+        mine = lambda some: start.join(F.broadcast(some.select("id")), "id", "left_semi")
+        walk = lambda some, width, asked: self._beam(some, start if some is self.points else mine(some), width, k + 1, asked)
+        found = search.widened(walk, self.points, self.points, self.n, min(k, self.n - 1), max(params.beam, k + 1), True)
         return exact.with_self(exact.top_k(found.where("id <> nbr"), k), self.points, self.params.metric)
 
     def save(self, path: str) -> None:
@@ -111,15 +133,15 @@ class VectorIndex:
         for name, key in (("points", "id"), ("edges", "src")):
             bucketed(getattr(self, name), name, key, self.buckets, f"{path}/{name}", "overwrite")
         self.candidates.write.mode("overwrite").parquet(f"{path}/candidates")
-        line = json.dumps(asdict(self.params) | {"n": self.n, "d": self.d, "buckets": self.buckets})
+        line = json.dumps(asdict(self.params) | {"n": self.n, "d": self.d, "buckets": self.buckets, "shards": self.shards})
         spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/params")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> VectorIndex:
         own = json.loads(ship(spark).read.text(f"{path}/params").first()["value"])
-        n, d, buckets = own.pop("n"), own.pop("d"), own.pop("buckets")
+        n, d, buckets, shards = own.pop("n"), own.pop("d"), own.pop("buckets"), own.pop("shards", 0)
         points, edges = (bucketed_at(spark, f"{path}/{name}", name, key, buckets) for name, key in (("points", "id"), ("edges", "src")))
-        return cls(points, edges, spark.read.parquet(f"{path}/candidates"), n, d, BuildParams(**own), buckets)
+        return cls(points, edges, spark.read.parquet(f"{path}/candidates"), n, d, BuildParams(**own), buckets, shards)
 
 
 def self_knn(df: DataFrame, k: int = 15, id_col: str = "vec_id", vec_col: str = "embedding", params: BuildParams | None = None, search_params: SearchParams | None = None, hnsw_params: HnswParams | None = None, ivf_params: IvfParams | None = None) -> DataFrame:

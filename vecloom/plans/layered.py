@@ -56,28 +56,23 @@ class LayeredGraph:
                 return cls(layers, top, params)
             rest = upper
 
-    def search(self, queries: DataFrame, width: int) -> DataFrame:
-        """(id, nbr, d2) of queries (id, vec): the beams of the lowest layer."""
+    def search(self, queries: DataFrame, width: int, many: int | None = None, asked: int | None = None) -> DataFrame:
+        """(id, nbr, d2) of queries (id, vec): of each its `many` nearest (all: None) of beams of the lowest layer, in each shard."""
         found = search.seeds(queries, self.top, self.params.m)
         for index in reversed(self.layers[1:]):
-            beams = search.beam_search(index.points, index.edges, queries, found.select("id", "nbr", "d2"), self.params.m, index.d, index.params.r, index.buckets)
-            found = exact.top_k(beams, self.params.m)
-        return self.lowest(queries, found.select("id", "nbr", "d2"), width)
+            found = exact.top_k(index._beam(queries, found.select("id", "nbr", "d2"), self.params.m, asked=asked), self.params.m)
+        return self.layers[0]._beam(queries, found.select("id", "nbr", "d2"), width, many, asked)
 
-    def lowest(self, queries: DataFrame, start: DataFrame, width: int) -> DataFrame:
-        """(id, nbr, d2): beams of the lowest layer."""
-        base = self.layers[0]
-        return search.beam_search(base.points, base.edges, queries, start, width, base.d, base.params.r, base.buckets)
-
-    def found(self, queries: DataFrame, k: int, width: int, skip_self: bool) -> DataFrame:
-        """(id, nbr, d2): the search's beams, as wide as the recall of a sample asks for."""
+    def found(self, queries: DataFrame, k: int, width: int, skip_self: bool, many: int | None = None) -> DataFrame:
+        """(id, nbr, d2): the search's `many` nearest (all: None), by beams as wide as the recall of a sample asks for."""
         base = self.layers[0]
         most = min(k, base.n - 1 if skip_self else base.n)
-        return search.widened(self.search(queries, width), self.lowest, base.points, queries, base.n, most, width, skip_self)
+        walk = lambda some, width, asked: self.search(some, width, many, asked)
+        return search.widened(walk, base.points, queries, base.n, most, width, skip_self)
 
     def query(self, queries: DataFrame, k: int) -> DataFrame:
         """(id, rank 1..k, nbr, d2) of held-out queries (id, vec)."""
-        return exact.top_k(self.found(checkpointed(queries, "queries"), k, max(self.params.ef_search, k), False), k)
+        return exact.top_k(self.found(checkpointed(queries, "queries"), k, max(self.params.ef_search, k), False, k), k)
 
 
 def self_knn(points: DataFrame, k: int, params: HnswParams, build: BuildParams) -> DataFrame:
@@ -87,7 +82,7 @@ def self_knn(points: DataFrame, k: int, params: HnswParams, build: BuildParams)
         spans = quantize.ranges(points)
         coarse = quantize.decoded(quantize.encode(points, spans), spans)
     graph = LayeredGraph.build(coarse, params, build)
-    found = graph.found(graph.layers[0].points, k, max(params.ef_search, k + 1), True).where("id <> nbr")
+    found = graph.found(graph.layers[0].points, k, max(params.ef_search, k + 1), True, None if coarse is not points else k + 1).where("id <> nbr")
     if params.quantize == "sq8":
         found = search.score(found.select("id", "nbr"), points, graph.layers[0].d)
     return exact.with_self(exact.top_k(found, k), points, build.metric)
