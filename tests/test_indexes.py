@@ -200,3 +200,33 @@ def test_lists_lengthen_until_a_sample_finds_its_neighbours(spark):
     want = exact.self_knn(many, 1200, 10).cache()
     share = lambda found: evaluate.recall_at_k(found, want, 10).first()["recall"]
     assert share(descent.nearest_lists(many, 1200, 10)) < 0.9 and share(descent.self_knn(many, 1200, 10, 10)) >= 0.95
+
+
+def test_meetings_of_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    """A vector travelled with each member of each list; now lists carry ids, and tasks hold blocks of points, one or two."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 5, (90, 3)).astype(float)
+    far = {i: float(rng.integers(4, 20)) if i % 3 else np.inf for i in range(90)}
+    members = {(at, int(u)): bool(rng.random() < 0.4) for at in range(25) for u in rng.choice(90, 9, replace=False)}
+    table = spark.createDataFrame([(i, x[i].tolist(), far[i]) for i in range(90)], "u long, vec array<double>, far double")
+    rows = spark.createDataFrame([(at, u, new) for (at, u), new in members.items()], "at long, u long, new boolean")
+    want: dict[int, set] = {}
+    for (at, u), new in members.items():
+        for (b, v), other in members.items():
+            if at == b and u != v and (new or other) and (d := float(((x[u] - x[v]) ** 2).sum())) <= far[u]:
+                want.setdefault(u, set()).add((d, v))
+    for gathered in (descent.GATHERED, 50):
+        monkeypatch.setattr(descent, "GATHERED", gathered)
+        for blocks_ in (1, 3):
+            got: dict[int, set] = {}
+            for r in descent._meetings(rows, table, 90, 4, blocks_).collect():
+                got.setdefault(r["id"], set()).add((r["d2"], r["nbr"]))
+            assert all(got[u] <= own for u, own in want.items()) and got.keys() == want.keys()
+            assert all(sorted(got[u])[:4] == sorted(own)[:4] for u, own in want.items())
+
+
+def test_longer_lists_go_on_from_shorter_ones(spark):
+    many = S.from_array(spark, np.random.default_rng(6).standard_normal((900, 24)).astype(np.float32)).cache()
+    short = descent.nearest_lists(many, 900, 10, rounds=1)
+    longer = descent.nearest_lists(many, 900, 20, rounds=0, lists=short)
+    assert short.join(longer, ["id", "nbr"], "left_anti").count() == 0 and longer.groupBy("id").count().where("count <> 20").count() == 0
