@@ -407,3 +407,14 @@ def test_walks_of_one_shard_are_plain_walks():
             got = shard.walk(v, shard.at(np.array(start)), width, width)
             assert got[0].tolist() == plain_beams(at, edges, {0: v}, {0: start}, width)[0]
     assert not shard.seen[:-1].any()
+
+
+def test_contract_checks_measure_the_distances(spark, sf_dir):
+    """A distance that is not its points' passed, as the query had lost the column close."""
+    from vecloom import queries
+
+    rows = queries.QUERIES["contract_checks"](spark, sf_dir)
+    assert rows.columns[-1] == "close" and rows.first()["close"]
+    points = S.from_table(frame(spark, np.array([[0, 0], [3, 4], [0, 1]], np.float32)))
+    close = lambda *pairs: evaluate.measured(spark.createDataFrame(pairs, "id long, nbr long, dist double"), points, 2).first()["close"]
+    assert close((0, 0, 0.0), (0, 1, 5.0)) and not close((0, 1, 5.0), (0, 2, 1.1)) and not close((0, 7, 1.0))

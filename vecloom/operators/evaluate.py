@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecloom.functions.vectors import sq_l2
 from vecloom.session import checkpointed
 from vecloom.sources.vectors import hash_order
 
@@ -57,6 +58,14 @@ def contract(knn: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     )
 
 
+def measured(knn: DataFrame, points: DataFrame, d: int | None = None, room: float = 1e-9) -> DataFrame:
+    """One row (close): whether both ends of every pair of knn (id, nbr, dist) are points, and its distance is theirs, but for `room`."""
+    a, b = points.select("id", F.col("vec").alias("a")), points.select(F.col("id").alias("nbr"), F.col("vec").alias("b"))
+    both = knn.select("id", "nbr", "dist").join(a, "id", "left").join(b, "nbr", "left")
+    true = F.abs(F.sqrt(sq_l2(F.col("a"), F.col("b"), d)) - F.col("dist")) <= room
+    return both.agg(F.coalesce(F.min(F.coalesce(true, F.lit(False))), F.lit(True)).alias("close"))
+
+
 def distance_histogram(knn: DataFrame, lo: float, hi: float, bins: int) -> DataFrame:
     """(bin, n) of the distances to others: bins of equal width, 0 below lo and bins + 1 from hi on."""
     at = F.when(F.col("dist") < lo, 0).when(F.col("dist") >= hi, bins + 1).otherwise(F.floor((F.col("dist") - lo) / ((hi - lo) / bins)) + 1)

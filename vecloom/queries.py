@@ -567,9 +567,12 @@ def knn_arrays(spark, sf_dir):
     return sinks.to_arrays(_exact(spark, sf_dir)).select("id", F.get("indices", F.lit(2)).alias("second"), F.size("indices").cast("long").alias("n"))
 
 
-@query(f"SELECT {_CONTRACT} FROM embeddings")
+@query(_SOUND)
 def contract_checks(spark, sf_dir):
-    return E.contract(_exact(spark, sf_dir), K)
+    """The contract of the exact join, and whether each distance it shows is that of the two points."""
+    p = _points(spark, sf_dir)
+    found = checkpointed(exact.self_knn(p, p.count(), K), "found")  # read twice
+    return E.contract(found, K).crossJoin(F.broadcast(E.measured(found, p, DIMENSIONS)))
 
 
 @query(f"""SELECT CASE WHEN dist < 0.8 THEN 0 WHEN dist >= 1.4 THEN 13 ELSE floor((dist - 0.8) / ((1.4 - 0.8) / 12))::BIGINT + 1 END::BIGINT AS bin, count(*) AS n
