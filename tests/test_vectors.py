@@ -418,3 +418,15 @@ def test_contract_checks_measure_the_distances(spark, sf_dir):
     points = S.from_table(frame(spark, np.array([[0, 0], [3, 4], [0, 1]], np.float32)))
     close = lambda *pairs: evaluate.measured(spark.createDataFrame(pairs, "id long, nbr long, dist double"), points, 2).first()["close"]
     assert close((0, 0, 0.0), (0, 1, 5.0)) and not close((0, 1, 5.0), (0, 2, 1.1)) and not close((0, 7, 1.0))
+
+
+def test_matched_recall_is_that_of_beams(spark, sf_dir, monkeypatch):
+    """The target came from the reservoirs, without a search, and lists of 60 and 90 were left out."""
+    from vecloom import queries
+
+    asked, found = [], queries.I.self_knn(queries._raw(spark, sf_dir), 15, search_params=SearchParams(strategy="exact"))
+    none = found.where("rank = 0")
+    monkeypatch.setattr(queries.I, "self_knn", lambda *a, search_params, **kw: asked.append(search_params.strategy) or found)
+    monkeypatch.setattr(queries.descent, "self_knn", lambda p, n, k, build_k, **kw: asked.append(build_k) or (found if build_k == 60 else none))
+    row = queries.QUERIES["matched_recall"](spark, sf_dir).first()
+    assert asked == ["beam", 30, 45, 60] and tuple(row) == (60, True)
